@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.plans.scratch import checkpoint_dir, materialize
+
+__all__ = ["as_bytes", "checkpoint_dir", "chunks", "lower_ascii", "materialize", "mix64", "signed", "table", "word_hashes"]
+
 #: Text is worked on in numpy in chunks of about so many bytes (one longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -19,33 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again.
-
-    This cuts lineage: a lost executor costs the running stage, never what was written. The table goes when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/terrane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. All-ASCII texts take the fast built-in."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

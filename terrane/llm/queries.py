@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import score_quality
 from .sharding import shard
@@ -24,6 +25,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op8_exact_dedup, op9_packing, op10_vector_search)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op8_exact_dedup, op9_packing, op10_vector_search)}
 
 
 OP8_SQL = """
@@ -65,4 +70,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_vector_search": OP10_SQL}
