@@ -14,6 +14,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import score_quality
 from .sharding import shard
+from .substring_dedup import remove_repeats
 from .vector_search import search
 
 
@@ -29,6 +30,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op8_exact_dedup, op9_packing, op10_vector_search)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search)}
 
 
 OP8_SQL = """
