@@ -1,0 +1,360 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
+
+The field tags words as PHONE (numbers without a country code), ID (identity and account numbers) or O. It is trained from
+the small labelled table below by maximum likelihood (forward and backward sums over all rows at once) and decoded by
+Viterbi in numpy batches: sequences advance together, longest first, and the shorter ones leave. Every word with a digit
+is decoded with its neighbours; a word further than REACH words from any digit is O by definition of the tags.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import _POWERS, chunks, mix64, word_hashes
+
+# Fixed patterns of the base kinds; the starts and atoms below only spare retries that cannot succeed.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGITS = re.compile(r"[^0-9]+")
+KINDS = ("email", "ip", "card", "phone")
+
+#: The labelled table: word and, where it isn't O, tag.
+LABELLED = """
+call me at (555)/PHONE 123-4567/PHONE tomorrow
+my number is 555-201-7788/PHONE thanks
+phone: 0151/PHONE 23456789/PHONE evenings
+tel. 020/PHONE 7946/PHONE 0958/PHONE or write
+Tel: (030)/PHONE 901820/PHONE please
+mobile 07700/PHONE 900123/PHONE any time
+fax 555.867.5309/PHONE office
+reach us on 1-800-555-0199/PHONE today
+téléphone 01/PHONE 42/PHONE 68/PHONE 53/PHONE 00/PHONE merci
+tel 91/PHONE 123/PHONE 45/PHONE 67/PHONE por la tarde
+Telefon 089/PHONE 1234567/PHONE bitte
+ring (212)/PHONE 555-0182/PHONE now
+cell 415-555-2671/PHONE ask for me
+text 617-555-0134/PHONE after six
+Phone 303/PHONE 555/PHONE 0147/PHONE home
+her phone is (617)/PHONE 555-0199/PHONE at work
+ssn 123-45-6789/ID on file
+SSN: 078-05-1120/ID confirmed
+his social security number 219-09-9999/ID was lost
+passport X1234567/ID issued
+passport no C01X00T47/ID expired
+IBAN DE89/ID 3704/ID 0044/ID 0532/ID 0130/ID 00/ID is mine
+iban GB29NWBK60161331926819/ID transfer
+account ES9121000418450200051332/ID closed
+IBAN FR1420041010050500013M02606/ID reçu
+license D1234567/ID renewed
+DNI 12345678Z/ID nacional
+ID 987-65-4321/ID checked
+national id 536-22-8741/ID here
+the year 1984 was long
+in 2019 there were 12 of them
+pages 12-15 of the book
+version 2.4.1 is out
+see chapter 7 and 8
+it cost 1,299.00 dollars
+about 3.5 million people
+room 101 was empty
+at 10:30 on 12/05/2021 we met
+on 2021-05-12 we met
+the 3rd of 24 items
+step 1. open step 2. close
+from 1914-1918 there was war
+a ratio of 3:2 or 16:9
+section 4.2.1 applies
+over 9000 users in 30 days
+order 4512 shipped 2 boxes
+model X100 and model A4
+B2B and H2O and MP3
+scored 3-1 in 90 minutes
+the words go on and on
+then it was there again and again
+And this is of the thing.
+It was 100% of 50 kg
+line 88213 of the log
+id 42 of 77
+call 2 of them at 5
+phone 3 and tablet 10
+hash 24be64439e3e49cf46b2d7c90f3602a3d0b907ff ok
+number 4785380592391139 there
+mail tion.17@mail8.example.com now
+from 192.168.10.12 today
++1 (171) 555-2028 there
+mix 4952935900253052 in text
+token "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" end
+"""
+TAGS = ("O", "PHONE", "ID")
+REACH, SHAPES, ROUNDS = 3, 512, 250
+_CUES = ("phone", "tel", "tel.", "tel:", "phone:", "mobile", "cell", "fax", "call", "text", "ring", "telefon", "téléphone", "ssn", "ssn:", "iban", "passport", "dni", "id", "account", "license", "number", "security", "national", "no")
+
+_KIND = np.full(256, 1, dtype=np.int64)  # 1: letters and other bytes
+_KIND[65:91] = 2
+_KIND[48:58] = 3
+for _i, _c in enumerate("-.,:;/()+@#$%&*!?|\"'=_", start=4):
+    _KIND[ord(_c)] = _i
+_VALUE = mix64(np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BUCKET = np.array([0, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9, 10, 10, 11, 11] + [12] * 5 + [13])
+_WIDTH = 14
+# Blocks of features: shape, digits, the same for both neighbours, cue of the word and of the two before.
+_OFFSETS = np.cumsum([0, SHAPES, _WIDTH, _WIDTH, _WIDTH, 64, 64, 2])
+
+
+def _words(texts: list[bytes]):
+    """Shape, count of digits, cue, text index, start and end of each word, and the joined buffer."""
+    hashes, owner, starts, ends, buffer = word_hashes(texts, lower=True)
+    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    kind = _KIND[raw]
+    edge = np.ones(len(raw), dtype=bool)
+    edge[1:] = kind[1:] != kind[:-1]
+    edge[starts] = True
+    place = np.cumsum(edge)
+    # A polynomial over the kinds of the runs of a word, from sums over the whole buffer.
+    power = _POWERS.upto(int(place[-1]) + 2)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(np.where(edge, _VALUE[kind] * power[0][place], np.uint64(0)))))
+    shape = (mix64((sums[ends] - sums[starts]) * power[1][place[starts]]) % np.uint64(SHAPES)).astype(np.int64)
+    digit = np.concatenate(([0], np.cumsum(kind == 3)))
+    return shape, digit[ends] - digit[starts], _cue(hashes), owner, starts, ends, raw
+
+
+_CUE_WORDS, *_ = word_hashes([" ".join(_CUES).encode()], lower=True)
+_CUE_ORDER = np.argsort(_CUE_WORDS)
+_CUE_HASHES = _CUE_WORDS[_CUE_ORDER]
+
+
+def _cue(hashes: np.ndarray) -> np.ndarray:
+    """Number of the cue word, from 1; 0 for other words."""
+    at = np.minimum(np.searchsorted(_CUE_HASHES, hashes), len(_CUE_HASHES) - 1)
+    return np.where(_CUE_HASHES[at] == hashes, _CUE_ORDER[at] + 1, 0)
+
+
+def _features(shape: np.ndarray, digits: np.ndarray, cue: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Indices of the features of each word; first and last mark the ends of sequences."""
+    bucket = _BUCKET[np.minimum(digits, len(_BUCKET) - 1)]
+    before, after = np.roll(bucket, 1), np.roll(bucket, -1)
+    before[first], after[last] = 0, 0
+    one = np.roll(cue, 1)
+    one[first] = 0
+    two = np.roll(one, 1)
+    two[first] = 0
+    has_cue = (cue > 0).astype(np.int64)
+    return np.column_stack([shape, bucket, before, after, one, two, has_cue]) + _OFFSETS[: len(_OFFSETS) - 1]
+
+
+class Field:
+    """A linear-chain conditional random field."""
+
+    def __init__(self, emission: np.ndarray, transition: np.ndarray) -> None:
+        self.emission, self.transition = emission, transition
+
+    def decode(self, features: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tags of all words; sequences are the given stretches of words."""
+        scores = self.emission[features].sum(axis=1)
+        tags = np.zeros(len(features), dtype=np.int8)
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
+        back = np.zeros((len(features), len(TAGS)), dtype=np.int8)
+        best = scores[starts].copy()
+        active = len(starts)
+        final = np.zeros(len(starts), dtype=np.int8)
+        for step in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
+            going = int(np.searchsorted(-lengths, -step, side="left"))  # sequences longer than step
+            final[going:active] = best[going:active].argmax(axis=1)
+            active = going
+            if not active:
+                break
+            at = starts[:active] + step
+            paths = best[:active, :, None] + self.transition[None]
+            came = paths.argmax(axis=1)
+            back[at] = came
+            best[:active] = np.take_along_axis(paths, came[:, None, :], 1)[:, 0] + scores[at]
+        now = final
+        for step in range(int(lengths[0]) - 1 if len(lengths) else -1, -1, -1):
+            inside = int(np.searchsorted(-lengths, -step, side="left"))
+            at = starts[:inside] + step
+            tags[at] = now[:inside]
+            now[:inside] = back[at, now[:inside]]
+        return tags
+
+
+def _labelled() -> tuple[list[np.ndarray], list[np.ndarray]]:
+    sequences, tags = [], []
+    for line in LABELLED.strip().splitlines():
+        parts = [w.rsplit("/", 1) if w.endswith(("/PHONE", "/ID")) else [w, "O"] for w in line.split()]
+        shape, digits, cue, *_ = _words([" ".join(p[0] for p in parts).encode()])
+        ends = np.zeros(len(parts), dtype=bool)
+        first, last = ends.copy(), ends.copy()
+        first[0] = last[-1] = True
+        sequences.append(_features(shape, digits, cue, first, last))
+        tags.append(np.array([TAGS.index(p[1]) for p in parts]))
+    return sequences, tags
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis=axis, keepdims=True)
+    return (most + np.log(np.exp(x - most).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+def train(rounds: int = ROUNDS, penalty: float = 0.02) -> Field:
+    """Fit the field to the labelled table by gradient ascent with momentum; the same result everywhere."""
+    sequences, tags = _labelled()
+    n, longest, k = len(sequences), max(map(len, sequences)), len(TAGS)
+    size = int(_OFFSETS[-1])
+    x = np.zeros((n, longest, sequences[0].shape[1]), dtype=np.int64)
+    y, there = np.zeros((n, longest), dtype=np.int64), np.zeros((n, longest), dtype=bool)
+    for i, (f, t) in enumerate(zip(sequences, tags, strict=True)):
+        x[i, : len(f)], y[i, : len(f)], there[i, : len(f)] = f, t, True
+    emission, transition = np.zeros((size, k)), np.zeros((k, k))
+    gold_e, gold_t = np.zeros_like(emission), np.zeros_like(transition)
+    for j in range(x.shape[2]):
+        np.add.at(gold_e, (x[..., j][there], y[there]), 1)
+    both = there[:, 1:]
+    np.add.at(gold_t, (y[:, :-1][both], y[:, 1:][both]), 1)
+    speed_e, speed_t = np.zeros_like(emission), np.zeros_like(transition)
+    for _ in range(rounds):
+        score = emission[x].sum(axis=2)
+        alpha, beta = np.zeros((n, longest, k)), np.zeros((n, longest, k))
+        alpha[:, 0] = score[:, 0]
+        for t in range(1, longest):
+            step = _logsum(alpha[:, t - 1, :, None] + transition, 1) + score[:, t]
+            alpha[:, t] = np.where(there[:, t, None], step, alpha[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            step = _logsum(transition + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+            beta[:, t] = np.where(there[:, t + 1, None], step, 0)
+        total = _logsum(alpha[:, -1], 1)
+        single = np.exp(alpha + beta - total[:, None, None]) * there[..., None]
+        want_e, want_t = np.zeros_like(emission), np.zeros_like(transition)
+        for j in range(x.shape[2]):
+            np.add.at(want_e, x[..., j].ravel(), single.reshape(-1, k))
+        for t in range(longest - 1):
+            pair = np.exp(alpha[:, t, :, None] + transition + (score[:, t + 1] + beta[:, t + 1])[:, None, :] - total[:, None, None])
+            want_t += (pair * there[:, t + 1, None, None]).sum(axis=0)
+        speed_e = 0.9 * speed_e + 0.02 * (gold_e - want_e - penalty * emission)
+        speed_t = 0.9 * speed_t + 0.02 * (gold_t - want_t - penalty * transition)
+        emission, transition = emission + speed_e, transition + speed_t
+    return Field(emission, transition)
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        value = int(d) * (1 + i % 2)
+        total += value - 9 * (value > 9)
+    return total % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, number of the kind, end) of the fixed patterns, in code points."""
+    out = []
+    at, free = text.find("@"), 0
+    while at >= 0:
+        local = len(text[free:at].rstrip(_LOCAL)) + free
+        domain = _DOMAIN.match(text, at + 1) if local < at else None
+        if domain:
+            out.append((local, 0, domain.end()))
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+    for m in _IP.finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 12:
+            digits = _DIGITS.sub("", m[0])
+            if 12 <= len(digits) <= 19 and _luhn(digits):
+                out.append((m.start(), 2, m.end()))
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 9 <= len(_DIGITS.sub("", m[0])) <= 15:
+                out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+_TRIM_LEFT, _TRIM_RIGHT = b"\"'[{<,;:|", b"\"'.,;:!?]}>|"
+
+
+def added_spans(field: Field, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+    """(start, tag, end) of what the field finds in each text, in code points."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    if not any(texts):
+        return out
+    shape, digits, cue, owner, starts, ends, raw = _words(texts)
+    near = np.zeros(len(shape) + 2 * REACH, dtype=bool)
+    has = np.flatnonzero(digits > 0)
+    for shift in range(2 * REACH + 1):
+        near[has + shift] = True
+    near = near[REACH : REACH + len(shape)]
+    words = np.flatnonzero(near)
+    if not len(words):
+        return out
+    new = np.ones(len(words), dtype=bool)
+    new[1:] = (words[1:] != words[:-1] + 1) | (owner[words[1:]] != owner[words[:-1]])
+    last = np.roll(new, -1)
+    last[-1] = True
+    first = np.flatnonzero(new)
+    tags = field.decode(_features(shape[words], digits[words], cue[words], new, last), first, np.diff(np.append(first, len(words))))
+    hit = tags > 0
+    if not hit.any():
+        return out
+    begin = hit.copy()
+    begin[1:] &= new[1:] | (tags[1:] != tags[:-1])
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    offset = np.concatenate(([0], np.cumsum(sizes)))
+    stop = begin | ~hit | new
+    edges = np.append(np.flatnonzero(stop), len(words))
+    for i in np.flatnonzero(begin):
+        j = edges[np.searchsorted(edges, i, side="right")] - 1
+        a, b = int(starts[words[i]]), int(ends[words[j]])
+        body = raw[a:b].tobytes()
+        a += len(body) - len(body.lstrip(_TRIM_LEFT))
+        b -= len(body) - len(body.rstrip(_TRIM_RIGHT))
+        if a < b and digits[words[i : j + 1]].sum():
+            of = int(owner[words[i]])
+            shift = int(points[offset[of]])
+            out[of].append((int(points[a]) - shift, int(tags[i]), int(points[b]) - shift))
+    return out
+
+
+def _scan(field: Field):
+    names = (*KINDS, *(f"field_{t.lower()}" for t in TAGS[1:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            raw = [t.encode() for t in texts]
+            for a, b in chunks(raw):
+                columns: list[list] = [[] for _ in range(7)]
+                for text, more in zip(texts[a:b], added_spans(field, raw[a:b]), strict=True):
+                    base = base_spans(text)
+                    free = [m for m in more if all(m[2] <= s or e <= m[0] for s, _, e in base)] if more else []
+                    for k in range(4):
+                        columns[k].append(sum(1 for s in base if s[1] == k))
+                    name = lambda s: f"{names[s[1]]}:{s[0]}:{s[2]}"
+                    columns[4].append(hashlib.sha256(",".join(map(name, base)).encode()).hexdigest())
+                    columns[5].append(",".join(map(name, sorted([*base, *((s, t + 3, e) for s, t, e in free)]))))
+                    columns[6].append(len(free))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string()), pa.array(columns[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+
+    return run
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """Personal data of every document.
+
+    Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end by start, then kind; code points, end
+    exclusive), n_added, a row for each input row. Spans that the field finds are added where they overlap no base span. A
+    null text is empty; a null doc_id stays null; rows that repeat are scanned each; an empty table gives an empty result.
+    The map is narrow: no shuffle, and memory for one chunk of text at a time.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .ngram_join import near_duplicates
 from .packing import pack
+from .personal_data import find_personal_data
 from .quality import score_quality
 from .secret_scan import ADDED, EXAMPLE_OWNERS, KINDS, scan_secrets
 from .sharding import shard
@@ -35,6 +36,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op5_secret_scan, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search)}
 
 
 def _op5_kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
