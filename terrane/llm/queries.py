@@ -15,6 +15,7 @@ from .packing import pack
 from .personal_data import find_personal_data
 from .quality import score_quality
 from .secret_scan import ADDED, EXAMPLE_OWNERS, KINDS, scan_secrets
+from .sentencepiece_codec import encode_digest
 from .sharding import shard
 from .substring_dedup import remove_repeats
 from .vector_search import search
@@ -32,6 +33,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search)}
 
 
 def _op5_kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
