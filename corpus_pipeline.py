@@ -1,8 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""A corpus pipeline: quality, exact copies, near copies, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.llm.common import lower_ascii, materialize, table
+from terrane.llm.exact_dedup import exact_dedup
+from terrane.llm.ngram_join import near_duplicates
+from terrane.llm.packing import pack
+from terrane.llm.quality import keep_good
+from terrane.llm.secret_scan import redact_live
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: that of the largest doc_id, once."""
+    sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    dropped = exact_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    rows = docs.withColumn("_sha", sha)
+    kept = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id."""
+    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking secrets masked."""
+    return redact_live(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("secrets", secrets), ("packing", packing)]
+
+#: SQL cannot express the classifier, the tokenizer and the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

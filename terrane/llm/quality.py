@@ -133,36 +133,43 @@ def isotonic(values: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> tu
     return np.asarray([a[0] / w for a, w in zip(at, weight, strict=True)]), np.asarray(mean)
 
 
-def _score(fourier: Fourier, ridge: np.ndarray, at: np.ndarray, mean: np.ndarray):
+class QualityModel:
+    """A fitted classifier: arrays of a fixed size, so it travels with each task."""
+
+    def __init__(self, fourier: Fourier | None = None, weights: np.ndarray | None = None, at: np.ndarray | None = None, mean: np.ndarray | None = None) -> None:
+        self.fourier, self.weights, self.at, self.mean = fourier, weights, at, mean
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores from 0 to 1 of rows of statistics; 0.5 without a fit."""
+        if self.fourier is None:
+            return np.full(len(x), 0.5)
+        raw = self.fourier(x) @ self.weights
+        return np.clip(np.interp(raw, self.at, self.mean) if len(self.at) else raw, 0, 1)
+
+
+def _score(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = fourier(_rows(batch, "x")) @ ridge
-            score = np.clip(np.interp(raw, at, mean) if len(at) else raw, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw), pa.array(score)], names=["doc_id", "raw", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_rows(batch, "x")))], names=["doc_id", "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Score every document; labels teach only where crc32(doc_id as text) mod 3 is not 1.
+def _remainder():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
 
-    Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5). Remainder 0 fits the ridge, remainder 2 the
-    isotonic curve. At most about `max_labelled` labelled rows take part, drawn by a hash of doc_id. Null texts count as
-    empty and are scored; null labels teach nothing; rows that repeat are scored each; without labels every score is
-    0.5; an empty table gives an empty result. Label, language, source and id are no inputs of a score.
-    """
-    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    measured = materialize(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<double>"), "statistics")
+
+def fit_quality(measured: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, max_labelled: int = MAX_LABELLED) -> QualityModel:
+    """Fit to the labels of rows whose crc32(doc_id as text) mod 3 is not 1: remainder 0 fits the ridge, 2 the curve."""
     marks = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
-    taught = marks.filter(remainder != 1)
+    taught = marks.filter(_remainder() != 1)
     known = taught.count()
     if known > max_labelled:
         taught = taught.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int((1 << 30) * max_labelled / known)))
-    held_out = F.coalesce(remainder == 1, F.lit(False)).alias("held_out")
-    rows = materialize(measured.join(taught, "doc_id").withColumn("fold", remainder).select("fold", "x", "y").repartition(PARTIALS), "labelled")
+    rows = materialize(measured.join(taught, "doc_id").withColumn("fold", _remainder()).select("fold", "x", "y").repartition(PARTIALS), "labelled")
     moments = rows.filter("fold = 0").agg(F.count("*"), *[F.avg(F.get("x", F.lit(i))) for i in range(STATISTICS)], *[F.stddev_pop(F.get("x", F.lit(i))) for i in range(STATISTICS)]).first()
     if not moments[0]:
-        return measured.select("doc_id", held_out, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return QualityModel()
     deviation = np.asarray(moments[1 + STATISTICS :], dtype=np.float64)
     fourier = Fourier(np.asarray(moments[1 : 1 + STATISTICS], dtype=np.float64), np.where(deviation > 1e-9, deviation, 1.0), features, width=np.sqrt(STATISTICS))
     parts = rows.filter("fold = 0").select("x", "y").mapInArrow(_sums(fourier), "a array<double>, b array<double>").toArrow()
@@ -172,8 +179,40 @@ def score_quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     known = rows.filter("fold = 2").select(F.col("y").alias("doc_y"), "x").mapInArrow(_raw(fourier, weights), "y double, raw double")
     bins = known.groupBy(F.round(F.least(F.greatest("raw", F.lit(-0.5)), F.lit(1.5)) * (BINS / 2)).alias("bin")).agg(F.avg("raw").alias("at"), F.avg("y").alias("mean"), F.count("*").alias("n")).orderBy("bin").collect()
     at, mean = isotonic(np.asarray([r["at"] for r in bins]), np.asarray([r["mean"] for r in bins]), np.asarray([float(r["n"]) for r in bins])) if bins else (np.zeros(0), np.zeros(0))
-    scored = measured.mapInArrow(_score(fourier, weights, at, mean), "doc_id long, raw double, score double")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return QualityModel(fourier, weights, at, mean)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, x: the statistics of every whole text."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, "doc_id long, x array<double>")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Score every document; labels teach only where crc32(doc_id as text) mod 3 is not 1.
+
+    Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5). At most about `max_labelled` labelled rows take part,
+    drawn by a hash of doc_id. Null texts count as empty and are scored; null labels teach nothing; rows that repeat are
+    scored each; without labels every score is 0.5; an empty table gives an empty result. Label, language, source and id
+    are no inputs of a score.
+    """
+    measured = materialize(measure(docs), "statistics")
+    model = fit_quality(measured, labels, features, ridge, max_labelled)
+    scored = measured.mapInArrow(_score(model), "doc_id long, score double")
+    return scored.select("doc_id", F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score is 0.5 or more. Scores come from the text in the same narrow map."""
+    model = fit_quality(materialize(measure(docs), "statistics"), labels)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                yield part.filter(pa.array(model.score(statistics(as_bytes(part.column(place)))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _raw(fourier: Fourier, weights: np.ndarray):
