@@ -7,7 +7,10 @@ task sees more than one group and the groups know nothing of each other.
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +21,37 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SEQUENCE, GROUP_PIECES, CACHED_WORDS = 2048, 2048, 200_000
+SEQUENCE, GROUP_PIECES, CACHED_WORDS = 2048, 2048, 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class _Words(dict):
+    """Word to ids, worked out when first met; the generation before the present one is kept for words met again."""
+
+    def __init__(self, encode, limit: int) -> None:
+        super().__init__()
+        self.encode, self.limit, self.before = encode, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                raise KeyError(word)
+            ids = self.encode(" " + word)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts, by a tokenizer file and a bounded cache of words.
 
     A space between two characters that are no white space always begins a token of a byte-level BPE with the usual
-    pattern, so texts are cut there and each word with its space is looked up; any other text goes to the tokenizer
-    whole. Results equal those of the tokenizer on the whole text.
+    pattern, so texts are cut there and each word with its space is looked up; any other text is encoded whole. Where the
+    file's ids are in the order of its merges, tiktoken's core does the merging; else the tokenizers library does. Texts
+    with a special token go to the library as they are. Results equal those of the library on the whole text.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
@@ -35,38 +59,54 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cached, self.words = cached, {}
+        merged = _merge_order(path)
+        if merged is None:
+            self.encode_one = self._by_library
+        else:
+            self.encode_one = lambda text: array("I", merged(text)).tobytes()
+        self.words = _Words(self.encode_one, cached)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _by_library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > self.cached:
-            self.words = {}
-        split = [t.split(" ") for t in texts]
-        missing = set()
-        for parts in split:
-            missing.update(parts[1:])
-        missing = [w for w in missing - self.words.keys() if w and not w[0].isspace() and not w[-1].isspace() and not any(s in w for s in self.special)]
-        self.words.update(zip(missing, self._ids([" " + w for w in missing]), strict=True))
-        out: list[bytes | None] = []
-        whole = []
-        for i, (text, parts) in enumerate(zip(texts, split, strict=True)):
+        words, one, out = self.words, self.encode_one, []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(self._by_library(text))
+                continue
+            parts = text.split(" ")
             try:
-                if parts[0] and parts[0][-1].isspace():
+                if not parts[0] or parts[0][-1].isspace():
                     raise KeyError
-                rest = b"".join([self.words[w] for w in parts[1:]])
-                out.append(rest)
-                whole.append((i, parts[0], True))
+                out.append(one(parts[0]) + b"".join([words[w] for w in parts[1:]]))
             except KeyError:
-                out.append(None)
-                whole.append((i, text, False))
-        for (i, _, head), ids in zip(whole, self._ids([t for _, t, _ in whole]), strict=True):
-            out[i] = ids + out[i] if head else ids
+                out.append(one(text))
         return out
 
 
+def _merge_order(path: str):
+    """An encoder by tiktoken's core, if the file is a byte-level BPE of the usual pattern whose ids follow its merges."""
+    import public_tokenizers
+    import tiktoken
+
+    said = json.loads(open(path, encoding="utf-8").read())
+    model, before = said["model"], said.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or said.get("normalizer") or sys.byteorder != "little":
+        return None
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"].get("".join(p), -1) for p in pairs]
+    if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+        return None
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(printed)]
+    byte_of = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(other)}
+    added = {t["content"] for t in said.get("added_tokens", ())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def _cut(path: str, end_id: int, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
