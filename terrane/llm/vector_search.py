@@ -15,32 +15,26 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Error bound in units of the estimator's deviation; rows and queries of a tile; queries worked on at a time.
-EPSILON, TILE_ROWS, TILE_QUERIES, STEP = 3.0, 4096, 4096, 128
+#: Bits of a code for each dimension (vectors are padded with zeros before the rotation: longer codes, closer bounds), error
+#: bound in units of the estimator's deviation, rows and queries of a tile, queries worked on at a time.
+LENGTH, EPSILON, TILE_ROWS, TILE_QUERIES, STEP = 8, 2.5, 8192, 4096, 128
 
 
-def rotation(dim: int, seed: int = 20240607) -> np.ndarray:
-    """A random orthogonal matrix, the same everywhere."""
-    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, dim)))
+def rotation(dim: int, length: int, seed: int = 20240607) -> np.ndarray:
+    """The first `dim` columns of a random orthogonal matrix of `length` rows, the same everywhere."""
+    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((length, dim)))
     return q * np.sign(np.diag(r))
 
 
 def encode(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed signs and the inner product of each vector with its code."""
+    """Packed signs of rotated unit vectors, and the inner product of each with its own code."""
     turned = units @ turn.T
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(units.shape[1])
+    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(len(turn))
 
 
-def estimate(queries: np.ndarray, codes: np.ndarray, scalars: np.ndarray) -> np.ndarray:
-    """Estimated inner products of rotated unit queries with coded vectors, summed byte by byte from tables."""
-    n, dim = queries.shape
-    padded = np.zeros((n, codes.shape[1] * 8))
-    padded[:, :dim] = queries
-    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-    sums = np.zeros((n, len(codes)))
-    for byte in range(codes.shape[1]):
-        sums += (padded[:, 8 * byte : 8 * byte + 8] @ signs.T)[:, codes[:, byte]]
-    return (2 * sums - padded.sum(axis=1)[:, None]) / np.sqrt(dim) / scalars
+def signs(codes: np.ndarray, length: int) -> np.ndarray:
+    """Packed bits as rows of +1 and -1."""
+    return np.unpackbits(codes, axis=1, count=length).astype(np.float32) * 2 - 1
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,14 +63,16 @@ def _tile(k: int, epsilon: float):
         x, x_norm = _units(rows["v"])
         q_id, x_id = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
         dim = x.shape[1]
-        turn = rotation(dim)
+        turn = rotation(dim, LENGTH * dim)
         codes, scalars = encode(x / np.sqrt(x_norm)[:, None], turn)
-        width = epsilon * np.sqrt(np.maximum(0.0, 1 - scalars * scalars)) / scalars / np.sqrt(max(1, dim - 1))
-        turned = (q / np.sqrt(q_norm)[:, None]) @ turn.T
+        bits = signs(codes, len(turn)).T
+        width = (epsilon * np.sqrt(np.maximum(0.0, 1 - scalars * scalars)) / scalars / np.sqrt(max(1, len(turn) - 1)) + 1e-6).astype(np.float32)
+        scale = (1 / scalars / np.sqrt(len(turn))).astype(np.float32)
+        turned = ((q / np.sqrt(q_norm)[:, None]) @ turn.T).astype(np.float32)
         out = []
         for first in range(0, len(q), STEP):
             last = min(first + STEP, len(q))
-            guess = estimate(turned[first:last], codes, scalars)
+            guess = (turned[first:last] @ bits) * scale
             low = guess - width
             least = np.partition(low, -k, axis=1)[:, -k] if len(x) > k else np.full(last - first, -np.inf)
             at, near = np.nonzero(guess + width >= least[:, None])
