@@ -26,10 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that of the largest doc_id, once."""
     sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    dropped = exact_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    rows = docs.withColumn("_sha", sha)
-    kept = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    dropped = exact_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("__dropped_id"), F.col("text_sha256").alias("__dropped_sha")).distinct()
+    rows = docs.withColumn("__sha", sha)
+    kept = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped_id")) & (F.col("__sha") == F.col("__dropped_sha")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

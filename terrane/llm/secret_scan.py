@@ -98,6 +98,7 @@ def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
 def redact_live(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, each live-looking secret of a document replaced by a mark wherever it stands in it."""
     _, found = candidates(docs, F.concat_ws("/", "source", "lang"), F.coalesce(F.col("source"), F.lit("")))
-    live = _judged(found).filter("live").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("secrets"))
-    clean = F.aggregate("secrets", F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
-    return docs.join(live, "doc_id", "left").select(*[F.when(F.col("secrets").isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    hidden = "__terrane_secrets"  # a name that no column of the input may have
+    live = _judged(found).filter("live").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(hidden))
+    clean = F.aggregate(hidden, F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
+    return docs.join(live, "doc_id", "left").select(*[F.when(F.col(hidden).isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns])
