@@ -77,7 +77,7 @@ def osm_id_parts(source_poi_id: Column) -> Column:
 def scraper_records(payloads: DataFrame) -> DataFrame:
     """The place or data id, else a stable hash of the link or title; rows with none are dropped; bad coordinates are null."""
     link = _some(_json("$.link"), _json("$.title"))
-    made = F.concat(F.lit("gosom-"), F.lower(F.hex(F.xxhash64(link))))
+    made = F.when(link.isNotNull(), F.concat(F.lit("gosom-"), F.lower(F.hex(F.xxhash64(link)))))
     number = lambda c: F.expr(f"try_cast(nullif(trim(get_json_object(raw_payload, '$.{c}')), '') AS double)")
     lat, lng = number("latitude"), number("longitude")
     both = lat.isNotNull() & lng.isNotNull()
