@@ -33,3 +33,15 @@ def by_status(rows: DataFrame, status: str = "status") -> DataFrame:
 def rate_windows(calls: DataFrame, at: str = "ts", client: str = "client_id", limit: int = 60, window: str = "1 minute") -> DataFrame:
     """Calls of a client by fixed window, and whether they are over its limit."""
     return calls.groupBy(F.col(client).alias("client_id"), F.window(at, window)["start"].alias("window_start")).agg(F.count("*").alias("calls")).withColumn("limited", F.col("calls") > limit)
+
+
+def metric_lines(counters: DataFrame, prefix: str = "terrane") -> DataFrame:
+    """Counters (name, labels as a map, value) as lines of the text exposition format, ready for a text sink."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.replace(e["value"], F.lit('"'), F.lit('\\"')), F.lit('"'))), ",")
+    braces = F.when(F.size("labels") > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise("")
+    return counters.select(F.concat(F.lit(f"{prefix}_"), F.col("name"), braces, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def ordered_union(first: Column, second: Column) -> Column:
+    """Both lists without repeats, in the order of first mention."""
+    return F.array_distinct(F.concat(F.coalesce(first, F.array().cast("array<string>")), F.coalesce(second, F.array().cast("array<string>"))))

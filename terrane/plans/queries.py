@@ -193,6 +193,39 @@ def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.list_jobs(frame(spark, sf_dir, JOBS), frame(spark, sf_dir, SOURCES), "region_3", "failed").select("id", "source_code", "status")
 
 
+@query("metric_lines", f"""SELECT 'terrane_jobs_total{{source="' || source_id || '",status="' || status || '"}} ' || count(*) AS line FROM {J} GROUP BY source_id, status""")
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = frame(spark, sf_dir, JOBS).groupBy("source_id", "status").agg(F.count("*").alias("value"))
+    labels = F.create_map(F.lit("source"), F.col("source_id").cast("string"), F.lit("status"), F.col("status"))
+    return kpi.metric_lines(counts.select(F.lit("jobs_total").alias("name"), labels.alias("labels"), "value"))
+
+
+@query("ordered_union", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'AUTO' OR c_mktsegment = c_name THEN c_mktsegment || ',x' ELSE c_mktsegment || ',x,' || c_name END AS joined FROM customer")
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    both = kpi.ordered_union(F.array("c_mktsegment", F.lit("x")), F.when(F.col("c_mktsegment") != "AUTO", F.array("c_name", "c_mktsegment")))
+    return c.select(F.col("c_custkey").alias("id"), F.array_join(both, ",").alias("joined"))
+
+
+@query("payload_preview", f"SELECT id, coalesce(json_extract_string(p, '$.title'), json_extract_string(p, '$.name')) AS name, substr(json_extract_string(p, '$.address'), 1, 120) AS address FROM (SELECT id, CASE WHEN id % 2 = 0 THEN '{{\"title\": \"t' || id || '\", \"address\": \"' || repeat('ab ', 60) || '\"}}' ELSE '{{\"name\": \"n' || id || '\"}}' END AS p FROM {R})")
+def payload_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.concat(F.lit('{"title": "t'), F.col("id"), F.lit('", "address": "'), F.repeat(F.lit("ab "), 60), F.lit('"}'))
+    name, address = serve.payload_preview(F.col("p"))
+    return frame(spark, sf_dir, RAW).select("id", F.when(F.col("id") % 2 == 0, even).otherwise(F.concat(F.lit('{"name": "n'), F.col("id"), F.lit('"}'))).alias("p")).select("id", name.alias("name"), address.alias("address"))
+
+
+@query("permissions", "SELECT c_custkey AS id, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS may_write FROM customer")
+def permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("read"), F.lit("write"))).when(F.col("c_custkey") % 5 == 0, F.array(F.lit("*"))).otherwise(F.array(F.lit("read")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), serve.may(held, "write").alias("may_write"))
+
+
+@query("history_of_one", f"SELECT id, source_id AS version FROM {J} WHERE id % 40 = 7 ORDER BY version, completed_at")
+def history_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = frame(spark, sf_dir, JOBS).select("id", F.col("source_id").alias("version"), F.col("completed_at").alias("changed_at"), (F.col("id") % 40).alias("master_poi_id"))
+    return serve.history_of(history, 7).select("id", "version")
+
+
 # --------------------------------------------------------------------------- crawl planning
 
 
@@ -625,6 +658,17 @@ def manual_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.reject(frame(spark, sf_dir, SILVER), [3, 9, 12], "closed").select("id", "merge_status", "merge_reason")
 
 
+@query("dedupe_stats", f"SELECT count(DISTINCT id % 13) AS clusters, count(DISTINCT id % 97) AS masters_created, count(*) AS members_merged, 0::BIGINT AS llm_calls FROM {S}")
+def dedupe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = frame(spark, sf_dir, SILVER).withColumn("cluster_id", F.col("id") % 13)
+    return dedupe.dedupe_stats(placed, _masters(spark, sf_dir))
+
+
+@query("grid_distance_pairs", f"WITH {POINTS_SQL}, {EDGES_SQL} SELECT count(*) > 0 AS linked FROM e")
+def grid_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.neighbour_links(_dense(spark, sf_dir)).agg((F.count("*") > 0).alias("linked"))
+
+
 @query("quality_score", f"""SELECT id, round(completeness * 0.25::DOUBLE + freshness * 0.1::DOUBLE + rel * 0.15::DOUBLE + conf * 0.2::DOUBLE + phone * 0.1::DOUBLE + 0.2::DOUBLE, 3) AS score, completeness, freshness FROM (SELECT id, phone, conf, rel, round((2 + phone + (address_normalized IS NOT NULL)::INT + 1) / 6.0::DOUBLE, 3) AS completeness, round(pow(0.5::DOUBLE, id % 400 / 180.0::DOUBLE), 3) AS freshness
   FROM (SELECT *, (phone_e164 IS NOT NULL)::INT AS phone, id % 11 / 10.0::DOUBLE AS raw_conf, least(1.0, id % 11 / 10.0::DOUBLE) AS conf, CASE source_code WHEN 'google_places' THEN 0.9::DOUBLE WHEN 'osm_overpass' THEN 0.7 WHEN 'gosom_scraper' THEN 0.75 ELSE 0.5 END AS rel FROM {S}))""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,18 @@ def test_scraper_csv(spark, tmp_path):
     assert got[1].source_poi_id.startswith("gosom-") and got[1].lat is None
 
 
+def test_data_source(spark):
+    from terrane.sources.datasource import PlaceSource, grid
+
+    spark.dataSource.register(PlaceSource)
+    box = {"west": 105.78, "south": 20.95, "east": 105.92, "north": 21.10}
+    got = spark.read.format("places").options(fetcher="terrane.sources.samples:fetch", category="retail", cell_m="5000", **{k: str(v) for k, v in box.items()}).load()
+    centres = grid(*box.values(), 5000)
+    rows = got.collect()
+    assert got.rdd.getNumPartitions() == len(centres) and sorted((r.lat, r.lng) for r in rows) == sorted(centres)
+    assert all(r.source_poi_id.startswith("retail-") for r in rows)
+
+
 def test_unknown_sources_are_left_out(spark):
     raw = spark.createDataFrame([(1, "nowhere", "{}")], "raw_poi_id long, source_code string, raw_payload string")
     assert adapters.extract(raw).count() == 0
