@@ -304,3 +304,17 @@ def test_streams(spark, tmp_path):
     assert query.awaitTermination(120) and sum(seen) == 1
     calls = incremental.rate_stream(spark.readStream.schema("ts timestamp, client_id long").json(str(landing)))
     assert calls.isStreaming and calls.columns == ["client_id", "window_start", "calls"]
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    from terrane.sources import tables
+
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        tables.read_version(spark, path)
+    units = tables.conform(refdata.admin_units(spark), "admin_units")
+    assert tables.write_version(units, path) == 1
+    assert tables.write_version(tables.read_version(spark, path).filter("level = 1"), path) == 2
+    (tmp_path / "t" / "v=3").mkdir()  # a write that failed
+    assert tables.read_version(spark, path).count() == 63 and tables.read_version(spark, path, 1).count() == 125
+    assert tables.conform(spark.range(1), "crawl_plan").columns[0] == "id" and all(tables.conform(spark.range(0), t).columns for t in tables.SCHEMAS)
