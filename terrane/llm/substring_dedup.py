@@ -164,46 +164,66 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()), batch.column("anchors")], names=["doc_id", "n_words", "digest", "z", "anchors"])
 
 
-def _documents(batch: pa.RecordBatch):
-    """Row, words, hashes and pieces of repeated anchors, for each document of a batch."""
+def _parts(batch: pa.RecordBatch):
+    """The documents of a batch in chunks: first row, texts, hashes of all words, text of each word, first word of each text."""
     unpress = zstandard.ZstdDecompressor()
-    for i, (z, repeated) in enumerate(zip(batch.column("z").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
-        text = unpress.decompress(z)
-        hashes, owner, *_ = word_hashes([text], lower=False)
-        anchor, words, first, count = _pieces(hashes, owner)
-        has = np.isin(signed(anchor), np.asarray(repeated, dtype=np.int64))
-        yield i, text, hashes, (signed(anchor[has]), signed(words[has]), first[has], count[has])
+    texts = [unpress.decompress(z) for z in batch.column("z").to_pylist()]
+    for a, b in chunks(texts):
+        hashes, owner, *_ = word_hashes(texts[a:b], lower=False)
+        yield a, texts[a:b], hashes, owner, np.searchsorted(owner, np.arange(b - a + 1))
+
+
+def _repeated(column: pa.Array, first: int, count: int, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of a chunk whose anchors are among those listed for their document: anchor, words, first word, windows."""
+    anchor, words, start, windows = _pieces(hashes, owner)
+    lists = column.slice(first, count)
+    sizes = np.diff(np.asarray(lists.offsets))
+    tag = lambda a, of: mix64(a + (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    listed = np.sort(tag(np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64), np.repeat(np.arange(count), sizes)))
+    wanted = tag(anchor, owner[start])
+    at = np.minimum(np.searchsorted(listed, wanted), max(0, len(listed) - 1))
+    has = listed[at] == wanted if len(listed) else np.zeros(len(wanted), dtype=bool)
+    return anchor[has], words[has], start[has], windows[has]
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for i, _, _, (anchor, words, first, count) in _documents(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(words), pa.array(np.full(len(first), ids[i])), pa.array(first, pa.int64()), pa.array(count, pa.int32())], names=["anchor", "piece", "doc_id", "start", "windows"])
+        ids = np.asarray(batch.column("doc_id"))
+        for a, texts, hashes, owner, begin in _parts(batch):
+            anchor, words, start, windows = _repeated(batch.column("anchors"), a, len(texts), hashes, owner)
+            of = owner[start]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(anchor)), pa.array(signed(words)), pa.array(ids[a + of]), pa.array(start - begin[of], pa.int64()), pa.array(windows, pa.int32())], names=["anchor", "piece", "doc_id", "start", "windows"]
+            )
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the wanted pieces; of hot anchors each window with its own key."""
-    unpress = zstandard.ZstdDecompressor()
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for i, (z, wanted) in enumerate(zip(batch.column("z").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
-            hashes, *_ = word_hashes([unpress.decompress(z)], lower=False)
-            keys, starts, counts, words = [], [], [], []
-            for piece in wanted:
-                start, count = piece["start"], piece["windows"]
-                if not piece["hot"]:
-                    keys.append(piece["anchor"])
+        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("wanted")
+        for a, texts, hashes, _, begin in _parts(batch):
+            raw = hashes.tobytes()
+            lists = wanted.slice(a, len(texts))
+            of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets))).tolist()
+            flat = lists.flatten()
+            columns = [flat.field(k).to_pylist() for k in range(4)]
+            keys, docs, starts, counts, words = [], [], [], [], []
+            for i, anchor, start, count, hot in zip(of, *columns, strict=True):
+                at = int(begin[i]) + start
+                if not hot:
+                    keys.append(anchor)
+                    docs.append(ids[a + i])
                     starts.append(start)
                     counts.append(count)
-                    words.append(hashes[start : start + count + WINDOW - 1].tobytes())
+                    words.append(raw[8 * at : 8 * (at + count + WINDOW - 1)])
                     continue
-                for at in range(start, start + count):
-                    keys.append(int.from_bytes(hashlib.blake2b(hashes[at : at + WINDOW].tobytes(), digest_size=8).digest(), "little", signed=True))
-                    starts.append(at)
+                for k in range(count):
+                    keys.append(int.from_bytes(hashlib.blake2b(raw[8 * (at + k) : 8 * (at + k + WINDOW)], digest_size=8).digest(), "little", signed=True))
+                    docs.append(ids[a + i])
+                    starts.append(start + k)
                     counts.append(1)
                     words.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([ids[i]] * len(keys), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.binary())], names=["key", "doc_id", "start", "windows", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.binary())], names=["key", "doc_id", "start", "windows", "words"])
 
 
 def _shard(pieces: pa.Table) -> pa.Table:
@@ -223,24 +243,25 @@ def _shard(pieces: pa.Table) -> pa.Table:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [[], [], [], []]
-        ids, owned = batch.column("doc_id").to_pylist(), batch.column("owned").to_pylist()
-        for i, text, hashes, (_, _, first, count) in _documents(batch):
-            repeated = np.zeros(len(hashes) + 1, dtype=bool)
-            for start, n in zip(first, count, strict=True):
-                repeated[start : start + n] = True
-            for piece in owned[i] or ():
-                for k in range(piece["windows"]):
-                    if piece["own"] >> k & 1:
-                        repeated[piece["start"] + k] = False
-            cover = np.zeros(len(hashes) + WINDOW + 1, dtype=np.int64)
+        for a, texts, hashes, owner, begin in _parts(batch):
+            _, _, start, windows = _repeated(batch.column("anchors"), a, len(texts), hashes, owner)
+            marks = np.zeros(len(hashes) + 1, dtype=np.int64)
+            np.add.at(marks, start, 1)
+            np.add.at(marks, start + windows, -1)
+            repeated = np.cumsum(marks)[: len(hashes)] > 0
+            lists = batch.column("owned").slice(a, len(texts))
+            of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+            flat = lists.flatten()
+            first, count, own = (np.asarray(flat.field(k), dtype=np.int64) for k in range(3))
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            kept = np.repeat(own, count) >> step & 1 == 1
+            repeated[(np.repeat(begin[of] + first, count) + step)[kept]] = False
             at = np.flatnonzero(repeated)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + WINDOW, -1)
+            cover = np.bincount(at, minlength=len(hashes) + WINDOW + 1) - np.bincount(at + WINDOW, minlength=len(hashes) + WINDOW + 1)
             keep = np.cumsum(cover)[: len(hashes)] == 0
-            for column, value in zip(out, (ids[i], len(hashes), int((~keep).sum()), _digest(list(compress(text.split(), keep)))), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            digests = [_digest(list(compress(t.split(), keep[i:j]))) for t, i, j in zip(texts, begin[:-1], begin[1:], strict=True)]
+            removed = np.bincount(owner[~keep], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(texts)), pa.array(np.diff(begin), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
