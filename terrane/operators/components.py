@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.plans.scratch import materialize
 
-#: Pointer jumps in a round: each doubles how far along a chain a label travels.
+#: Pointer jumps in a round: steps that a label travels further along a chain before the edges are contracted.
 JUMPS = 2
 
 
@@ -25,9 +25,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not pairs.isEmpty():
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")), "parents")
+        above, jumped = parent.select(F.col("node").alias("p"), F.col("p").alias("pp")), parent
         for _ in range(JUMPS):
-            above = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            parent = materialize(parent.join(above, "p").select("node", F.col("pp").alias("p")), "parents")
+            jumped = jumped.join(above, "p").select("node", F.col("pp").alias("p"))
+        parent = materialize(jumped, "ancestors")
         step = parent.select(F.col("node").alias("component"), "p")
         labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
         at_a, at_b = parent.select(F.col("node").alias("a"), F.col("p").alias("pa")), parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
