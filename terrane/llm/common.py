@@ -12,7 +12,7 @@ from terrane.plans.scratch import checkpoint_dir, materialize
 __all__ = ["as_bytes", "checkpoint_dir", "chunks", "lower_ascii", "materialize", "mix64", "signed", "table", "word_hashes"]
 
 #: Text is worked on in numpy in chunks of about so many bytes (one longer text is a chunk of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,11 +98,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
-    """(first, last) index ranges of about `limit` bytes each."""
+def chunks(texts: list[bytes], limit: int = CHUNK_BYTES, most: int = CHUNK_TEXTS):
+    """(first, last) index ranges of about `limit` bytes and at most `most` texts each."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and (size + len(t) > limit or i - first >= most):
             yield first, i
             first, size = i, 0
         size += len(t) + 1

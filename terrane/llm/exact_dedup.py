@@ -47,7 +47,7 @@ def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, sha (of the normalised text), n, h, r; (n, h, r) is the identity of the text."""
     plain = docs.select("doc_id", "text")
     rows = materialize(_blocks(plain, block_bytes).drop("block"), "blocks")
-    repeated = rows.groupBy("h").count().filter("count > 1").select("h")
+    repeated = materialize(rows.groupBy("h").count().filter("count > 1").select("h"), "repeated-hashes")
     some = materialize(_blocks(plain, block_bytes).join(repeated, "h", "left_semi"), "repeated")
     names = materialize(_ranked(some.select("h", "block").distinct(), ["block"]), "names")
     collided = names.filter("r > 0").select("h").distinct()
