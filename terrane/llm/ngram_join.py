@@ -2,12 +2,12 @@
 
 Documents with equal sets form one class and are represented by one of them. Classes that share a key of four smallest
 hashes (one of BANDS independent keys) meet in a tile. In a tile only sizes of one band are compared (a set can only
-link to sets of at least 85 % of its size); 1,024-bit signatures bound each overlap from above, since every bit in which
+link to sets of at least 85 % of its size); 4,096-bit signatures bound each overlap from above, since every bit in which
 two differ needs an element that only one has; what the bound leaves is decided by intersecting the sorted hash arrays.
 
-Tiles do not emit pairs. First each class is checked against one hub of its tiles, then tiles whose members are not yet
-connected are checked in full, across components only: a link inside a component would change nothing. Large tiles are
-dealt in blocks. Two sets at the very threshold miss all keys with a chance under 1e-10; no link is lost otherwise.
+Tiles do not emit pairs. First each class is checked against one hub of its tiles, then members of tiles that still hold
+several components against their likeliest partners, and what is then still apart in full, across components only: a link
+inside a component would change nothing. Large tiles are dealt in blocks. Two sets at the very threshold miss all keys with a chance under 1e-10; no link is lost otherwise.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from terrane.operators.components import connected_components
 
 from .common import as_bytes, chunks, materialize, mix64, signed, word_hashes
 
-N, ROWS, BANDS, BITS = 4, 4, 32, 1024
+N, ROWS, BANDS, BITS = 4, 4, 32, 4096
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Partners a member of an open tile is first checked against: those with the highest bounds. What is left is checked in full.
+NEAREST = 3
 #: Bytes of sets that one task compares with a hub at a time, and members of a block of a large tile.
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 
@@ -130,18 +132,25 @@ def _against_hub(hub: pa.Table, members: pa.Table) -> pa.Table:
     return pa.table([pa.array([hub["id"][0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=_LINK)
 
 
-def _across(probes: pa.Table, members: pa.Table) -> pa.Table:
-    """Pairs of a tile in different components that sizes and bits leave."""
-    if not probes.num_rows or not members.num_rows:
-        return _LINK.empty_table()
-    bits, sizes = _words(members["bits"]), members["n"].to_numpy()
-    ids, parts = members["id"].to_numpy(), members["component"].to_numpy()
-    a, b = [], []
-    for own, n, part, word in zip(probes["id"].to_pylist(), probes["n"].to_pylist(), probes["component"].to_pylist(), _words(probes["bits"]), strict=True):
-        near = ids[may_link(np.int64(n), sizes, word, bits) & (parts != part)]
-        a.append(np.minimum(near, own))
-        b.append(np.maximum(near, own))
-    return pa.table([np.concatenate(a), np.concatenate(b)], schema=_LINK)
+def _across(nearest: int | None):
+    """Pairs of a tile in different components that sizes and bits leave; of each probe the nearest ones, or all."""
+
+    def run(probes: pa.Table, members: pa.Table) -> pa.Table:
+        if not probes.num_rows or not members.num_rows:
+            return _LINK.empty_table()
+        bits, sizes = _words(members["bits"]), members["n"].to_numpy()
+        ids, parts = members["id"].to_numpy(), members["component"].to_numpy()
+        a, b = [], []
+        for own, n, part, word in zip(probes["id"].to_pylist(), probes["n"].to_pylist(), probes["component"].to_pylist(), _words(probes["bits"]), strict=True):
+            near = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
+            near = near[may_link(np.int64(n), sizes[near], word, bits[near])]
+            if nearest is not None and len(near) > nearest:
+                near = near[np.argpartition(np.bitwise_count(bits[near] ^ word).sum(axis=1, dtype=np.int64), nearest)[:nearest]]
+            a.append(np.minimum(ids[near], own))
+            b.append(np.maximum(ids[near], own))
+        return pa.table([np.concatenate(a), np.concatenate(b)], schema=_LINK)
+
+    return run
 
 
 def _fresh(*names: str):
@@ -152,7 +161,7 @@ def _fresh(*names: str):
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among pairs (a: hub, b): each hub's set travels once for each block of its members."""
     there = pairs.join(sets.select(F.col("id").alias("b"), (F.col("n") * 8).alias("load")), "b")
-    blocks = there.groupBy("a").agg(F.ceil(F.sum("load") / BLOCK_BYTES).cast("int").alias("blocks"))
+    blocks = there.groupBy("a").agg(F.ceil(F.greatest(F.sum("load") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     blocks = materialize(blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "blocks")
     hubs = blocks.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_fresh("id", "grams", "bits"))
     members = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "b"), "b").select(*_fresh("a", "block"), F.col("b").alias("id"), *_fresh("grams", "bits"))
@@ -183,21 +192,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = _labels(wanted, links)
     named = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_part"))
     apart = hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")).join(named("a"), "a").join(named("b"), "b").filter("a_part <> b_part").select("a", "b")
-    links = links.unionByName(materialize(_verify(materialize(apart, "apart"), sets), "links"))
-    labels = _labels(wanted, links)
+    apart = materialize(apart, "apart")
+    if not apart.isEmpty():
+        more = materialize(_verify(apart, sets), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = _labels(wanted, links)
     # Tiles that still hold several components: all members outside the most frequent one meet all others.
-    placed = materialize(tiles.join(labels, "id").select("key", "id", "n", "component"), "placed")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("times"))
-    open_tiles = materialize(parts.groupBy("key").agg(F.max_by("component", F.struct("times", -F.col("component"))).alias("most"), F.count("*").alias("parts"), F.sum("times").alias("members"), F.max("times").alias("top")).filter("parts > 1"), "open")
-    if not open_tiles.isEmpty():
+    for nearest in (NEAREST, None):
+        placed = materialize(tiles.join(labels, "id").select("key", "id", "n", "component"), "placed")
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("times"))
+        open_tiles = materialize(parts.groupBy("key").agg(F.max_by("component", F.struct("times", -F.col("component"))).alias("most"), F.count("*").alias("parts"), F.sum("times").alias("members"), F.max("times").alias("top")).filter("parts > 1"), "open")
+        if open_tiles.isEmpty():
+            break
         blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK_ROWS))).cast("int")
         inside = placed.join(open_tiles, "key").join(sets.select("id", "bits"), "id").withColumn("pb", blocks(F.col("members") - F.col("top"))).withColumn("mb", blocks(F.col("members")))
         place = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
         probes = inside.filter("component <> most").select(*_fresh("key", "id", "n", "component", "bits"), place(F.col("pb")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
         members = inside.select(*_fresh("key", "id", "n", "component", "bits"), place(F.col("mb")).alias("m"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
-        pairs = probes.groupBy("key", "p", "m").cogroup(members.groupBy("key", "p", "m")).applyInArrow(_across, "a long, b long").distinct()
-        links = links.unionByName(materialize(_verify(materialize(pairs, "pairs"), sets), "links"))
-        labels = _labels(wanted, links)
+        pairs = probes.groupBy("key", "p", "m").cogroup(members.groupBy("key", "p", "m")).applyInArrow(_across(nearest), "a long, b long").distinct()
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        more = materialize(_verify(pairs, sets), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = _labels(wanted, links)
     named_classes = materialize(classes.join(labels, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")), "named")
     return (
         prints.select("doc_id", "n", "f1", "f2")
