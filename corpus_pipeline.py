@@ -17,6 +17,9 @@ from terrane.llm.packing import pack
 from terrane.llm.quality import keep_good
 from terrane.llm.secret_scan import redact_live
 
+#: Near copies here: runs of so many words, and the least Jaccard similarity in percent. op3_ngram_join has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
@@ -34,7 +37,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    dropped = near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -2,12 +2,13 @@
 
 Documents with equal sets form one class and are represented by one of them. Classes that share a key of four smallest
 hashes (one of BANDS independent keys) meet in a tile. In a tile only sizes of one band are compared (a set can only
-link to sets of at least 85 % of its size); 4,096-bit signatures bound each overlap from above, since every bit in which
+link to sets of at least 85 % of its size, or of whatever share makes a link); 4,096-bit signatures bound each overlap from above, since every bit in which
 two differ needs an element that only one has; what the bound leaves is decided by intersecting the sorted hash arrays.
 
 Tiles do not emit pairs. First each class is checked against one hub of its tiles, then members of tiles that still hold
 several components against their likeliest partners, and what is then still apart in full, across components only: a link
-inside a component would change nothing. Large tiles are dealt in blocks. Two sets at the very threshold miss all keys with a chance under 1e-10; no link is lost otherwise.
+inside a component would change nothing. Large tiles are dealt in blocks. Two sets at the very threshold miss all keys with a chance under 1e-10 at
+85 % and of 5e-8 at 80 %; no link is lost otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from terrane.operators.components import connected_components
 from .common import as_bytes, chunks, materialize, mix64, signed, word_hashes
 
 N, ROWS, BANDS, BITS = 4, 4, 32, 4096
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link, unless said otherwise: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Partners a member of an open tile is first checked against: those with the highest bounds. What is left is checked in full.
 NEAREST = 3
@@ -63,48 +64,56 @@ def sets_of(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return grams[fresh], np.concatenate(([0], np.cumsum(np.bincount(owners[fresh], minlength=len(texts)))))
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, size of the set, two hashes of the set, keys."""
-    for batch in batches:
-        texts = as_bytes(batch.column(1))
-        for first, last in chunks(texts):
-            grams, at = sets_of(texts[first:last])
-            size = np.diff(at)
-            full = np.flatnonzero(size)
-            prints, keys = np.zeros((2, len(size)), dtype=np.uint64), np.zeros((len(size), BANDS), dtype=np.uint64)
-            if len(full):
-                starts = at[:-1][full]
-                for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
-                    prints[i, full] = mix64(np.add.reduceat(mix64(grams ^ np.uint64(salt)), starts))
-                for band in range(BANDS):
-                    key = np.full(len(full), band + 1, dtype=np.uint64)
-                    for k in range(band * ROWS, (band + 1) * ROWS):
-                        key = mix64(key * _STEP + np.minimum.reduceat((grams ^ _XOR[k]) * _MUL[k], starts))
-                    keys[full, band] = key
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((size > 0) * BANDS))), pa.int32()), pa.array(signed(keys[full].ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size), pa.array(signed(prints[0])), pa.array(signed(prints[1])), lists], names=["doc_id", "n", "f1", "f2", "keys"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, sorted hashes and bit signature."""
-    for batch in batches:
-        texts = as_bytes(batch.column(1))
-        for first, last in chunks(texts):
-            grams, at = sets_of(texts[first:last])
-            bits = np.zeros((last - first, BITS), dtype=bool)
-            bits[np.repeat(np.arange(last - first), np.diff(at)), (grams % np.uint64(BITS)).astype(np.int64)] = True
-            packed = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(np.diff(at)), pa.array([grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["id", "n", "grams", "bits"]
-            )
-
-
-def may_link(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+def _prints(n: int):
+    """doc_id, size of the set of n-grams, two hashes of the set, keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for first, last in chunks(texts):
+                grams, at = sets_of(texts[first:last], n)
+                size = np.diff(at)
+                full = np.flatnonzero(size)
+                prints, keys = np.zeros((2, len(size)), dtype=np.uint64), np.zeros((len(size), BANDS), dtype=np.uint64)
+                if len(full):
+                    starts = at[:-1][full]
+                    for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+                        prints[i, full] = mix64(np.add.reduceat(mix64(grams ^ np.uint64(salt)), starts))
+                    for band in range(BANDS):
+                        key = np.full(len(full), band + 1, dtype=np.uint64)
+                        for k in range(band * ROWS, (band + 1) * ROWS):
+                            key = mix64(key * _STEP + np.minimum.reduceat((grams ^ _XOR[k]) * _MUL[k], starts))
+                        keys[full, band] = key
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((size > 0) * BANDS))), pa.int32()), pa.array(signed(keys[full].ravel())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size), pa.array(signed(prints[0])), pa.array(signed(prints[1])), lists], names=["doc_id", "n", "f1", "f2", "keys"])
+
+    return run
+
+
+def _sets(n: int):
+    """doc_id, sorted hashes of the n-grams and bit signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for first, last in chunks(texts):
+                grams, at = sets_of(texts[first:last], n)
+                bits = np.zeros((last - first, BITS), dtype=bool)
+                bits[np.repeat(np.arange(last - first), np.diff(at)), (grams % np.uint64(BITS)).astype(np.int64)] = True
+                packed = np.packbits(bits, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(np.diff(at)), pa.array([grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["id", "n", "grams", "bits"]
+                )
+
+    return run
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs the sizes and bit counts leave; bits as rows of 64-bit words."""
     both = n_a + n_b
-    left = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    left = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64)
-    return left & ((100 + PERCENT) * ((both - differ) // 2) >= PERCENT * both)
+    return left & ((100 + percent) * ((both - differ) // 2) >= percent * both)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -114,25 +123,29 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _against_hub(hub: pa.Table, members: pa.Table) -> pa.Table:
+def _against_hub(percent: int):
     """Links between a hub and its members."""
-    if not hub.num_rows or not members.num_rows:
-        return _LINK.empty_table()
-    own = np.frombuffer(hub["grams"][0].as_py(), dtype=np.uint64)
-    sets = members["grams"].to_pylist()
-    sizes = np.fromiter((len(s) // 8 for s in sets), dtype=np.int64, count=len(sets))
-    ids = members["id"].to_numpy()
-    found = []
-    for i in np.flatnonzero(may_link(np.int64(len(own)), sizes, _words(hub["bits"].slice(0, 1)), _words(members["bits"]))):
-        other = np.frombuffer(sets[i], dtype=np.uint64)
-        at = np.searchsorted(own, other)
-        common = int((own[np.minimum(at, len(own) - 1)] == other).sum())
-        if (100 + PERCENT) * common >= PERCENT * (len(own) + len(other)):
-            found.append(ids[i])
-    return pa.table([pa.array([hub["id"][0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=_LINK)
-
-
-def _across(nearest: int | None):
+
+    def run(hub: pa.Table, members: pa.Table) -> pa.Table:
+        if not hub.num_rows or not members.num_rows:
+            return _LINK.empty_table()
+        own = np.frombuffer(hub["grams"][0].as_py(), dtype=np.uint64)
+        sets = members["grams"].to_pylist()
+        sizes = np.fromiter((len(s) // 8 for s in sets), dtype=np.int64, count=len(sets))
+        ids = members["id"].to_numpy()
+        found = []
+        for i in np.flatnonzero(may_link(np.int64(len(own)), sizes, _words(hub["bits"].slice(0, 1)), _words(members["bits"]), percent)):
+            other = np.frombuffer(sets[i], dtype=np.uint64)
+            at = np.searchsorted(own, other)
+            common = int((own[np.minimum(at, len(own) - 1)] == other).sum())
+            if (100 + percent) * common >= percent * (len(own) + len(other)):
+                found.append(ids[i])
+        return pa.table([pa.array([hub["id"][0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=_LINK)
+
+    return run
+
+
+def _across(nearest: int | None, percent: int):
     """Pairs of a tile in different components that sizes and bits leave; of each probe the nearest ones, or all."""
 
     def run(probes: pa.Table, members: pa.Table) -> pa.Table:
@@ -142,8 +155,8 @@ def _across(nearest: int | None):
         ids, parts = members["id"].to_numpy(), members["component"].to_numpy()
         a, b = [], []
         for own, n, part, word in zip(probes["id"].to_pylist(), probes["n"].to_pylist(), probes["component"].to_pylist(), _words(probes["bits"]), strict=True):
-            near = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)))
-            near = near[may_link(np.int64(n), sizes[near], word, bits[near])]
+            near = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            near = near[may_link(np.int64(n), sizes[near], word, bits[near], percent)]
             if nearest is not None and len(near) > nearest:
                 near = near[np.argpartition(np.bitwise_count(bits[near] ^ word).sum(axis=1, dtype=np.int64), nearest)[:nearest]]
             a.append(np.minimum(ids[near], own))
@@ -158,43 +171,43 @@ def _fresh(*names: str):
     return [F.col(c).alias(c) for c in names]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among pairs (a: hub, b): each hub's set travels once for each block of its members."""
     there = pairs.join(sets.select(F.col("id").alias("b"), (F.col("n") * 8).alias("load")), "b")
     blocks = there.groupBy("a").agg(F.ceil(F.greatest(F.sum("load") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
     blocks = materialize(blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "blocks")
     hubs = blocks.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_fresh("id", "grams", "bits"))
     members = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "b"), "b").select(*_fresh("a", "block"), F.col("b").alias("id"), *_fresh("grams", "bits"))
-    return hubs.groupBy("a", "block").cogroup(members.groupBy("a", "block")).applyInArrow(_against_hub, "a long, b long")
+    return hubs.groupBy("a", "block").cogroup(members.groupBy("a", "block")).applyInArrow(_against_hub(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Components of documents whose n-gram sets have a Jaccard similarity of at least 85 %.
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Components of documents whose sets of n words in a row have a Jaccard similarity of at least percent.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), a row for each
-    input row. A document without words has no n-grams and links with nothing; one with fewer than four words has its
+    input row. A document without words has no n-grams and links with nothing; one with fewer than n words has its
     whole sequence as one. Null texts count as empty; a null doc_id links with nothing and keeps a null component; rows
     that repeat fall into one class; an empty table gives an empty result. Other columns are not looked at.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    prints = materialize(plain.mapInArrow(_prints, "doc_id long, n long, f1 long, f2 long, keys array<long>"), "prints")
+    prints = materialize(plain.mapInArrow(_prints(n), "doc_id long, n long, f1 long, f2 long, keys array<long>"), "prints")
     linked = prints.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(linked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
     keyed = linked.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct()
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter("members > 1"), "shared")
     tiles = materialize(keyed.join(shared, "key"), "tiles")
     wanted = materialize(tiles.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = materialize(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, grams binary, bits binary").dropDuplicates(["id"]), "sets")
+    sets = materialize(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, n long, grams binary, bits binary").dropDuplicates(["id"]), "sets")
     # Each class against its most frequent hub, then against its other hubs where that left them apart.
     hubs = tiles.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
     first = hubs.groupBy(F.col("id").alias("b")).agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("a"))
-    links = materialize(_verify(materialize(first, "first"), sets), "links")
+    links = materialize(_verify(materialize(first, "first"), sets, percent), "links")
     labels = _labels(wanted, links)
     named = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_part"))
     apart = hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")).join(named("a"), "a").join(named("b"), "b").filter("a_part <> b_part").select("a", "b")
     apart = materialize(apart, "apart")
     if not apart.isEmpty():
-        more = materialize(_verify(apart, sets), "links")
+        more = materialize(_verify(apart, sets, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _labels(wanted, links)
@@ -207,14 +220,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK_ROWS))).cast("int")
         inside = placed.join(open_tiles, "key").join(sets.select("id", "bits"), "id").withColumn("pb", blocks(F.col("members") - F.col("top"))).withColumn("mb", blocks(F.col("members")))
-        place = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+        place = lambda c: F.pmod(F.xxhash64("id", F.lit(7)), c).cast("int")
         probes = inside.filter("component <> most").select(*_fresh("key", "id", "n", "component", "bits"), place(F.col("pb")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
         members = inside.select(*_fresh("key", "id", "n", "component", "bits"), place(F.col("mb")).alias("m"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
-        pairs = probes.groupBy("key", "p", "m").cogroup(members.groupBy("key", "p", "m")).applyInArrow(_across(nearest), "a long, b long").distinct()
+        pairs = probes.groupBy("key", "p", "m").cogroup(members.groupBy("key", "p", "m")).applyInArrow(_across(nearest, percent), "a long, b long").distinct()
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             break
-        more = materialize(_verify(pairs, sets), "links")
+        more = materialize(_verify(pairs, sets, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = _labels(wanted, links)
