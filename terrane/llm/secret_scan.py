@@ -96,9 +96,15 @@ def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
 
 
 def redact_live(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns, each live-looking secret of a document replaced by a mark wherever it stands in it."""
-    _, found = candidates(docs, F.concat_ws("/", "source", "lang"), F.coalesce(F.col("source"), F.lit("")))
-    hidden = "__terrane_secrets"  # a name that no column of the input may have
-    live = _judged(found).filter("live").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(hidden))
+    """The same rows and columns, each live-looking secret of a document replaced by a mark wherever it stands in it.
+
+    Rows of one doc_id are one document; a row without doc_id is known by its text instead.
+    """
+    unnamed = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    keyed = docs.withColumn("doc_id", F.struct("doc_id", unnamed.alias("sha")))
+    _, found = candidates(keyed, F.concat_ws("/", "source", "lang"), F.coalesce(F.col("source"), F.lit("")))
+    hidden, of, sha = "__terrane_secrets", "__terrane_doc", "__terrane_sha"  # names that no column of the input may have
+    live = _judged(found).filter("live").groupBy(F.col("doc_id.doc_id").alias(of), F.col("doc_id.sha").alias(sha)).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(hidden))
     clean = F.aggregate(hidden, F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
-    return docs.join(live, "doc_id", "left").select(*[F.when(F.col(hidden).isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col(of)) & unnamed.eqNullSafe(F.col(sha)), "left")
+    return joined.select(*[F.when(F.col(hidden).isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns])

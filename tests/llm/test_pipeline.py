@@ -74,6 +74,13 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()) == [1, 3, 4]
 
 
+def test_secrets_of_rows_without_id(spark):
+    rows = [(None, "first Zx9kQ2mW7rT4yU8iO1pA3sD6 end", "en", "s", 0), (None, "second Qm3nB7vC1xZ5aS9dF2gH6jK4 end", "en", "s", 0), (None, None, None, None, 0), (7, "third Lp8oI4uY2tR6eW1qA5sD9fG3 end", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(None, "first [SECRET] end"), (None, "second [SECRET] end"), (None, None), (7, "third [SECRET] end")]
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.secrets(spark, docs, SMALL).collect()) == Counter(want)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048
