@@ -13,6 +13,7 @@ from terrane.functions import geo, refdata, similarity, text
 from terrane.operators import bronze, components, crawl, dedupe, kpi, normalize, serve
 from terrane.sources import adapters
 
+from .scratch import materialize
 from .views import JOBS, MASTERS, PLAN, PROVINCES, RAW, SILVER, SOURCES, frame, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,6 +616,24 @@ def resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.accepted_edges(scored, said)
 
 
+def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pending pairs of each spatial cluster, by real names and addresses."""
+    silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'").withColumn("name_embedding", similarity.embed(F.col("name_original")))
+    return dedupe.score_pairs(dedupe.candidate_pairs(silver.join(dedupe.spatial_clusters(silver), "id"), salts=4))
+
+
+@query("pair_decision_all")
+def pair_decision_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pairs(spark, sf_dir)
+
+
+@query("resolved_edges_all")
+def resolved_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = materialize(_all_pairs(spark, sf_dir), "scored")
+    said = dedupe.resolve(scored, lambda a, b: ((a["id"] + b["id"]) % 2 == 0, 0.9 if (a["id"] + b["id"]) % 3 else 0.3, "parity"))
+    return dedupe.accepted_edges(scored, said)
+
+
 MASTER_SQL = f"""WITH m AS (SELECT *, id % 97 AS component, quality_score AS q, CASE source_code WHEN 'google_places' THEN 10 WHEN 'osm_overpass' THEN 20 WHEN 'gosom_scraper' THEN 30 ELSE 1000 END AS prio, greatest(quality_score, 0.01) AS w FROM {S}),
   f AS (SELECT component, {', '.join(f"arg_max({c}, struct_pack(q := q, p := -prio, i := -id)) FILTER (WHERE {c} IS NOT NULL AND {c} <> '') AS {a}" for c, a in (('name_original', 'canonical_name'), ('address_normalized', 'canonical_address'), ('phone_e164', 'canonical_phone'), ('openooh_category', 'openooh_category'), ('brand', 'brand')))},
     round(sum(lat * w) / sum(w), 7) AS lat, round(sum(lng * w) / sum(w), 7) AS lng, count(*)::INT AS sources_count, count(DISTINCT source_code) AS distinct_sources, round(max(q), 2) AS confidence, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS id FROM m GROUP BY component),
