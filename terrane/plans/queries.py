@@ -576,6 +576,26 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.review_queue(_dense(spark, sf_dir)).select("id", "cluster_id", "cluster_size")
 
 
+def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'")
+
+
+@query("spatial_clusters_all")
+def spatial_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.spatial_clusters(_pending(spark, sf_dir))
+
+
+@query("review_queue_all")
+def review_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.review_queue(_pending(spark, sf_dir)).select("id", "cluster_id", "cluster_size")
+
+
+@query("grid_distance_links_all")
+def grid_distance_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour links of all pending points, which the components follow from."""
+    return dedupe.neighbour_links(_pending(spark, sf_dir))
+
+
 @query("union_find", "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 3) % 1000 AS b FROM customer WHERE c_custkey % 5 = 0), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id) SELECT id AS node, min(root) AS component FROM r GROUP BY id")
 def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 5 = 0").selectExpr("c_custkey AS a", "(c_custkey * 3) % 1000 AS b")

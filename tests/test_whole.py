@@ -66,3 +66,13 @@ def test_pairs_of_all_pending_rows(spark, folder, pending):
     assert {r.decision for r in got.values()} == {"auto_merge", "needs_llm", "distinct"}
     edges = {(r.a, r.b) for r in place.QUERIES["resolved_edges_all"](spark, folder).collect()}
     assert edges == {(i, j) for (i, j), r in got.items() if r.decision == "auto_merge" or (r.decision == "needs_llm" and (i + j) % 2 == 0 and (i + j) % 3)}
+
+
+def test_clusters_of_all_pending_rows(spark, folder, pending):
+    label = components_of(pending, linked(pending))
+    size = {c: list(label.values()).count(c) for c in label.values()}
+    assert {r.id: r.cluster_id for r in place.QUERIES["spatial_clusters_all"](spark, folder).collect()} == label
+    queue = {r.id: (r.cluster_id, r.cluster_size) for r in place.QUERIES["review_queue_all"](spark, folder).collect()}
+    assert queue == {i: (c, size[c]) for i, c in label.items() if size[c] > 1}
+    links = [(r.a, r.b) for r in place.QUERIES["grid_distance_links_all"](spark, folder).collect()]
+    assert components_of(pending, links) == label
