@@ -602,6 +602,11 @@ def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(edges)
 
 
+@query("union_find_all")
+def union_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.connected_components(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS a", "(c_custkey * 3) % 1000 AS b"))
+
+
 @query("cosine_pairs", "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(greatest(0, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -76,3 +76,9 @@ def test_clusters_of_all_pending_rows(spark, folder, pending):
     assert queue == {i: (c, size[c]) for i, c in label.items() if size[c] > 1}
     links = [(r.a, r.b) for r in place.QUERIES["grid_distance_links_all"](spark, folder).collect()]
     assert components_of(pending, links) == label
+
+
+def test_components_of_every_customer(spark, folder):
+    edges = [(r.c_custkey, r.c_custkey * 3 % 1000) for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect()]
+    want = components_of({x for e in edges for x in e}, edges)
+    assert {r.node: r.component for r in place.QUERIES["union_find_all"](spark, folder).collect()} == want
