@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.plans.scratch import checkpoint_dir, materialize
 
-__all__ = ["as_bytes", "checkpoint_dir", "chunks", "lower_ascii", "materialize", "mix64", "signed", "table", "word_hashes"]
+__all__ = ["as_bytes", "checkpoint_dir", "chunks", "lower_ascii", "materialize", "mix64", "signed", "table", "unused", "word_hashes"]
 
 #: Text is worked on in numpy in chunks of about so many bytes (one longer text is a chunk of its own).
 CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. All-ASCII texts take the fast built-in."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -1,14 +1,18 @@
 """Near-duplicate join on word n-grams by exact Jaccard similarity.
 
-Documents with equal sets form one class and are represented by one of them. Classes that share a key of four smallest
-hashes (one of BANDS independent keys) meet in a tile. In a tile only sizes of one band are compared (a set can only
-link to sets of at least 85 % of its size, or of whatever share makes a link); 4,096-bit signatures bound each overlap from above, since every bit in which
-two differ needs an element that only one has; what the bound leaves is decided by intersecting the sorted hash arrays.
-
-Tiles do not emit pairs. First each class is checked against one hub of its tiles, then members of tiles that still hold
-several components against their likeliest partners, and what is then still apart in full, across components only: a link
-inside a component would change nothing. Large tiles are dealt in blocks. Two sets at the very threshold miss all keys with a chance under 1e-10 at
-85 % and of 5e-8 at 80 %; no link is lost otherwise.
+Documents with equal sets form one class. A set can only link to another if all but a few of its n-grams are shared (at 85 %
+at most 15 % are its own), so two exact filters come first: a class with more n-grams of its own than that is closed, which a
+fixed share of the hash space already shows for most; and of the n-grams of an open class, put in order from rare to frequent,
+any two linked sets share one of the first few (their prefixes).
+
+A tile holds the sets of one band of sizes (and of the band below, where partners may be) that have one n-gram in their
+prefixes. In a tile, sizes, places in the prefix and hashed bit signatures bound each overlap from above, since every bit in
+which two differ needs an element that only one has; what the bounds leave is decided by intersecting the sorted hash arrays.
+The signatures grow with the sets, so that they bound long sets as well as short ones.
+
+Tiles are met in rounds: first each class against the hub that it shares most tiles with, then members of tiles that still
+hold several components against their likeliest partners, and what is then still apart in full, across components only: a link
+inside a component would change nothing. Large tiles are dealt in blocks. No step drops a pair that may link.
 """
 
 from __future__ import annotations
@@ -17,24 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.components import connected_components
 
-from .common import as_bytes, chunks, materialize, mix64, signed, word_hashes
+from .common import as_bytes, chunks, materialize, mix64, signed, unused, word_hashes
 
-N, ROWS, BANDS, BITS = 4, 4, 32, 4096
-#: A link, unless said otherwise: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: Words of an n-gram, and a link: 100 * intersection >= PERCENT * union.
+N, PERCENT = 4, 85
+#: Share of the hash space that is looked at for own n-grams, in units of the largest share that a set may have of its own.
+LOOK = 1.75
+#: Bits of a signature: at least LEAST_BITS, at most MOST_BITS, and BITS_EACH for an element in between.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1024, 1 << 17, 4
 #: Partners a member of an open tile is first checked against: those with the highest bounds. What is left is checked in full.
 NEAREST = 3
-#: Bytes of sets that one task compares with a hub at a time, and members of a block of a large tile.
+#: Bytes of sets compared with one hub at a time, and members of a block of a large tile.
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
-
-_RANDOM = np.random.Generator(np.random.PCG64(85))
-_XOR = _RANDOM.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + _RANDOM.integers(0, 2, ROWS * BANDS, dtype=np.uint64)
-_MUL = _RANDOM.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -64,50 +67,84 @@ def sets_of(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return grams[fresh], np.concatenate(([0], np.cumsum(np.bincount(owners[fresh], minlength=len(texts)))))
 
 
-def _prints(n: int):
-    """doc_id, size of the set of n-grams, two hashes of the set, keys."""
+def _hashes_of_sets(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two hashes of each set; zero for an empty one."""
+    out = np.zeros((2, len(at) - 1), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+            out[i, full] = mix64(np.add.reduceat(mix64(grams ^ np.uint64(salt)), at[:-1][full]))
+    return out
+
+
+def _prints(n: int, percent: int):
+    """doc_id, h, size of the set of n-grams, two hashes of the set, its n-grams in the share of the hash space looked at."""
+    limit = np.uint64(min(1.0, LOOK * (100 - percent) / 100) * (2**64 - 2**11))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column("text"))
             for first, last in chunks(texts):
                 grams, at = sets_of(texts[first:last], n)
-                size = np.diff(at)
-                full = np.flatnonzero(size)
-                prints, keys = np.zeros((2, len(size)), dtype=np.uint64), np.zeros((len(size), BANDS), dtype=np.uint64)
-                if len(full):
-                    starts = at[:-1][full]
-                    for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
-                        prints[i, full] = mix64(np.add.reduceat(mix64(grams ^ np.uint64(salt)), starts))
-                    for band in range(BANDS):
-                        key = np.full(len(full), band + 1, dtype=np.uint64)
-                        for k in range(band * ROWS, (band + 1) * ROWS):
-                            key = mix64(key * _STEP + np.minimum.reduceat((grams ^ _XOR[k]) * _MUL[k], starts))
-                        keys[full, band] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((size > 0) * BANDS))), pa.int32()), pa.array(signed(keys[full].ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(size), pa.array(signed(prints[0])), pa.array(signed(prints[1])), lists], names=["doc_id", "n", "f1", "f2", "keys"])
+                prints = _hashes_of_sets(grams, at)
+                seen = grams < limit
+                where = np.concatenate(([0], np.cumsum(seen)))[at]
+                some = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(signed(grams[seen])))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, last - first), batch.column("h").slice(first, last - first), pa.array(np.diff(at)), pa.array(signed(prints[0])), pa.array(signed(prints[1])), some], names=["doc_id", "h", "n", "f1", "f2", "some"]
+                )
 
     return run
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Bits of a set, one for each hash value; the width is a power of two that grows with the set."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * len(grams) - 1).bit_length()))
+    bits = np.zeros(width, dtype=bool)
+    bits[(grams % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(n: int):
-    """doc_id, sorted hashes of the n-grams and bit signature."""
+    """Two hashes and size of the set, sorted hashes of the n-grams, bit signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column("text"))
             for first, last in chunks(texts):
                 grams, at = sets_of(texts[first:last], n)
-                bits = np.zeros((last - first, BITS), dtype=bool)
-                bits[np.repeat(np.arange(last - first), np.diff(at)), (grams % np.uint64(BITS)).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1)
+                prints = _hashes_of_sets(grams, at)
+                each = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(np.diff(at)), pa.array([grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["id", "n", "grams", "bits"]
+                    [pa.array(signed(prints[0])), pa.array(signed(prints[1])), pa.array(np.diff(at)), pa.array([g.tobytes() for g in each], pa.binary()), pa.array([signature(g) for g in each], pa.binary())], names=["f1", "f2", "n", "grams", "bits"]
                 )
 
     return run
 
 
+def _each_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each n-gram of each set: id, n, gram."""
+    for batch in batches:
+        ids, sizes = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+        first = 0
+        while first < len(ids):  # about a million n-grams at a time
+            last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 20)) + first)
+            grams = np.frombuffer(b"".join(batch.column("grams").slice(first, last - first).to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:last], sizes[first:last])), pa.array(np.repeat(sizes[first:last], sizes[first:last])), pa.array(grams)], names=["id", "n", "gram"])
+            first = last
+
+
+def fold(blobs: list[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words, wider ones folded to `width` bytes: an element's bit is its hash modulo the width."""
+    sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs))
+    out = np.zeros((len(blobs), width // 8), dtype=np.uint64)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        words = np.frombuffer(b"".join([blobs[i] for i in rows]), dtype=np.uint64)
+        out[rows] = np.bitwise_or.reduce(words.reshape(len(rows), size // width, width // 8), axis=1)
+    return out
+
+
 def may_link(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs the sizes and bit counts leave; bits as rows of 64-bit words."""
     both = n_a + n_b
@@ -116,129 +153,237 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.nd
     return left & ((100 + percent) * ((both - differ) // 2) >= percent * both)
 
 
-def _words(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), BITS // 64)
-
-
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int64()), ("more", pa.int64())])
 
 
 def _against_hub(percent: int):
-    """Links between a hub and its members."""
-
-    def run(hub: pa.Table, members: pa.Table) -> pa.Table:
-        if not hub.num_rows or not members.num_rows:
-            return _LINK.empty_table()
-        own = np.frombuffer(hub["grams"][0].as_py(), dtype=np.uint64)
-        sets = members["grams"].to_pylist()
-        sizes = np.fromiter((len(s) // 8 for s in sets), dtype=np.int64, count=len(sets))
-        ids = members["id"].to_numpy()
-        found = []
-        for i in np.flatnonzero(may_link(np.int64(len(own)), sizes, _words(hub["bits"].slice(0, 1)), _words(members["bits"]), percent)):
-            other = np.frombuffer(sets[i], dtype=np.uint64)
-            at = np.searchsorted(own, other)
-            common = int((own[np.minimum(at, len(own) - 1)] == other).sum())
-            if (100 + percent) * common >= percent * (len(own) + len(other)):
-                found.append(ids[i])
-        return pa.table([pa.array([hub["id"][0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=_LINK)
+    """Links between hubs and members: rows come sorted by hub and block, the hub itself first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = block = own = own_bits = None
+        for batch in batches:
+            a, blocks, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "block", "hub"))
+            ids, sets, bits = batch.column("id").to_numpy(), batch.column("grams"), batch.column("bits")
+            found_a, found_b = [], []
+            for i in range(len(ids)):
+                if first[i]:
+                    hub, block, own, own_bits = a[i], blocks[i], np.frombuffer(sets[i].as_py(), dtype=np.uint64), bits[i].as_py()
+                    continue
+                if a[i] != hub or blocks[i] != block:
+                    raise ValueError("a member came without its hub")
+                other, its_bits = np.frombuffer(sets[i].as_py(), dtype=np.uint64), bits[i].as_py()
+                pair = fold([own_bits, its_bits], min(len(own_bits), len(its_bits)))
+                if not may_link(np.int64(len(own)), np.int64(len(other)), pair[0], pair[1], percent):
+                    continue
+                at = np.searchsorted(own, other)
+                common = int((own[np.minimum(at, len(own) - 1)] == other).sum())
+                if (100 + percent) * common >= percent * (len(own) + len(other)):
+                    found_a.append(hub)
+                    found_b.append(ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=_LINK)
 
     return run
 
 
+def _unit_pairs(rows: dict[str, np.ndarray], blobs: list[bytes], nearest: int | None, percent: int) -> tuple[list[np.ndarray], bool]:
+    """Pairs (a, b, size of a) of one tile, or of one pair of its blocks, in different components that all bounds leave; and
+    whether some were left out because a probe has nearer ones."""
+    ids, n, parts, place, home = (rows[c] for c in ("id", "n", "component", "place", "home"))
+    bits = fold(blobs, min(map(len, blobs)))
+    others = np.flatnonzero(rows["member"])
+    found, cut = [], False
+    for i in np.flatnonzero(rows["probe"]):
+        both = n[others] + n[i]
+        # With this n-gram as the first that both prefixes share, no more than what follows it can be common.
+        most = np.minimum(n[others] - place[others], n[i] - place[i])
+        near = others[(parts[others] != parts[i]) & (home[others] | home[i]) & ((100 + percent) * most >= percent * both)]
+        near = near[may_link(n[i], n[near], bits[i], bits[near], percent)]
+        if nearest is not None and len(near) > nearest:
+            near, cut = near[np.argpartition(np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64), nearest)[:nearest]], True
+        if len(near):
+            less = ids[near] < ids[i]
+            found.append(np.stack((np.where(less, ids[near], ids[i]), np.where(less, ids[i], ids[near]), np.where(less, n[near], n[i]))))
+    return found, cut
+
+
 def _across(nearest: int | None, percent: int):
-    """Pairs of a tile in different components that sizes and bits leave; of each probe the nearest ones, or all."""
-
-    def run(probes: pa.Table, members: pa.Table) -> pa.Table:
-        if not probes.num_rows or not members.num_rows:
-            return _LINK.empty_table()
-        bits, sizes = _words(members["bits"]), members["n"].to_numpy()
-        ids, parts = members["id"].to_numpy(), members["component"].to_numpy()
-        a, b = [], []
-        for own, n, part, word in zip(probes["id"].to_pylist(), probes["n"].to_pylist(), probes["component"].to_pylist(), _words(probes["bits"]), strict=True):
-            near = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-            near = near[may_link(np.int64(n), sizes[near], word, bits[near], percent)]
-            if nearest is not None and len(near) > nearest:
-                near = near[np.argpartition(np.bitwise_count(bits[near] ^ word).sum(axis=1, dtype=np.int64), nearest)[:nearest]]
-            a.append(np.minimum(ids[near], own))
-            b.append(np.maximum(ids[near], own))
-        return pa.table([np.concatenate(a), np.concatenate(b)], schema=_LINK)
+    """Pairs of all units, and (as rows without a pair) the keys of the tiles where some were left out. Rows come sorted by
+    unit, and at most one unit is held back between batches."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        rows = {c: table[c].to_numpy() for c in ("unit", "key", "id", "n", "component", "place", "home", "probe", "member")}
+        blobs, units = table["bits"].to_pylist(), rows["unit"]
+        edges = np.concatenate(([0], np.flatnonzero(units[1:] != units[:-1]) + 1, [len(units)]))
+        found, more = [], set()
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            some, cut = _unit_pairs({c: v[x:y] for c, v in rows.items()}, blobs[x:y], nearest, percent)
+            found += some
+            if cut:
+                more.add(int(rows["key"][x]))
+        a, b, size = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+        gap = [None] * len(more)
+        return pa.RecordBatch.from_arrays([pa.array([*c.tolist(), *gap], pa.int64()) for c in (a, b, size)] + [pa.array([None] * len(a) + sorted(more), pa.int64())], schema=_PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units = batch.column("unit").to_numpy()
+            last = int(np.flatnonzero(units == units[-1])[0])
+            if last:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            elif held and held[0].column("unit")[0].as_py() != units[-1]:
+                yield pairs(pa.Table.from_batches(held))
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
 
     return run
 
 
 def _fresh(*names: str):
-    """Columns of the same names that a cogroup of two frames of one origin can tell apart."""
+    """Columns of the same names that a join of two frames of one origin can tell apart."""
     return [F.col(c).alias(c) for c in names]
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a: hub, b): each hub's set travels once for each block of its members."""
-    there = pairs.join(sets.select(F.col("id").alias("b"), (F.col("n") * 8).alias("load")), "b")
-    blocks = there.groupBy("a").agg(F.ceil(F.greatest(F.sum("load") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    blocks = materialize(blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "blocks")
-    hubs = blocks.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_fresh("id", "grams", "bits"))
-    members = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "b"), "b").select(*_fresh("a", "block"), F.col("b").alias("id"), *_fresh("grams", "bits"))
-    return hubs.groupBy("a", "block").cogroup(members.groupBy("a", "block")).applyInArrow(_against_hub(percent), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Components of documents whose sets of n words in a row have a Jaccard similarity of at least percent.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), a row for each
-    input row. A document without words has no n-grams and links with nothing; one with fewer than n words has its
-    whole sequence as one. Null texts count as empty; a null doc_id links with nothing and keeps a null component; rows
-    that repeat fall into one class; an empty table gives an empty result. Other columns are not looked at.
+    """The links among pairs (a: hub, b; an: size of a): each hub's set travels once for each block of its members."""
+    each = F.greatest(F.max("an") * (800 / percent / BLOCK_BYTES), F.lit(1 / BLOCK_ROWS))
+    blocks = materialize(pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * each)).cast("int").alias("blocks")), "blocks")
+    hubs = blocks.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("hub"), *_fresh("id", "grams", "bits"))
+    members = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets.withColumnRenamed("id", "b"), "b").select(*_fresh("a", "block"), F.lit(False).alias("hub"), F.col("b").alias("id"), *_fresh("grams", "bits"))
+    dealt = hubs.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.desc("hub"))
+    return dealt.mapInArrow(_against_hub(percent), "a long, b long")
+
+
+def _open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, nearest: int | None, percent: int) -> DataFrame | None:
+    """Pairs (a, b, an) of the tiles that still hold several components: all members outside the most frequent one meet all
+    others. Rows with `more` instead name the tiles of which only the nearest pairs are here."""
+    placed = materialize(tiles.join(labels, "id").select("key", "id", "n", "place", "home", "component"), "placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("times"))
+    open_tiles = parts.groupBy("key").agg(F.max_by("component", F.struct("times", -F.col("component"))).alias("most"), F.count("*").alias("parts"), F.sum("times").alias("members"), F.max("times").alias("top")).filter("parts > 1")
+    open_tiles = materialize(open_tiles, "open")
+    if open_tiles.isEmpty():
+        return None
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK_ROWS))).cast("int")
+    inside = placed.join(open_tiles, "key").join(sets.select("id", "bits"), "id").withColumn("pb", blocks(F.col("members") - F.col("top"))).withColumn("mb", blocks(F.col("members")))
+    place = lambda c: F.pmod(F.xxhash64("id", F.lit(7)), c).cast("int")
+    what = _fresh("key", "id", "n", "place", "home", "component", "bits")
+    unit = F.xxhash64("key", "p", "m").alias("unit")
+    is_probe = F.col("component") != F.col("most")
+    # A small tile is one unit, in which each member comes once; of a large one each block of probes meets each block of members.
+    small = inside.filter("mb = 1").select(F.xxhash64("key", F.lit(0), F.lit(0)).alias("unit"), *what, is_probe.alias("probe"), F.lit(True).alias("member"))
+    large = inside.filter("mb > 1")
+    probes = large.filter(is_probe).withColumn("p", place(F.col("pb"))).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select(unit, *what, F.lit(True).alias("probe"), F.lit(False).alias("member"))
+    members = large.withColumn("m", place(F.col("mb"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pb") - 1))).select(unit, *what, F.lit(False).alias("probe"), F.lit(True).alias("member"))
+    dealt = small.unionByName(probes).unionByName(members).repartition("unit").sortWithinPartitions("unit")
+    return materialize(dealt.mapInArrow(_across(nearest, percent), "a long, b long, an long, more long").distinct(), "pairs")
+
+
+def _prefix_tiles(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, place, home: the n-grams of each set's prefix that others have too, by band of sizes.
+
+    In order from rare to frequent a set's own n-grams come first, so the prefix's other places go to its rarest shared ones.
+    """
+    grams = sets.select("id", "n", "grams").mapInArrow(_each_gram, "id long, n long, gram long")
+    times = materialize(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
+    of_set = Window.partitionBy("id")
+    ranked = grams.join(times, "gram").withColumn("rank", F.row_number().over(of_set.orderBy("times", "gram"))).withColumn("shared", F.count("*").over(of_set))
+    place = F.col("n") - F.col("shared") + F.col("rank") - 1
+    prefix = ranked.withColumn("place", place).filter(F.col("place") <= F.floor((100 - percent) * F.col("n") / 100))
+    # A little wider than the greatest ratio of linked sizes, so rounding cannot part two bands that may link.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.001))).cast("long")
+    both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
+    return prefix.select("id", "n", "gram", "place", both.alias("in")).select(F.xxhash64("gram", "in.band").alias("key"), "id", "n", "place", "in.home")
+
+
+def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """A row for each input row: doc_id, h (hash of the text), n (size of the set), component (null where there is no set or
+    no doc_id), component_id.
+
+    Sets, not doc_ids, are what is linked: rows of one doc_id with different texts are different nodes.
     """
-    plain = docs.select(F.col("doc_id").cast("long"), "text")
-    prints = materialize(plain.mapInArrow(_prints(n), "doc_id long, n long, f1 long, f2 long, keys array<long>"), "prints")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    prints = materialize(plain.withColumn("h", F.xxhash64("text")).mapInArrow(_prints(n, percent), "doc_id long, h long, n long, f1 long, f2 long, some array<long>"), "prints")
     linked = prints.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(linked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    keyed = linked.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct()
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter("members > 1"), "shared")
-    tiles = materialize(keyed.join(shared, "key"), "tiles")
-    wanted = materialize(tiles.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = materialize(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, n long, grams binary, bits binary").dropDuplicates(["id"]), "sets")
-    # Each class against its most frequent hub, then against its other hubs where that left them apart.
-    hubs = tiles.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times"))
-    first = hubs.groupBy(F.col("id").alias("b")).agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("a"))
+    classes = materialize(linked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    # N-grams that one class alone has, by the hash of the class.
+    owners = linked.select("f1", F.explode("some").alias("gram")).groupBy("gram").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).filter("f1 = other")
+    own = owners.groupBy("f1").agg(F.count("*").alias("own"))
+    opened = materialize(classes.join(own, "f1", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")).select("id", "f1", "f2", "n", "first"), "opened")
+    texts = plain.join(opened.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(n), "f1 long, f2 long, n long, grams binary, bits binary").join(opened.select("id", "f1", "f2", "n"), ["f1", "f2", "n"])
+    sets = materialize(sets.select("id", "n", "grams", "bits").dropDuplicates(["id"]), "sets")
+    every = materialize(_prefix_tiles(sets, percent), "prefixes")
+    shared = every.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).filter("members > 1").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    tiles = materialize(every.join(materialize(shared, "hubs"), "key"), "tiles")
+    wanted = materialize(tiles.select("id").distinct(), "wanted")
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    hubs = tiles.filter(fits & (F.col("id") != F.col("hub"))).groupBy("id", "hub", "hub_n").agg(F.count("*").alias("times"))
+    first = hubs.groupBy(F.col("id").alias("b")).agg(F.max_by(F.struct("hub", "hub_n"), F.struct("times", -F.col("hub"))).alias("to")).select(F.col("to.hub").alias("a"), "b", F.col("to.hub_n").alias("an"))
     links = materialize(_verify(materialize(first, "first"), sets, percent), "links")
     labels = _labels(wanted, links)
-    named = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_part"))
-    apart = hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")).join(named("a"), "a").join(named("b"), "b").filter("a_part <> b_part").select("a", "b")
-    apart = materialize(apart, "apart")
-    if not apart.isEmpty():
-        more = materialize(_verify(apart, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = _labels(wanted, links)
-    # Tiles that still hold several components: all members outside the most frequent one meet all others.
     for nearest in (NEAREST, None):
-        placed = materialize(tiles.join(labels, "id").select("key", "id", "n", "component"), "placed")
-        parts = placed.groupBy("key", "component").agg(F.count("*").alias("times"))
-        open_tiles = materialize(parts.groupBy("key").agg(F.max_by("component", F.struct("times", -F.col("component"))).alias("most"), F.count("*").alias("parts"), F.sum("times").alias("members"), F.max("times").alias("top")).filter("parts > 1"), "open")
-        if open_tiles.isEmpty():
+        found = _open_pairs(tiles, labels, sets, nearest, percent)
+        if found is None:
             break
-        blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK_ROWS))).cast("int")
-        inside = placed.join(open_tiles, "key").join(sets.select("id", "bits"), "id").withColumn("pb", blocks(F.col("members") - F.col("top"))).withColumn("mb", blocks(F.col("members")))
-        place = lambda c: F.pmod(F.xxhash64("id", F.lit(7)), c).cast("int")
-        probes = inside.filter("component <> most").select(*_fresh("key", "id", "n", "component", "bits"), place(F.col("pb")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"))
-        members = inside.select(*_fresh("key", "id", "n", "component", "bits"), place(F.col("mb")).alias("m"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"))
-        pairs = probes.groupBy("key", "p", "m").cogroup(members.groupBy("key", "p", "m")).applyInArrow(_across(nearest, percent), "a long, b long").distinct()
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
+        pairs = found.filter("more IS NULL").select("a", "b", "an")
+        if not pairs.isEmpty():
+            more = materialize(_verify(pairs, sets, percent), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = _labels(wanted, links)
+        left = found.filter("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
+        if left.isEmpty():
             break
-        more = materialize(_verify(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = _labels(wanted, links)
-    named_classes = materialize(classes.join(labels, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")), "named")
-    return (
-        prints.select("doc_id", "n", "f1", "f2")
-        .join(named_classes, ["f1", "f2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+        tiles = tiles.join(left, "key", "left_semi")
+    named = classes.join(labels, "id", "left").select("f1", "f2", "n", "first", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = materialize(named.join(least, "component").select("f1", "f2", "n", "component", "component_id"), "named")
+    has = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = prints.select("doc_id", "h", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
+    return out.select("doc_id", "h", "n", F.when(has, F.col("component")).alias("component"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links)
-    return materialize(ids.select(F.col("doc_id").alias("id")).join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "parts")
+    return materialize(ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "parts")
+
+
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Components of documents whose sets of n words in a row have a Jaccard similarity of at least percent.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), a row for each
+    input row. A document without words has no n-grams and links with nothing; one with fewer than n words has its
+    whole sequence as one. Null texts count as empty; a null doc_id links with nothing and keeps a null component. Rows
+    that repeat fall into one class; rows of one doc_id with different texts are judged each by its own text. An empty
+    table gives an empty result. Other columns are not looked at.
+    """
+    return components_of_rows(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each component one row stays, of its smallest doc_id.
+
+    Where several texts of that doc_id are in the component, the one of the smallest hash stays; where the row itself
+    repeats, one of its copies. Rows without words or without doc_id all stay.
+    """
+    rows = components_of_rows(docs, n, percent).filter("component IS NOT NULL")
+    rows = materialize(rows.groupBy("component", "component_id", "doc_id", "h").agg(F.count("*").alias("times")), "members")
+    keep = rows.filter("doc_id = component_id").groupBy("component").agg(F.min("h").alias("kept"))
+    judged = rows.join(keep, "component").select("doc_id", "h", "times", ((F.col("doc_id") == F.col("component_id")) & (F.col("h") == F.col("kept"))).alias("stays"))
+    judged = materialize(judged.filter("NOT stays OR times > 1"), "judged")
+    of, hash_ = unused(docs, "of"), unused(docs, "hash")
+    same: Column = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(hash_))
+    named = lambda rows: rows.select(F.col("doc_id").alias(of), F.col("h").alias(hash_)).distinct()
+    left = docs.join(named(judged.filter("NOT stays")), same, "left_anti")
+    again = judged.filter("stays")
+    if again.isEmpty():
+        return left
+    once = left.join(named(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(named(again), same, "left_anti").unionByName(once)
