@@ -8,8 +8,12 @@ Spans where it reaches the window are removed.
 no broadcast may hold. So its shards are routed, not broadcast: the smallest of the hashed 4-grams in a window (its anchor)
 depends on the window alone, so equal windows share an anchor. A run of windows with one anchor is a piece. Anchors that
 occur once have no repeats; pieces of the other anchors are dealt to shards by anchor, each different piece is once streamed
-through its shard's automaton of all earlier pieces, and then added to it. The verdict on a piece holds for all its copies:
-a copy that isn't the first is repeated as a whole.
+through its shard's automaton of all earlier pieces, and then added to it. An anchor with many different pieces is spread
+further: its windows are dealt one by one, by a hash of the window, and stream through the automata of their shards all the
+same. The verdict on a piece holds for all its copies: a copy that isn't the first is repeated as a whole.
+
+Places are known by doc_id, start and a hash of the piece, so rows that share a doc_id don't take each other's verdicts. What
+is listed for a document (its repeated anchors, its pieces) is bounded by the words of its text.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import _POWERS, as_bytes, chunks, materialize, mix64, signed, word_hashes
 
 WINDOW, GRAM = 20, 4
-#: Pieces of a shard; an anchor with more different pieces than HOT is dealt window by window.
+#: Pieces of a shard; the windows of an anchor with more different pieces than HOT are dealt to shards one by one.
 SHARD_PIECES, HOT = 1000, 400
 #: Words that a broadcast reference may have.
 MAX_REFERENCE_WORDS = 400_000
@@ -197,54 +201,60 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _here(of: np.ndarray, at: np.ndarray, piece: np.ndarray, owner: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which listed pieces (text, first word, hash) are among the pieces of the chunk: another row of the doc_id may hold them."""
+    if not len(start):
+        return np.zeros(len(at), dtype=bool)
+    near = np.minimum(np.searchsorted(start, at), len(start) - 1)
+    return (start[near] == at) & (words[near].view(np.int64) == piece) & (owner[start[near]] == of)
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the wanted pieces; of hot anchors each window with its own key."""
+    """Words of the wanted pieces; of hot anchors of each window, dealt by a hash of its own."""
     for batch in batches:
         ids, wanted = batch.column("doc_id").to_pylist(), batch.column("wanted")
-        for a, texts, hashes, _, begin in _parts(batch):
+        for a, texts, hashes, owner, begin in _parts(batch):
             raw = hashes.tobytes()
             lists = wanted.slice(a, len(texts))
-            of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets))).tolist()
-            flat = lists.flatten()
-            columns = [flat.field(k).to_pylist() for k in range(4)]
-            keys, docs, starts, counts, words = [], [], [], [], []
-            for i, anchor, start, count, hot in zip(of, *columns, strict=True):
-                at = int(begin[i]) + start
-                if not hot:
-                    keys.append(anchor)
-                    docs.append(ids[a + i])
-                    starts.append(start)
-                    counts.append(count)
-                    words.append(raw[8 * at : 8 * (at + count + WINDOW - 1)])
+            of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+            anchor, starts, counts, pieces, hot = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            at = begin[of] + starts
+            _, words, first, _ = _pieces(hashes, owner)
+            there = _here(of, at, pieces, owner, first, words)
+            rows = []
+            for i, key, start, count, piece, spread, place in zip(*(x[there].tolist() for x in (of, anchor, starts, counts, pieces, hot, at)), strict=True):
+                if not spread:
+                    rows.append((key, ids[a + i], start, count, piece, 0, raw[8 * place : 8 * (place + count + WINDOW - 1)]))
                     continue
                 for k in range(count):
-                    keys.append(int.from_bytes(hashlib.blake2b(raw[8 * (at + k) : 8 * (at + k + WINDOW)], digest_size=8).digest(), "little", signed=True))
-                    docs.append(ids[a + i])
-                    starts.append(start + k)
-                    counts.append(1)
-                    words.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.binary())], names=["key", "doc_id", "start", "windows", "words"])
+                    window = raw[8 * (place + k) : 8 * (place + k + WINDOW)]
+                    rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), ids[a + i], start, count, piece, k, window))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_CONTENTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTENTS.types, strict=True)], schema=_CONTENTS)
+
+
+_CONTENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("piece", pa.int64()), ("shift", pa.int32()), ("words", pa.binary())])
 
 
 def _shard(pieces: pa.Table) -> pa.Table:
     """Stream each piece through the automaton of all earlier ones; own: the windows met for the first time, as bits."""
-    pieces = pieces.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+    pieces = pieces.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("shift", "ascending")])
     automaton, own = SuffixAutomaton(), []
-    for raw in pieces["words"].to_pylist():
+    for raw, shift in zip(pieces["words"].to_pylist(), pieces["shift"].to_pylist(), strict=True):
         tokens = np.frombuffer(raw, dtype=np.uint64).tolist()
         bits = 0
         for i, matched in enumerate(automaton.matches(tokens)[WINDOW - 1 :]):
             if matched < WINDOW:
-                bits |= 1 << i
+                bits |= 1 << i + shift
         own.append(bits)
         automaton.add(tokens)
-    return pa.table([pieces["doc_id"].combine_chunks(), pieces["start"].combine_chunks(), pieces["windows"].combine_chunks(), pa.array(own, pa.int64())], names=["doc_id", "start", "windows", "own"])
+    return pa.table([pieces["doc_id"].combine_chunks(), pieces["start"].combine_chunks(), pieces["windows"].combine_chunks(), pieces["piece"].combine_chunks(), pa.array(own, pa.int64())], names=["doc_id", "start", "windows", "piece", "own"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, texts, hashes, owner, begin in _parts(batch):
-            _, _, start, windows = _repeated(batch.column("anchors"), a, len(texts), hashes, owner)
+            _, words, start, windows = _repeated(batch.column("anchors"), a, len(texts), hashes, owner)
             marks = np.zeros(len(hashes) + 1, dtype=np.int64)
             np.add.at(marks, start, 1)
             np.add.at(marks, start + windows, -1)
@@ -252,7 +262,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = batch.column("owned").slice(a, len(texts))
             of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
             flat = lists.flatten()
-            first, count, own = (np.asarray(flat.field(k), dtype=np.int64) for k in range(3))
+            first, count, piece, own = (np.asarray(flat.field(k), dtype=np.int64) for k in range(4))
+            there = _here(of, begin[of] + first, piece, owner, start, words)
+            of, first, count, own = (x[there] for x in (of, first, count, own))
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             kept = np.repeat(own, count) >> step & 1 == 1
             repeated[(np.repeat(begin[of] + first, count) + step)[kept]] = False
@@ -269,8 +281,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), a row for each input row. Null
     and empty texts have no words; a row without doc_id has no place in the order: it is kept whole and removes nothing.
-    Rows that repeat a doc_id are one document met twice: they don't remove each other. An empty table gives an empty
-    result. Other columns are not looked at. Windows are judged on the input, not on what is left.
+    Rows that repeat are one document met twice and don't remove each other; of rows of one doc_id with different texts a
+    window that starts at a smaller word counts as the earlier one. An empty table gives an empty result. Other columns are
+    not looked at. Windows are judged on the input, not on what is left.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     placed = plain.filter("doc_id IS NOT NULL")
@@ -282,17 +295,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     some = judged.filter("z IS NOT NULL").select("doc_id", "z", "anchors")
     found = some.mapInArrow(_found, "anchor long, piece long, doc_id long, start long, windows int")
     different = found.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("windows").alias("windows"))
-    different = materialize(different.select("anchor", "first.doc_id", "first.start", "windows"), "pieces")
+    different = materialize(different.select("anchor", "piece", "first.doc_id", "first.start", "windows"), "pieces")
     kinds = materialize(different.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
     ranked = materialize(different.join(kinds, "anchor"), "ranked")
-    whole = ranked.filter("kinds = 1").select("doc_id", "start", "windows", F.lit(-1).cast("long").alias("own"))
-    wanted = ranked.filter("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
-    contents = materialize(some.select("doc_id", "z").join(wanted, "doc_id").mapInArrow(_contents, "key long, doc_id long, start long, windows int, words binary"), "contents")
-    streamed = contents.filter("words IS NOT NULL")
-    shards = max(1, -(-streamed.count() // SHARD_PIECES))
-    judged_pieces = streamed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t), "doc_id long, start long, windows int, own long")
-    single = contents.filter("words IS NULL").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.doc_id", "first.start", F.lit(1).alias("windows"), F.lit(1).cast("long").alias("own"))
-    owned = whole.unionByName(judged_pieces).unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "own")).alias("owned"))
+    whole = ranked.filter("kinds = 1").select("doc_id", "start", "windows", "piece", F.lit(-1).cast("long").alias("own"))
+    wanted = ranked.filter("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "piece", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
+    contents = materialize(some.select("doc_id", "z").join(wanted, "doc_id").mapInArrow(_contents, "key long, doc_id long, start long, windows int, piece long, shift int, words binary"), "contents")
+    shards = max(1, -(-contents.count() // SHARD_PIECES))
+    judged_pieces = contents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t), "doc_id long, start long, windows int, piece long, own long")
+    owned = whole.unionByName(judged_pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "piece", "own")).alias("owned"))
     changed = some.join(owned, "doc_id", "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return changed.unionByName(judged.filter("z IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")))
 
