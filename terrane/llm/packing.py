@@ -2,7 +2,9 @@
 
 Documents are tokenized in Arrow batches and cut into pieces of at most the sequence length. Pieces are packed first-fit
 decreasing, with a tournament tree over the free space of all bins, in each of many randomised groups of documents, so no
-task sees more than one group and the groups know nothing of each other.
+task sees more than one group and the groups know nothing of each other. A piece that fills a sequence is one as it is. The
+others are dealt to groups by the number of their row in the written table of pieces, so neither repeated rows, nor rows without
+an id, nor one very long document make a group large.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SEQUENCE, GROUP_PIECES, CACHED_WORDS = 2048, 2048, 150_000
+#: Tokens of a sequence, pieces of a group, words and bytes of the cache, where the ids of sequences of one full piece begin.
+SEQUENCE, GROUP_PIECES, CACHED_WORDS, CACHED_BYTES, FULL = 2048, 2048, 150_000, 32 << 20, 1 << 62
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class _Words(dict):
-    """Word to ids, worked out when first met; the generation before the present one is kept for words met again."""
+    """Word to ids, worked out when first met; the generation before the present one is kept for words met again. Both are
+    bounded by their words and by the bytes of words and ids."""
 
     def __init__(self, encode, limit: int) -> None:
         super().__init__()
-        self.encode, self.limit, self.before = encode, limit, {}
+        self.encode, self.limit, self.before, self.bytes = encode, limit, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
@@ -38,9 +42,11 @@ class _Words(dict):
             if not word or word[0].isspace() or word[-1].isspace():
                 raise KeyError(word)
             ids = self.encode(" " + word)
-        if len(self) >= self.limit:
+        self.bytes += 4 * len(word) + len(ids)
+        if len(self) >= self.limit or self.bytes > CACHED_BYTES:
             self.before = dict(self)
             self.clear()
+            self.bytes = 4 * len(word) + len(ids)
         self[word] = ids
         return ids
 
@@ -168,12 +174,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id (group and bin), offset. A null or empty text is
     the closing id alone; a repeated row is packed again; a null doc_id is packed like another; an empty table gives an
-    empty result. A piece ends where the sequence length is reached, never elsewhere.
+    empty result. A piece ends where the sequence length is reached, never elsewhere. Other columns are not looked at.
     """
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path, end_id, sequence), PIECES), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    return (
-        pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups)))
-        .groupBy("group")
-        .applyInPandas(_pack(sequence), PIECES + ", sequence_id long, offset long")
-    )
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path, end_id, sequence), PIECES)
+    pieces = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    full = pieces.filter(F.col("length") == sequence).withColumn("sequence_id", F.lit(FULL) + F.col("row")).withColumn("offset", F.lit(0).cast("long")).drop("row")
+    rest = pieces.filter(F.col("length") < sequence)
+    groups = max(1, -(-rest.count() // group_pieces))
+    packed = rest.withColumn("group", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(groups))).groupBy("group").applyInPandas(_pack(sequence), PIECES + ", sequence_id long, offset long")
+    return full.unionByName(packed)
