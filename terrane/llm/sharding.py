@@ -2,7 +2,8 @@
 
 Records are ordered by (hash of the text, doc_id). Keys drawn with a probability in proportion to their size give
 quantile boundaries, which cut the order into many ranges of about equal bytes; ranges that turn out overfull (a group of
-equal texts has one key) are subdivided by doc_id. Sums of the ranges then place each record exactly on the scale of
+equal texts has one key) are subdivided by a hash of doc_id and of the row's number, so that one row repeated many times is
+spread too. Sums of the ranges then place each record exactly on the scale of
 all bytes, and the shard is the part of that scale on which the record's middle lies.
 """
 
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Ranges aimed at, and sampled keys for each range: what the driver gathers stays at about RANGES * SAMPLES keys.
-RANGES, SAMPLES = 2048, 6
+#: Rows aimed at in a range, ranges at least, and sampled keys for each range: the driver gathers SAMPLES keys and two sums
+#: for about every RANGE_ROWS rows, and a task sorts about as many rows as a range has, however large the table is.
+RANGE_ROWS, LEAST_RANGES, SAMPLES = 32768, 64, 6
 
 
 def _longs(values) -> Column:
@@ -57,22 +59,24 @@ def splitters_of(sample: list[tuple[int, float]], ranges: int) -> list[int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, ranges: int = RANGES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Deal all rows into `shards` shards of near-equal bytes.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1; null text: 1), text_crc32, law ('bytes'), shard, slot (gapless
     from 0 in each shard), grown_shard (null). The sizes of two shards differ by less than the two longest records.
     Equal texts are neighbours in the order, so a group is spread over no more shards than its bytes need. Rows that
-    repeat, null ids and null texts are rows like others; an empty table gives an empty result.
+    repeat, null ids and null texts are rows like others; an empty table gives an empty result. Other columns are not
+    looked at.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = materialize(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k")).withColumn("tie", F.xxhash64("doc_id", F.lit(3))),
+        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k")).withColumn("tie", F.xxhash64("doc_id", F.lit(3))).withColumn("row", F.monotonically_increasing_id()),
         "sized",
     )
-    total = base.agg(F.sum("size")).first()[0] or 1
+    rows, total = base.agg(F.count("*"), F.sum("size")).first()
+    total, ranges = total or 1, max(LEAST_RANGES, -(-rows // range_rows))
     drawn = F.least(F.lit(1.0), F.col("size") * (ranges * SAMPLES / total))
-    unit = F.pmod(F.xxhash64("k", "tie", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    unit = F.pmod(F.xxhash64("k", "tie", "row", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = [(r.k, r.w) for r in base.withColumn("p", drawn).filter(unit < F.col("p")).select("k", (F.col("size") / F.col("p")).alias("w")).collect()]
     splitters = splitters_of(sample, ranges)
     ranged = base.withColumn("range", _range_of(F.col("k"), splitters).cast("int"))
@@ -81,11 +85,11 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int = RANGES) -> DataFrame:
     fair = total / ranges
     parts = [max(1, -(-int(by_range.get(i, 0)) // max(1, int(fair)))) if by_range.get(i, 0) > 2 * fair else 1 for i in range(count)]
     first = [0, *accumulate(parts)]
-    celled = ranged.withColumn("cell", (F.get(_longs(first[:-1]), F.col("range")) + F.pmod(F.col("tie"), F.get(_longs(parts), F.col("range")))).cast("int"))
+    celled = ranged.withColumn("cell", (F.get(_longs(first[:-1]), F.col("range")) + F.pmod(F.xxhash64("tie", "row"), F.get(_longs(parts), F.col("range")))).cast("int"))
     sums = {r.cell: (r.n, r.b) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     rows_before = [0, *accumulate(sums.get(i, (0, 0))[0] for i in range(first[-1]))][:-1]
     bytes_before = [0, *accumulate(sums.get(i, (0, 0))[1] for i in range(first[-1]))][:-1]
-    inside = Window.partitionBy("cell").orderBy("k", "tie", "doc_id")
+    inside = Window.partitionBy("cell").orderBy("k", "tie", "doc_id", "row")
     placed = materialize(
         celled.withColumn("rank", F.get(_longs(rows_before), F.col("cell")) + F.row_number().over(inside) - 1)
         .withColumn("end", F.get(_longs(bytes_before), F.col("cell")) + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
