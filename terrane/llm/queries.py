@@ -14,7 +14,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .personal_data import find_personal_data
 from .quality import score_quality
-from .secret_scan import ADDED, EXAMPLE_OWNERS, KINDS, scan_secrets
+from .secret_scan import ADDED, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, scan_secrets
 from .sentencepiece_codec import encode_digest
 from .sharding import shard
 from .substring_dedup import remove_repeats
@@ -70,23 +70,24 @@ def _op5_kind(order: int, kind: str, pattern: str, group: int, least: int) -> st
     """Candidates of one kind, with places from the lengths of matches and of what lies between them."""
     p = "'" + pattern.replace("'", "''") + "'"
     return f"""
-  SELECT doc_id, owner, {order} AS ord, '{kind}' AS kind, ends[i] - length(m[i]) AS start, ends[i] AS stop, v[i] AS value
+  SELECT doc_id, owner, repository, {order} AS ord, '{kind}' AS kind, ends[i] - length(m[i]) AS start, ends[i] AS stop, v[i] AS value
   FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(m[1:i], lambda x: length(x))) + list_sum(list_transform(g[1:i], lambda x: length(x)))) AS ends
-        FROM (SELECT doc_id, owner, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g
+        FROM (SELECT doc_id, owner, repository, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g
               FROM texts WHERE regexp_matches(t, {p}))), unnest(range(1, len(m) + 1)) AS u(i)
   WHERE length(v[i]) >= {least}"""
 
 
 OP5_KINDS = [_op5_kind(i, *k) for i, k in enumerate((*KINDS, ADDED))]
 OP5_SQL = f"""
-WITH texts AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(OP5_KINDS)}),
 kept AS (SELECT * FROM found WHERE ord < 3 OR (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]'))),
-owned AS (SELECT value, count(DISTINCT owner) < {EXAMPLE_OWNERS} AS live FROM kept GROUP BY value),
-spans AS (SELECT doc_id, ord, live, start, concat(kind, ':', start::BIGINT, ':', stop::BIGINT) AS name FROM kept JOIN owned USING (value) WHERE ord < 3 OR live)
+owned AS (SELECT value, owners, repositories, owners < {EXAMPLE_OWNERS} AND repositories < {EXAMPLE_REPOSITORIES} AS live
+  FROM (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM kept GROUP BY value)),
+spans AS (SELECT doc_id, ord, live, owners, repositories, start, concat(kind, ':', start::BIGINT, ':', stop::BIGINT) AS name FROM kept JOIN owned USING (value) WHERE ord < 3 OR live)
 SELECT t.doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
        sha256(coalesce(string_agg(name, ',' ORDER BY start, ord) FILTER (WHERE ord < 3), '')) AS base_sha256,
-       coalesce(string_agg(name, ',' ORDER BY start, ord), '') AS spans, count(*) FILTER (WHERE live) AS n_live
+       coalesce(string_agg(name, ',' ORDER BY start, ord), '') AS spans, count(*) FILTER (WHERE live) AS n_live, coalesce(max(owners), 0) AS most_owners, coalesce(max(repositories), 0) AS most_repositories
 FROM texts t LEFT JOIN spans s ON t.doc_id = s.doc_id GROUP BY t.doc_id
 """
 

@@ -1,8 +1,9 @@
 """Secrets, judged by how widely a candidate is owned over the corpus; DataFrame operations only.
 
 Patterns give candidates with their places. Hashes of the candidates are aggregated over all documents by distinct
-repositories and owners: what many owners have is a copied example, what belongs to few looks live. Candidates of the base
-kinds are always reported as spans; of the added kind (mixed strings without a known form) only those that look live.
+repositories and owners: what many owners have, or what stands in many repositories even of few owners, is a copied example;
+what belongs to few looks live. Candidates of the base kinds are always reported as spans; of the added kind (mixed strings
+without a known form) only those that look live.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 #: Kind, pattern, group that holds the secret, least length of that group. Fixed values of the base kinds.
 KINDS = (
@@ -20,8 +21,9 @@ KINDS = (
 )
 #: The added kind: long runs that mix capitals, small letters and digits.
 ADDED = ("mixed", r"[A-Za-z0-9_-]{24,}", 0, 24)
-#: From so many distinct owners on, a candidate is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: From so many distinct owners, or so many distinct repositories, on, a candidate is a widely copied example. An owner may use
+#: one live key in a few repositories of its own.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 
 
 def _matches(text: Column, order: int, kind: tuple[str, str, int, int]) -> Column:
@@ -60,7 +62,7 @@ def candidates(docs: DataFrame, repository: Column, owner: Column) -> tuple[Data
 def ownership(found: DataFrame) -> DataFrame:
     """hash, repositories, owners (distinct, over the corpus), live."""
     by_owner = found.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners")).withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
+    return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners")).withColumn("live", (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES))
 
 
 def _judged(found: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
     """Find secrets in every document.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, by start, then kind; code points, end
-    exclusive), n_live (spans whose candidate looks live), a row for each input row. The owner is the column `source` and the
+    exclusive), n_live (spans whose candidate looks live), most_owners and most_repositories (the largest of its candidates, 0
+    without one), a row for each input row. The owner is the column `source` and the
     repository source and language, unless given. A null text is empty; null owners count as one owner; rows that repeat
     are scanned each and add no owner; an empty table gives an empty result.
     """
@@ -82,7 +85,7 @@ def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
     reported = _judged(found).filter((F.col("ord") < len(KINDS)) | F.col("live"))
     name = F.concat_ws(":", kind, F.col("start"), F.col("end"))
     spans = reported.groupBy("uid").agg(
-        *[F.count_if(F.col("ord") == i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)], F.count_if("live").alias("n_live"), F.array_sort(F.collect_list(F.struct("start", "ord", "end", name.alias("name")))).alias("all")
+        *[F.count_if(F.col("ord") == i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)], F.count_if("live").alias("n_live"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"), F.array_sort(F.collect_list(F.struct("start", "ord", "end", name.alias("name")))).alias("all")
     )
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["name"]), ",")
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
@@ -92,18 +95,21 @@ def scan_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
         F.sha2(F.coalesce(joined(F.filter("all", lambda x: x["ord"] < len(KINDS))), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(joined(F.col("all")), F.lit("")).alias("spans"),
         count("n_live"),
+        count("most_owners"),
+        count("most_repositories"),
     )
 
 
 def redact_live(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, each live-looking secret of a document replaced by a mark wherever it stands in it.
 
-    Rows of one doc_id are one document; a row without doc_id is known by its text instead.
+    Rows of one doc_id are one document: a secret of one text is masked in the others too. A row without doc_id is known by
+    its text instead. Null and empty texts stay as they are, rows that repeat are masked each, an empty table stays empty.
     """
     unnamed = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     keyed = docs.withColumn("doc_id", F.struct("doc_id", unnamed.alias("sha")))
     _, found = candidates(keyed, F.concat_ws("/", "source", "lang"), F.coalesce(F.col("source"), F.lit("")))
-    hidden, of, sha = "__terrane_secrets", "__terrane_doc", "__terrane_sha"  # names that no column of the input may have
+    hidden, of, sha = (unused(docs, c) for c in ("secrets", "of_doc", "of_text"))
     live = _judged(found).filter("live").groupBy(F.col("doc_id.doc_id").alias(of), F.col("doc_id.sha").alias(sha)).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(hidden))
     clean = F.aggregate(hidden, F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
     joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col(of)) & unnamed.eqNullSafe(F.col(sha)), "left")
