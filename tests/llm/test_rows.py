@@ -135,3 +135,29 @@ def test_secrets_by_rows(spark):
     few = scan_secrets(spread.filter("doc_id <> 5")).collect()
     assert {(r.n_live, r.most_owners, r.most_repositories) for r in few} == {(1, 2, 5)}
     assert redact_live(docs.limit(0)).count() == 0 and drop_near_copies(docs.limit(0)).count() == 0 and docs.filter(F.lit(False)).isEmpty()
+
+
+@pytest.mark.parametrize("spread", [0.25, 4.0])
+def test_recall_of_cells(spark, spread):
+    """Many cells, few of which are probed where vectors gather, against all pairs; and estimates against inner products."""
+    from terrane.llm import vector_search as vs
+
+    random = np.random.default_rng(8)
+    points = np.repeat(random.normal(size=(40, 32)), 150, axis=0) + spread * random.normal(size=(6000, 32))
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("cell", F.lit("x"))
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    cells = vs.fit_cells(units, 30, 5)
+    assert cells.probes < (6 if spread < 1 else 30)
+    got = defaultdict(set)
+    for r in vs.search(table, table.filter("vec_id % 50 = 0"), cell_rows=200).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = units @ units[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 120
+    turn = vs.rotation(32, vs.length_of(32))
+    words, scalars = vs.encode(units, turn)
+    guess, deviation = vs.estimate(turn @ units[0], np.ascontiguousarray(words.T), np.bitwise_count(words).sum(axis=1, dtype=np.int64), scalars)
+    assert (np.abs(guess - units @ units[0])[1:] <= 4 * deviation[1:]).mean() > 0.99
