@@ -337,7 +337,7 @@ def test_field_decodes_like_a_search_over_all_paths():
 
 def test_field_fits_its_table():
     field = personal_data.train()
-    sequences, tags = personal_data._labelled()
+    sequences, tags = personal_data.labelled()
     right = sum(int((field.decode(x, np.array([0]), np.array([len(x)])) == y).sum()) for x, y in zip(sequences, tags, strict=True))
     assert right >= 0.98 * sum(map(len, tags))
 
