@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.plans.scratch import materialize
+from terrane.plans.scratch import discard_since, mark, materialize
 
 #: Pointer jumps in a round: steps that a label travels further along a chain before the edges are contracted.
 JUMPS = 2
@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     by joins that adaptive execution can split. Loops and repeated edges do no harm.
     """
     pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
-    pairs = materialize(pairs, "edges")
+    since = mark()
+    kept = pairs = materialize(pairs, "edges")
     labels = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
     pairs = pairs.filter("a < b")
     while not pairs.isEmpty():
@@ -32,5 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = parent.select(F.col("node").alias("component"), "p")
         labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
         at_a, at_b = parent.select(F.col("node").alias("a"), F.col("p").alias("pa")), parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        pairs = materialize(pairs.join(at_a, "a").join(at_b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        kept = pairs = materialize(pairs.join(at_a, "a").join(at_b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard_since(edges.sparkSession, since, labels, kept)
+    discard_since(edges.sparkSession, since, labels)
     return labels
