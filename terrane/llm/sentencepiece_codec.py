@@ -11,7 +11,6 @@ the best-scored leftmost pair. Characters that no piece has become bytes. Ids eq
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import _POWERS, mix64
 
 SPACE = "▁"
-#: Words kept from one batch to the next, words longer than LONG are merged one by one, words of a length taken at a time.
-CACHED_WORDS, LONG, STEP = 150_000, 48, 8192
+#: Words kept from one batch to the next, and bytes of them and their ids; starts in a block of merges; words of a length taken
+#: at a time.
+CACHED_WORDS, CACHED_BYTES, BLOCK, STEP = 150_000, 32 << 20, 64, 8192
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -87,7 +87,7 @@ class Codec:
         self.shown = np.frombuffer(b"".join(shown), dtype=np.uint8)
         self.shown_size = np.array([len(s) for s in shown])
         self.shown_at = np.concatenate(([0], np.cumsum(self.shown_size)))
-        self.cached, self.words, self.before = cached, {}, {}
+        self.cached, self.words, self.before, self.held = cached, {}, {}, 0
 
     @staticmethod
     def _codes(words: list[str], length: int) -> np.ndarray:
@@ -105,7 +105,7 @@ class Codec:
         """Id of the piece from each start for each length, -1 where there is none."""
         n, length = codes.shape
         widest = min(self.longest, length)
-        table = np.full((n, length + 1, widest + 1), -1, dtype=np.int64)
+        table = np.full((n, length + 1, widest + 1), -1, dtype=np.int32)
         for size in range(1, widest + 1):
             hashes = self._hashes(codes, size)
             row, start = np.nonzero(self.likely[hashes & _LOW])  # few others pass, and a binary search decides
@@ -137,66 +137,53 @@ class Codec:
         return ends
 
     def merge(self, table: np.ndarray) -> np.ndarray:
-        """Segmentation by merges of words of one length: end of the piece at each start, 0 inside pieces."""
+        """Segmentation by merges of words of one length: end of the piece at each start, 0 inside pieces.
+
+        What a merge at each start gains is kept with the most of each BLOCK starts, so a merge in a long word looks at one
+        block and at the blocks' maxima.
+        """
         n, length, widest = len(table), table.shape[1] - 1, table.shape[2] - 1
         ends = np.tile(np.arange(1, length + 2), (n, 1))
         ends[:, length] = 0
         before = np.tile(np.arange(-1, length), (n, 1))
+        size = min(BLOCK, length)
+        gain = np.full((n, -(-length // size), size), -np.inf)
+        flat = gain.reshape(n, -1)
 
         def pair(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
             middle = ends[rows, starts]
-            size = np.where(middle < length, ends[rows, np.minimum(middle, length)], length + widest + 1) - starts
-            good = size <= widest
-            return np.where(good, self.scores[np.where(good, table[rows, starts, np.minimum(size, widest)], -1)], -np.inf)
+            wide = np.where(middle < length, ends[rows, np.minimum(middle, length)], length + widest + 1) - starts
+            good = wide <= widest
+            return np.where(good, self.scores[np.where(good, table[rows, starts, np.minimum(wide, widest)], -1)], -np.inf)
 
         every = np.arange(n)
-        gain = np.column_stack([pair(every, np.full(n, s)) for s in range(length)])
+        for s in range(length - 1):
+            flat[:, s] = pair(every, np.full(n, s))
+        most = gain.max(axis=2)
+
+        def put(rows: np.ndarray, starts: np.ndarray, value: np.ndarray | float) -> None:
+            flat[rows, starts] = value
+            most[rows, starts // size] = gain[rows, starts // size].max(axis=1)
+
         rows = every
         while len(rows):
-            at = gain[rows].argmax(axis=1)
-            open_ = ~np.isneginf(gain[rows, at])
+            block = most[rows].argmax(axis=1)
+            at = block * size + gain[rows, block].argmax(axis=1)
+            open_ = ~np.isneginf(flat[rows, at])
             rows, at = rows[open_], at[open_]
             if not len(rows):
                 break
             middle = ends[rows, at]
             stop = ends[rows, middle]
             ends[rows, at], ends[rows, middle] = stop, 0
-            gain[rows, middle] = -np.inf
+            put(rows, middle, -np.inf)
             before[rows, stop] = at
-            gain[rows, at] = pair(rows, at)
+            put(rows, at, pair(rows, at))
             left = before[rows, at]
             has = left >= 0
-            gain[rows[has], left[has]] = pair(rows[has], left[has])
+            put(rows[has], left[has], pair(rows[has], left[has]))
         return ends
 
-    def _merge_long(self, word: str) -> list[str]:
-        """Merges of one long word, by a heap of its pairs."""
-        end, before, n = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), len(word)
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(start: int) -> None:
-            if end[start] < n and (i := self.ids.get(word[start : end[end[start]]])) is not None:
-                heapq.heappush(heap, (-self.scores[i], start, end[end[start]]))
-
-        for s in range(n):
-            offer(s)
-        while heap:
-            _, start, stop = heapq.heappop(heap)
-            middle = end[start]
-            if not middle or middle >= n or end[middle] != stop:
-                continue
-            end[start], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = start
-            offer(start)
-            if before[start] >= 0:
-                offer(before[start])
-        out, s = [], 0
-        while s < n:
-            out.append(word[s : end[s]])
-            s = end[s]
-        return out
-
     def _piece_ids(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
         if known is not None:
@@ -208,10 +195,6 @@ class Codec:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, all_ in by_length.items():
-            if length > LONG and self.merges:
-                for w in all_:
-                    self.words[w] = np.array([i for p in self._merge_long(w) for i in self._piece_ids(p)], dtype="<u4").tobytes()
-                continue
             step = max(1, STEP * 8 // length)
             for i in range(0, len(all_), step):
                 some = all_[i : i + step]
@@ -244,8 +227,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > self.cached:
-            self.before, self.words = self.words, {}
+        if len(self.words) > self.cached or self.held > CACHED_BYTES:
+            self.before, self.words, self.held = self.words, {}, 0
         split = [self._split(t) for t in texts]
         missing: set[str] = set()
         for words in split:
@@ -254,6 +237,7 @@ class Codec:
         again = missing & self.before.keys()
         self.words.update((w, self.before[w]) for w in again)
         self._learn(missing - again)
+        self.held += sum(4 * len(w) + len(self.words[w]) for w in missing)
         return [b"".join([self.words[w] for w in words]) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -305,7 +289,8 @@ def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """What `encode` and `decode` give for every whole text, as digests: doc_id, n_ids, ids_crc32, text_sha256, round_trip.
 
     ids_crc32 is of the ids as little-endian unsigned 32-bit integers, text_sha256 of the decoded text, round_trip whether
-    it is the text itself. A null text counts as empty.
+    it is the text itself. A row for each input row: a null text counts as empty, a null doc_id stays null, rows that repeat are
+    encoded each, an empty table gives an empty result; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
