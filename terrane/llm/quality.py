@@ -159,13 +159,18 @@ def _remainder():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
 
 
-def fit_quality(measured: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """Fit to the labels of rows whose crc32(doc_id as text) mod 3 is not 1: remainder 0 fits the ridge, 2 the curve."""
+def taught_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, y: labels that may teach (crc32 of doc_id as text mod 3 is not 1), at most about max_labelled of them."""
     marks = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     taught = marks.filter(_remainder() != 1)
     known = taught.count()
     if known > max_labelled:
         taught = taught.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int((1 << 30) * max_labelled / known)))
+    return taught
+
+
+def fit_quality(measured: DataFrame, taught: DataFrame, features: int = FEATURES, ridge: float = RIDGE) -> QualityModel:
+    """Fit to labelled rows: remainder 0 of crc32(doc_id as text) mod 3 fits the ridge, remainder 2 the curve."""
     rows = materialize(measured.join(taught, "doc_id").withColumn("fold", _remainder()).select("fold", "x", "y").repartition(PARTIALS), "labelled")
     moments = rows.filter("fold = 0").agg(F.count("*"), *[F.avg(F.get("x", F.lit(i))) for i in range(STATISTICS)], *[F.stddev_pop(F.get("x", F.lit(i))) for i in range(STATISTICS)]).first()
     if not moments[0]:
@@ -193,17 +198,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     Returns doc_id, held_out, score (0 to 1), predicted (1 from 0.5). At most about `max_labelled` labelled rows take part,
     drawn by a hash of doc_id. Null texts count as empty and are scored; null labels teach nothing; rows that repeat are
     scored each; without labels every score is 0.5; an empty table gives an empty result. Label, language, source and id
-    are no inputs of a score.
+    are no inputs of a score; other columns are not looked at.
     """
     measured = materialize(measure(docs), "statistics")
-    model = fit_quality(measured, labels, features, ridge, max_labelled)
+    model = fit_quality(measured, taught_labels(labels, max_labelled), features, ridge)
     scored = measured.mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(_remainder() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose score is 0.5 or more. Scores come from the text in the same narrow map."""
-    model = fit_quality(materialize(measure(docs), "statistics"), labels)
+    """The rows of docs, all columns, whose score is 0.5 or more. Scores come from the text in the same narrow map.
+
+    Only labelled rows are measured for the fit. Null and empty texts are scored like others, rows that repeat each; without
+    labels every row stays; an empty table stays empty.
+    """
+    taught = taught_labels(labels)
+    model = fit_quality(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taught.select("doc_id").distinct(), "doc_id", "left_semi")), taught)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
