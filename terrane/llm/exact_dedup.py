@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import lower_ascii, materialize, unused
 
 BLOCK_BYTES = 16384
 
@@ -104,3 +104,22 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         .withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without copies: of each group of equal texts (see exact_dedup) the row of the largest
+    doc_id stays, and one row of it where the row repeats. Null texts are the empty text; a group without any doc_id keeps one
+    row of each of its spellings' hashes, which is one.
+    """
+    judged = exact_dedup(docs).groupBy("doc_id", "kept", "text_sha256").agg(F.count("*").alias("times"))
+    judged = materialize(judged.filter("NOT kept OR times > 1"), "judged")
+    of, sha, own = unused(docs, "of"), unused(docs, "sha"), unused(docs, "own_sha")
+    rows = docs.withColumn(own, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
+    named = lambda some: some.select(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(sha))
+    left = rows.join(named(judged.filter("NOT kept")), same, "left_anti")
+    again = judged.filter("kept")
+    if not again.isEmpty():
+        once = left.join(named(again), same, "left_semi").dropDuplicates(["doc_id", own])
+        left = left.join(named(again), same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.components import connected_components
+from terrane.plans.scratch import discard_since, mark
 
 from .common import as_bytes, chunks, materialize, mix64, signed, unused, word_hashes
 
@@ -308,6 +309,7 @@ def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
     Sets, not doc_ids, are what is linked: rows of one doc_id with different texts are different nodes.
     """
+    since = mark()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     prints = materialize(plain.withColumn("h", F.xxhash64("text")).mapInArrow(_prints(n, percent), "doc_id long, h long, n long, f1 long, f2 long, some array<long>"), "prints")
     linked = prints.filter("n > 0 AND doc_id IS NOT NULL")
@@ -345,6 +347,7 @@ def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     named = classes.join(labels, "id", "left").select("f1", "f2", "n", "first", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(named.join(least, "component").select("f1", "f2", "n", "component", "component_id"), "named")
+    discard_since(docs.sparkSession, since, prints, named)
     has = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = prints.select("doc_id", "h", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     return out.select("doc_id", "h", "n", F.when(has, F.col("component")).alias("component"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

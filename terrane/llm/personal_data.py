@@ -197,7 +197,7 @@ class Field:
         tags = np.zeros(len(features), dtype=np.int8)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
-        back = np.zeros((len(features), len(TAGS)), dtype=np.int8)
+        back = np.zeros((len(features), len(self.transition)), dtype=np.int8)
         best = scores[starts].copy()
         active = len(starts)
         final = np.zeros(len(starts), dtype=np.int8)

@@ -161,3 +161,66 @@ def test_recall_of_cells(spark, spread):
     words, scalars = vs.encode(units, turn)
     guess, deviation = vs.estimate(turn @ units[0], np.ascontiguousarray(words.T), np.bitwise_count(words).sum(axis=1, dtype=np.int64), scalars)
     assert (np.abs(guess - units @ units[0])[1:] <= 4 * deviation[1:]).mean() > 0.99
+
+
+def test_quality_equals_a_fit_in_one_process(spark):
+    """The same map, normal equations and curve from whole arrays give the same scores."""
+    from terrane.llm import quality as q
+
+    random = np.random.default_rng(6)
+    given = [(i, words(i, int(random.integers(1, 120))) + ("." if i % 3 else " !!" * (i % 7))) for i in range(900)] + [(2000, None), (2001, "")]
+    truth = {i: int((i % 3 > 0) ^ (random.random() < 0.1)) for i, _ in given[:800]}
+    docs = spark.createDataFrame([(i, t, 5, 0.5, "x") for i, t in given], "doc_id long, text string, x int, score double, fold string").repartition(5)
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in q.score_quality(docs, labels, features=64).collect()}
+
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i, _ in given])
+    x = q.statistics([(t or "").encode() for _, t in given])
+    y = np.array([truth.get(i, -1) for i, _ in given])
+    fit, curve = (fold == 0) & (y >= 0), (fold == 2) & (y >= 0)
+    deviation = x[fit].std(axis=0)
+    fourier = q.Fourier(x[fit].mean(axis=0), np.where(deviation > 1e-9, deviation, 1.0), 64, width=np.sqrt(q.STATISTICS))
+    z = fourier(x)
+    weights = np.linalg.solve(z[fit].T @ z[fit] + q.RIDGE * max(1.0, fit.sum() / 65) * np.eye(65), z[fit].T @ y[fit])
+    raw = z @ weights
+    bins = np.round(np.clip(raw[curve], -0.5, 1.5) * (q.BINS / 2))
+    names = np.unique(bins)
+    at, mean = q.isotonic(np.array([raw[curve][bins == b].mean() for b in names]), np.array([y[curve][bins == b].mean() for b in names]), np.array([float((bins == b).sum()) for b in names]))
+    want = np.clip(np.interp(raw, at, mean), 0, 1)
+    assert np.allclose([got[i] for i, _ in given], want, atol=1e-6)
+    kept = q.keep_good(docs, labels).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(i for (i, _), s in zip(given, q.score_quality(docs, labels).orderBy("doc_id").toPandas()["score"], strict=True) if s >= 0.5)
+
+
+def test_long_words_in_batches():
+    import sentencepiece
+
+    from terrane.llm.sentencepiece_codec import Codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), Codec(open(path, "rb").read())
+    random = np.random.default_rng(1)
+    every = ["".join(random.choice(list("abcdehilnorst"), n)) for n in (47, 49, 63, 64, 65, 129, 129, 700, 5000)] + ["=-" * 900, "漢字" * 200]
+    assert [np.frombuffer(g, "<u4").tolist() for g in codec.encode(every)] == library.encode(every)
+
+
+def test_stages_on_edge_tables(spark, docs):
+    """Empty tables, clashing names, repeated ids with different texts, null ids: every stage but the last keeps the columns."""
+    import corpus_pipeline
+
+    clashing = ["of", "hash", "sha", "own_sha", "secrets", "of_doc", "of_text", "h", "n", "component", "score", "x", "id", "a", "b", "text_sha256", "kept", "times", "row", "group"]
+    wide = docs.select("*", *[F.lit(1).alias(c) for c in clashing])
+    small = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, small)
+        assert stage(spark, wide.limit(0), small).count() == 0
+        if name != "packing":
+            assert out.columns == wide.columns and 0 < out.count() <= wide.count()
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, wide, small).collect())
+    groups = defaultdict(list)
+    for i, t in rows():
+        groups[(t or "").lower()].append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        want[(max((i for i in ids if i is not None), default=None), t)] += 1
+    assert Counter((i, (t or "").lower()) for i, t in kept.elements()) == want
