@@ -1,9 +1,10 @@
 """Near-duplicate join on word n-grams by exact Jaccard similarity.
 
 Documents with equal sets form one class. A set can only link to another if all but a few of its n-grams are shared (at 85 %
-at most 15 % are its own), so two exact filters come first: a class with more n-grams of its own than that is closed, which a
-fixed share of the hash space already shows for most; and of the n-grams of an open class, put in order from rare to frequent,
-any two linked sets share one of the first few (their prefixes).
+at most 15 % are its own), so two exact filters come first. A class with more n-grams of its own than that is closed. And in
+any order of all n-grams, two linked sets share one of their first few (their prefixes); in the order taken here the n-grams
+of a fixed share of the hash space come first, from rare to frequent, then all others by hash. That share is a little larger
+than a prefix, so it serves for both filters, and no n-gram outside of it travels but for a few of short texts.
 
 A tile holds the sets of one band of sizes (and of the band below, where partners may be) that have one n-gram in their
 prefixes. In a tile, sizes, places in the prefix and hashed bit signatures bound each overlap from above, since every bit in
@@ -32,13 +33,13 @@ from .common import as_bytes, chunks, materialize, mix64, signed, unused, word_h
 #: Words of an n-gram, and a link: 100 * intersection >= PERCENT * union.
 N, PERCENT = 4, 85
 #: Share of the hash space that is looked at for own n-grams, in units of the largest share that a set may have of its own.
-LOOK = 1.75
+LOOK = 1.5
 #: Bits of a signature: at least LEAST_BITS, at most MOST_BITS, and BITS_EACH for an element in between.
 LEAST_BITS, MOST_BITS, BITS_EACH = 1024, 1 << 17, 4
 #: Partners a member of an open tile is first checked against: those with the highest bounds. What is left is checked in full.
 NEAREST = 3
 #: Bytes of sets compared with one hub at a time, and members of a block of a large tile.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 256
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -78,21 +79,29 @@ def _hashes_of_sets(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _limit(percent: int) -> int:
+    """Hashes below it (unsigned) are the share of the hash space that is looked at."""
+    return int(min(1.0, LOOK * (100 - percent) / 100) * (2**64 - 2**11))
+
+
 def _prints(n: int, percent: int):
-    """doc_id, h, size of the set of n-grams, two hashes of the set, its n-grams in the share of the hash space looked at."""
-    limit = np.uint64(min(1.0, LOOK * (100 - percent) / 100) * (2**64 - 2**11))
+    """doc_id, h, size of the set of n-grams, two hashes of the set, how many of its n-grams are in the share looked at, and the
+    n-grams of smallest hash: those, or as many as the prefix has."""
+    limit = np.uint64(_limit(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for first, last in chunks(texts):
                 grams, at = sets_of(texts[first:last], n)
-                prints = _hashes_of_sets(grams, at)
-                seen = grams < limit
-                where = np.concatenate(([0], np.cumsum(seen)))[at]
-                some = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(signed(grams[seen])))
+                prints, size = _hashes_of_sets(grams, at), np.diff(at)
+                looked = np.diff(np.concatenate(([0], np.cumsum(grams < limit)))[at])
+                take = np.minimum(size, np.maximum(looked, (100 - percent) * size // 100 + 1))
+                where = np.concatenate(([0], np.cumsum(take)))
+                some = grams[np.arange(where[-1]) + np.repeat(at[:-1] - where[:-1], take)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), batch.column("h").slice(first, last - first), pa.array(np.diff(at)), pa.array(signed(prints[0])), pa.array(signed(prints[1])), some], names=["doc_id", "h", "n", "f1", "f2", "some"]
+                    [batch.column("doc_id").slice(first, last - first), batch.column("h").slice(first, last - first), pa.array(size), pa.array(signed(prints[0])), pa.array(signed(prints[1])), pa.array(looked), pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(signed(some)))],
+                    names=["doc_id", "h", "n", "f1", "f2", "looked", "some"],
                 )
 
     return run
@@ -123,18 +132,6 @@ def _sets(n: int):
     return run
 
 
-def _each_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each n-gram of each set: id, n, gram."""
-    for batch in batches:
-        ids, sizes = batch.column("id").to_numpy(), batch.column("n").to_numpy()
-        first = 0
-        while first < len(ids):  # about a million n-grams at a time
-            last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 20)) + first)
-            grams = np.frombuffer(b"".join(batch.column("grams").slice(first, last - first).to_pylist()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:last], sizes[first:last])), pa.array(np.repeat(sizes[first:last], sizes[first:last])), pa.array(grams)], names=["id", "n", "gram"])
-            first = last
-
-
 def fold(blobs: list[bytes], width: int) -> np.ndarray:
     """Signatures as rows of 64-bit words, wider ones folded to `width` bytes: an element's bit is its hash modulo the width."""
     sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs))
@@ -286,17 +283,19 @@ def _open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, nearest: i
     return materialize(dealt.mapInArrow(_across(nearest, percent), "a long, b long, an long, more long").distinct(), "pairs")
 
 
-def _prefix_tiles(sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_tiles(reps: DataFrame, percent: int) -> DataFrame:
     """key, id, n, place, home: the n-grams of each set's prefix that others have too, by band of sizes.
 
-    In order from rare to frequent a set's own n-grams come first, so the prefix's other places go to its rarest shared ones.
+    Of the share looked at a set's own n-grams come first, then the others from rare to frequent; what lies outside comes after
+    them by hash, at the place that it has in the list.
     """
-    grams = sets.select("id", "n", "grams").mapInArrow(_each_gram, "id long, n long, gram long")
+    inside = F.shiftrightunsigned("gram", 1) < (_limit(percent) >> 1)
+    grams = reps.select("id", "n", "looked", F.posexplode("some").alias("at", "gram"))
     times = materialize(grams.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
     of_set = Window.partitionBy("id")
-    ranked = grams.join(times, "gram").withColumn("rank", F.row_number().over(of_set.orderBy("times", "gram"))).withColumn("shared", F.count("*").over(of_set))
-    place = F.col("n") - F.col("shared") + F.col("rank") - 1
-    prefix = ranked.withColumn("place", place).filter(F.col("place") <= F.floor((100 - percent) * F.col("n") / 100))
+    ranked = grams.withColumn("inside", inside).join(times, "gram").withColumn("rank", F.row_number().over(of_set.orderBy(F.desc("inside"), "times", "gram"))).withColumn("shared", F.count_if("inside").over(of_set))
+    place = F.when(F.col("inside"), F.col("looked") - F.col("shared") + F.col("rank") - 1).otherwise(F.col("at"))
+    prefix = ranked.withColumn("place", place.cast("long")).filter(F.col("place") <= F.floor((100 - percent) * F.col("n") / 100))
     # A little wider than the greatest ratio of linked sizes, so rounding cannot part two bands that may link.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent * 1.001))).cast("long")
     both = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
@@ -311,20 +310,22 @@ def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     """
     since = mark()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    prints = materialize(plain.withColumn("h", F.xxhash64("text")).mapInArrow(_prints(n, percent), "doc_id long, h long, n long, f1 long, f2 long, some array<long>"), "prints")
+    prints = materialize(plain.withColumn("h", F.xxhash64("text")).mapInArrow(_prints(n, percent), "doc_id long, h long, n long, f1 long, f2 long, looked long, some array<long>"), "prints")
     linked = prints.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(linked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
     # N-grams that one class alone has, by the hash of the class.
-    owners = linked.select("f1", F.explode("some").alias("gram")).groupBy("gram").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).filter("f1 = other")
+    owners = linked.select("f1", F.explode(F.slice("some", F.lit(1), F.col("looked").cast("int"))).alias("gram")).groupBy("gram").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).filter("f1 = other")
     own = owners.groupBy("f1").agg(F.count("*").alias("own"))
     opened = materialize(classes.join(own, "f1", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")).select("id", "f1", "f2", "n", "first"), "opened")
-    texts = plain.join(opened.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(n), "f1 long, f2 long, n long, grams binary, bits binary").join(opened.select("id", "f1", "f2", "n"), ["f1", "f2", "n"])
-    sets = materialize(sets.select("id", "n", "grams", "bits").dropDuplicates(["id"]), "sets")
-    every = materialize(_prefix_tiles(sets, percent), "prefixes")
-    shared = every.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).filter("members > 1").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    reps = linked.join(opened, ["f1", "f2", "n"]).filter(F.col("doc_id") == F.col("first")).select("id", "n", "looked", "some").dropDuplicates(["id"])
+    every = materialize(_prefix_tiles(materialize(reps, "reps"), percent), "prefixes")
+    shared = every.groupBy("key").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.min(F.struct("id", "n")).alias("hub")).filter("members > 1 AND homes > 0").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     tiles = materialize(every.join(materialize(shared, "hubs"), "key"), "tiles")
     wanted = materialize(tiles.select("id").distinct(), "wanted")
+    met = materialize(opened.join(wanted, "id"), "met")
+    texts = plain.join(met.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(n), "f1 long, f2 long, n long, grams binary, bits binary").join(met.select("id", "f1", "f2", "n"), ["f1", "f2", "n"])
+    sets = materialize(sets.select("id", "n", "grams", "bits").dropDuplicates(["id"]), "sets")
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     hubs = tiles.filter(fits & (F.col("id") != F.col("hub"))).groupBy("id", "hub", "hub_n").agg(F.count("*").alias("times"))
     first = hubs.groupBy(F.col("id").alias("b")).agg(F.max_by(F.struct("hub", "hub_n"), F.struct("times", -F.col("hub"))).alias("to")).select(F.col("to.hub").alias("a"), "b", F.col("to.hub_n").alias("an"))
