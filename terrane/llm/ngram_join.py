@@ -34,12 +34,13 @@ from .common import as_bytes, chunks, materialize, mix64, signed, unused, word_h
 N, PERCENT = 4, 85
 #: Share of the hash space that is looked at for own n-grams, in units of the largest share that a set may have of its own.
 LOOK = 1.5
-#: Bits of a signature: at least LEAST_BITS, at most MOST_BITS, and BITS_EACH for an element in between.
+#: Bits of a signature: at least LEAST_BITS, at most MOST_BITS, and BITS_EACH for an element in between; a brief one, for the first
+#: look at tiles, has a quarter of them.
 LEAST_BITS, MOST_BITS, BITS_EACH = 1024, 1 << 17, 4
-#: Partners a member of an open tile is first checked against: those with the highest bounds. What is left is checked in full.
-NEAREST = 3
+#: Partners a member of a block is first checked against: those with the highest bounds. What is left is checked in full.
+NEAREST = 1
 #: Bytes of sets compared with one hub at a time, and members of a block of a large tile.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 256
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -116,7 +117,7 @@ def signature(grams: np.ndarray) -> bytes:
 
 
 def _sets(n: int):
-    """Two hashes and size of the set, sorted hashes of the n-grams, bit signature."""
+    """Two hashes and size of the set, sorted hashes of the n-grams, bit signature and a brief one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,8 +126,9 @@ def _sets(n: int):
                 grams, at = sets_of(texts[first:last], n)
                 prints = _hashes_of_sets(grams, at)
                 each = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                wide = [signature(g) for g in each]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(prints[0])), pa.array(signed(prints[1])), pa.array(np.diff(at)), pa.array([g.tobytes() for g in each], pa.binary()), pa.array([signature(g) for g in each], pa.binary())], names=["f1", "f2", "n", "grams", "bits"]
+                    [pa.array(signed(prints[0])), pa.array(signed(prints[1])), pa.array(np.diff(at)), pa.array([g.tobytes() for g in each], pa.binary()), pa.array(wide, pa.binary()), pa.array([fold([w], len(w) // 4).tobytes() for w in wide], pa.binary())], names=["f1", "f2", "n", "grams", "bits", "brief"]
                 )
 
     return run
@@ -269,7 +271,7 @@ def _open_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, nearest: i
     if open_tiles.isEmpty():
         return None
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(BLOCK_ROWS))).cast("int")
-    inside = placed.join(open_tiles, "key").join(sets.select("id", "bits"), "id").withColumn("pb", blocks(F.col("members") - F.col("top"))).withColumn("mb", blocks(F.col("members")))
+    inside = placed.join(open_tiles, "key").join(sets.select("id", F.col("bits" if nearest is None else "brief").alias("bits")), "id").withColumn("pb", blocks(F.col("members") - F.col("top"))).withColumn("mb", blocks(F.col("members")))
     place = lambda c: F.pmod(F.xxhash64("id", F.lit(7)), c).cast("int")
     what = _fresh("key", "id", "n", "place", "home", "component", "bits")
     unit = F.xxhash64("key", "p", "m").alias("unit")
@@ -319,13 +321,16 @@ def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     opened = materialize(classes.join(own, "f1", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")).select("id", "f1", "f2", "n", "first"), "opened")
     reps = linked.join(opened, ["f1", "f2", "n"]).filter(F.col("doc_id") == F.col("first")).select("id", "n", "looked", "some").dropDuplicates(["id"])
     every = materialize(_prefix_tiles(materialize(reps, "reps"), percent), "prefixes")
-    shared = every.groupBy("key").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.min(F.struct("id", "n")).alias("hub")).filter("members > 1 AND homes > 0").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    tiles = materialize(every.join(materialize(shared, "hubs"), "key"), "tiles")
+    # At the first n-gram that two linked sets share, the smaller one can be no further in its order than this.
+    early = (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")
+    shared = every.groupBy("key").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.min(F.when(early, F.struct("id", "n"))).alias("hub"), F.min(F.when(early, F.col("n"))).alias("least"))
+    shared = materialize(shared.filter("members > 1 AND homes > 0 AND least IS NOT NULL").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "least"), "hubs")
+    tiles = materialize(every.join(shared, "key").filter(early | (F.col("n") >= F.col("least"))).drop("least"), "tiles")
     wanted = materialize(tiles.select("id").distinct(), "wanted")
     met = materialize(opened.join(wanted, "id"), "met")
     texts = plain.join(met.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(n), "f1 long, f2 long, n long, grams binary, bits binary").join(met.select("id", "f1", "f2", "n"), ["f1", "f2", "n"])
-    sets = materialize(sets.select("id", "n", "grams", "bits").dropDuplicates(["id"]), "sets")
+    sets = texts.mapInArrow(_sets(n), "f1 long, f2 long, n long, grams binary, bits binary, brief binary").join(met.select("id", "f1", "f2", "n"), ["f1", "f2", "n"])
+    sets = materialize(sets.select("id", "n", "grams", "bits", "brief").dropDuplicates(["id"]), "sets")
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     hubs = tiles.filter(fits & (F.col("id") != F.col("hub"))).groupBy("id", "hub", "hub_n").agg(F.count("*").alias("times"))
     first = hubs.groupBy(F.col("id").alias("b")).agg(F.max_by(F.struct("hub", "hub_n"), F.struct("times", -F.col("hub"))).alias("to")).select(F.col("to.hub").alias("a"), "b", F.col("to.hub_n").alias("an"))
