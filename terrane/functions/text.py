@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 @cache
@@ -70,9 +74,36 @@ def phone_e164(phone: Column) -> Column:
     return F.when(shaped & (national != ""), F.concat(F.lit("+84"), national)).when(shaped & (abroad != ""), F.concat(F.lit("+"), abroad))
 
 
+@pandas_udf(StringType())
+def _canonical_json(payloads: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(json.loads(text, parse_constant=_refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return payloads.map(one, na_action="ignore").astype(object).where(payloads.notna(), None)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+#: JSON texts that the built-in form writes as the canonical form does: no number but plain integers of at most 18 digits
+#: outside of strings, no escapes. Keys that repeat are excluded by the parser, which gives null for them.
+_PLAIN_JSON = r'^(?:[^"\\\x00-\x1f0-9]|[\n\r\t]|(?<![0-9.])(?:0|[1-9][0-9]{0,17})(?![0-9.eE])|"[^"\\\x00-\x1f]*")*$'
+
+
 def content_hash(payload: Column) -> Column:
-    """SHA-256 of canonical JSON: keys sorted at every depth, no blanks. The payload is JSON text."""
-    return F.sha2(F.to_json(F.parse_json(payload)), 256)
+    """SHA-256 of canonical JSON: keys sorted at every depth by code point, no blanks, of a repeated key the last value, floats
+    in their shortest form that reads back (1.0 stays 1.0, 1e-07 stays 1e-07). Null where the payload is null, empty or no JSON.
+
+    Payloads without floats and escapes, most of them, stay in built-in expressions; Arrow batches take the others.
+    """
+    plain = F.when(F.regexp_like(payload, F.lit(_PLAIN_JSON)), F.to_json(F.try_parse_json(payload)))
+    return F.sha2(F.coalesce(plain, _canonical_json(F.when(plain.isNull(), payload))), 256)
 
 
 def api_key_hash(key: Column) -> Column:

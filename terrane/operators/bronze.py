@@ -25,8 +25,10 @@ def new_records(incoming: DataFrame, existing: DataFrame, keys: tuple[str, ...]
 
 
 def ingest_stats(incoming: DataFrame, fresh: DataFrame) -> DataFrame:
-    """fetched, new, duplicate, errors (records without an id), raw_count."""
+    """fetched, new, duplicate, errors (records without an id, or whose payload has no content hash), raw_count."""
     bad = F.col("source_poi_id").isNull() | (F.length("source_poi_id") > 255)
+    if "content_hash" in incoming.columns:
+        bad = bad | F.col("content_hash").isNull()
     seen = incoming.agg(F.count("*").alias("fetched"), F.count_if(bad).alias("errors"))
     added = fresh.agg(F.count("*").alias("new"))
     return seen.join(F.broadcast(added)).select("fetched", "new", (F.col("fetched") - F.col("new") - F.col("errors")).alias("duplicate"), "errors", F.col("new").alias("raw_count"))

@@ -457,6 +457,14 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.content_hash(F.col("props")).alias("content_hash"))
 
 
+@query("content_hash_numbers", """SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN sha256('{"a":{"x":"' || c_name || '","y":1.0},"b":[1e-07,2,' || c_acctbal::DOUBLE::VARCHAR || '],"z":2}') END AS content_hash FROM customer""")
+def content_hash_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of every customer with floats, an exponent, a repeated key and nesting; each seventh is no JSON."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    payload = F.format_string('{"z": 1, "b": [0.0000001, 2, %s], "a": {"y": 1.00, "x": "%s"}, "z": 2%s', F.col("c_acctbal").cast("double").cast("string"), F.col("c_name"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise("}"))
+    return c.select(F.col("c_custkey").alias("id"), text.content_hash(payload).alias("content_hash"))
+
+
 @query("pair_key", "SELECT c_custkey AS id, least(c_custkey, c_custkey * 7 % 100)::VARCHAR || ':' || greatest(c_custkey, c_custkey * 7 % 100)::VARCHAR AS key, substr(sha256(least(c_name, c_mktsegment) || '|' || greatest(c_name, c_mktsegment)), 1, 16) AS digest, sha256(c_name) AS api_hash FROM customer")
 def pair_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -557,23 +565,19 @@ def raw_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 X = "6378137.0::DOUBLE * radians(lng)"
 Y = "6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2))"
-POINTS_SQL = f"p AS (SELECT id, {X} AS x, {Y} AS y FROM {S} WHERE merge_status = 'pending' AND id % 2 = 0)"
+POINTS_SQL = f"p AS (SELECT id, {X} AS x, {Y} AS y FROM {S} WHERE merge_status = 'pending')"
 EDGES_SQL = "e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND abs(a.x - b.x) <= 55 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 55.0::DOUBLE * 55)"
 REACH_SQL = "r(id, root) AS (SELECT id, id FROM p UNION SELECT CASE WHEN e.a = r.id THEN e.b ELSE e.a END, r.root FROM r JOIN e ON r.id IN (e.a, e.b) WHERE CASE WHEN e.a = r.id THEN e.b ELSE e.a END > r.root)"
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, SILVER).filter("merge_status = 'pending' AND id % 2 = 0")
-
-
 @query("spatial_clusters", f"WITH RECURSIVE {POINTS_SQL}, {EDGES_SQL}, {REACH_SQL} SELECT id, min(root) AS cluster_id FROM r GROUP BY id")
 def spatial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.spatial_clusters(_dense(spark, sf_dir))
+    return dedupe.spatial_clusters(_pending(spark, sf_dir))
 
 
 @query("review_queue", f"WITH RECURSIVE {POINTS_SQL}, {EDGES_SQL}, {REACH_SQL}, c AS (SELECT id, min(root) AS cluster_id FROM r GROUP BY id) SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM c QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.review_queue(_dense(spark, sf_dir)).select("id", "cluster_id", "cluster_size")
+    return dedupe.review_queue(_pending(spark, sf_dir)).select("id", "cluster_id", "cluster_size")
 
 
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -596,9 +600,9 @@ def grid_distance_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.neighbour_links(_pending(spark, sf_dir))
 
 
-@query("union_find", "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 3) % 1000 AS b FROM customer WHERE c_custkey % 5 = 0), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id) SELECT id AS node, min(root) AS component FROM r GROUP BY id")
+@query("union_find", "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 3) % 1000 AS b FROM customer), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id WHERE s.b > r.root) SELECT id AS node, min(root) AS component FROM r GROUP BY id")
 def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 5 = 0").selectExpr("c_custkey AS a", "(c_custkey * 3) % 1000 AS b")
+    edges = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS a", "(c_custkey * 3) % 1000 AS b")
     return components.connected_components(edges)
 
 
@@ -618,15 +622,15 @@ def _equal(c: str) -> str:
     return f"CASE WHEN coalesce(a.{c}, '') = '' OR coalesce(b.{c}, '') = '' THEN 0.5 WHEN a.{c} = b.{c} THEN 1.0 ELSE 0.0 END"
 
 
-PAIR_SQL = f"""s AS (SELECT * FROM {S} WHERE merge_status = 'pending' AND id % 5 <> 0),
-  q AS (SELECT a.id AS a_id, b.id AS b_id, 0.5 AS name, 0.5 AS address, {_equal('phone_e164')} AS phone, {_equal('website_domain')} AS website, {_equal('brand')} AS brand FROM s a JOIN s b ON a.province_code = b.province_code AND a.district_code = b.district_code AND a.id < b.id AND b.id < a.id + 200),
+PAIR_SQL = f"""s AS (SELECT * FROM {S} WHERE merge_status = 'pending'),
+  q AS (SELECT a.id AS a_id, b.id AS b_id, 0.5 AS name, 0.5 AS address, {_equal('phone_e164')} AS phone, {_equal('website_domain')} AS website, {_equal('brand')} AS brand FROM s a JOIN s b ON a.province_code = b.province_code AND a.district_code = b.district_code AND a.id < b.id),
   d AS (SELECT *, round(name * 0.4::DOUBLE + address * 0.25::DOUBLE + phone * 0.15::DOUBLE + website * 0.1::DOUBLE + brand * 0.1::DOUBLE, 4) AS score FROM q)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending' AND id % 5 <> 0").withColumn("name_embedding", F.lit(None).cast("array<float>")).withColumn("address_normalized", F.lit(None).cast("string"))
+    silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'").withColumn("name_embedding", F.lit(None).cast("array<float>")).withColumn("address_normalized", F.lit(None).cast("string"))
     block = silver.filter("district_code IS NOT NULL").withColumn("cluster_id", F.concat_ws("/", "province_code", "district_code"))
-    return dedupe.score_pairs(dedupe.candidate_pairs(block, salts=4).filter("b.id < a.id + 200"))
+    return dedupe.score_pairs(dedupe.candidate_pairs(block, salts=4))
 
 
 @query("pair_decision", f"WITH {PAIR_SQL} SELECT a_id, b_id, phone, website, brand, score, CASE WHEN score >= 0.85 THEN 'auto_merge' WHEN score >= 0.65 THEN 'needs_llm' ELSE 'distinct' END AS decision FROM d")
@@ -708,9 +712,11 @@ def dedupe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_stats(placed, _masters(spark, sf_dir))
 
 
-@query("grid_distance_pairs", f"WITH {POINTS_SQL}, {EDGES_SQL} SELECT count(*) > 0 AS linked FROM e")
+@query("grid_distance_pairs", f"WITH RECURSIVE {POINTS_SQL}, {EDGES_SQL}, {REACH_SQL}, c AS (SELECT id, min(root) AS component FROM r GROUP BY id) SELECT component, count(*) AS points FROM c GROUP BY component HAVING count(*) > 1")
 def grid_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.neighbour_links(_dense(spark, sf_dir)).agg((F.count("*") > 0).alias("linked"))
+    """The components that the neighbour links imply, and their points."""
+    linked = components.connected_components(dedupe.neighbour_links(_pending(spark, sf_dir)))
+    return linked.groupBy("component").agg(F.count("*").alias("points"))
 
 
 @query("quality_score", f"""SELECT id, round(completeness * 0.25::DOUBLE + freshness * 0.1::DOUBLE + rel * 0.15::DOUBLE + conf * 0.2::DOUBLE + phone * 0.1::DOUBLE + 0.2::DOUBLE, 3) AS score, completeness, freshness FROM (SELECT id, phone, conf, rel, round((2 + phone + (address_normalized IS NOT NULL)::INT + 1) / 6.0::DOUBLE, 3) AS completeness, round(pow(0.5::DOUBLE, id % 400 / 180.0::DOUBLE), 3) AS freshness
