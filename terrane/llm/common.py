@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.plans.scratch import checkpoint_dir, materialize
 
-__all__ = ["as_bytes", "checkpoint_dir", "chunks", "lower_ascii", "materialize", "mix64", "signed", "table", "unused", "word_hashes"]
+__all__ = ["as_bytes", "checkpoint_dir", "chunks", "lower_ascii", "materialize", "mix64", "signed", "sorted_side", "table", "unused", "word_hashes"]
 
 #: Text is worked on in numpy in chunks of about so many bytes (one longer text is a chunk of its own).
 CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: met by sorting at every size, never broadcast, so the plan of a small table
+    is the plan of a large one."""
+    return df.hint("merge")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df has not, whatever the case."""
     taken = {c.lower() for c in df.columns}

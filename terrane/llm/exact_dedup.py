@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, unused
+from .common import lower_ascii, materialize, sorted_side, unused
 
 BLOCK_BYTES = 16384
 
@@ -117,7 +117,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn(own, F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
     named = lambda some: some.select(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha))
     same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(sha))
-    left = rows.join(named(judged.filter("NOT kept")), same, "left_anti")
+    left = rows.join(sorted_side(named(judged.filter("NOT kept"))), same, "left_anti")
     again = judged.filter("kept")
     if not again.isEmpty():
         once = left.join(named(again), same, "left_semi").dropDuplicates(["doc_id", own])

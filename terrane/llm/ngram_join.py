@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from terrane.operators.components import connected_components
 from terrane.plans.scratch import discard_since, mark
 
-from .common import as_bytes, chunks, materialize, mix64, signed, unused, word_hashes
+from .common import as_bytes, chunks, materialize, mix64, signed, sorted_side, unused, word_hashes
 
 #: Words of an n-gram, and a link: 100 * intersection >= PERCENT * union.
 N, PERCENT = 4, 85
@@ -318,8 +318,8 @@ def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     # N-grams that one class alone has, by the hash of the class.
     owners = linked.select("f1", F.explode(F.slice("some", F.lit(1), F.col("looked").cast("int"))).alias("gram")).groupBy("gram").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).filter("f1 = other")
     own = owners.groupBy("f1").agg(F.count("*").alias("own"))
-    opened = materialize(classes.join(own, "f1", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")).select("id", "f1", "f2", "n", "first"), "opened")
-    reps = linked.join(opened, ["f1", "f2", "n"]).filter(F.col("doc_id") == F.col("first")).select("id", "n", "looked", "some").dropDuplicates(["id"])
+    opened = materialize(classes.join(sorted_side(own), "f1", "left").filter(F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")).select("id", "f1", "f2", "n", "first"), "opened")
+    reps = linked.join(sorted_side(opened), ["f1", "f2", "n"]).filter(F.col("doc_id") == F.col("first")).select("id", "n", "looked", "some").dropDuplicates(["id"])
     every = materialize(_prefix_tiles(materialize(reps, "reps"), percent), "prefixes")
     # At the first n-gram that two linked sets share, the smaller one can be no further in its order than this.
     early = (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")
@@ -328,7 +328,7 @@ def components_of_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     tiles = materialize(every.join(shared, "key").filter(early | (F.col("n") >= F.col("least"))).drop("least"), "tiles")
     wanted = materialize(tiles.select("id").distinct(), "wanted")
     met = materialize(opened.join(wanted, "id"), "met")
-    texts = plain.join(met.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = plain.join(sorted_side(met.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(n), "f1 long, f2 long, n long, grams binary, bits binary, brief binary").join(met.select("id", "f1", "f2", "n"), ["f1", "f2", "n"])
     sets = materialize(sets.select("id", "n", "grams", "bits", "brief").dropDuplicates(["id"]), "sets")
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
@@ -390,7 +390,7 @@ def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     of, hash_ = unused(docs, "of"), unused(docs, "hash")
     same: Column = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(hash_))
     named = lambda rows: rows.select(F.col("doc_id").alias(of), F.col("h").alias(hash_)).distinct()
-    left = docs.join(named(judged.filter("NOT stays")), same, "left_anti")
+    left = docs.join(sorted_side(named(judged.filter("NOT stays"))), same, "left_anti")
     again = judged.filter("stays")
     if again.isEmpty():
         return left
