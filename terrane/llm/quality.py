@@ -209,11 +209,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose score is 0.5 or more. Scores come from the text in the same narrow map.
 
-    Only labelled rows are measured for the fit. Null and empty texts are scored like others, rows that repeat each; without
-    labels every row stays; an empty table stays empty.
+    All rows are measured for the fit: to find the labelled ones first would move every text. Null and empty texts are scored
+    like others, rows that repeat each; without labels every row stays; an empty table stays empty.
     """
-    taught = taught_labels(labels)
-    model = fit_quality(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taught.select("doc_id").distinct(), "doc_id", "left_semi")), taught)
+    model = fit_quality(materialize(measure(docs), "statistics"), taught_labels(labels))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
