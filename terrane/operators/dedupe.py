@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -60,15 +61,34 @@ def spatial_clusters(points: DataFrame, eps_m: float = EPS_M, metric: str = "mer
 SCORED = ("id", "name_embedding", "address_normalized", "phone_e164", "website_domain", "brand")
 
 
-def candidate_pairs(members: DataFrame, cluster: str = "cluster_id", salts: int = 1) -> DataFrame:
-    """All pairs a.id < b.id of a cluster; a dense cluster is split by salting its left rows and copying its right ones."""
-    left = members.select(F.col(cluster), F.struct(*SCORED).alias("a"))
-    right = members.select(F.col(cluster), F.struct(*SCORED).alias("b"))
-    if salts > 1:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("a.id"), F.lit(salts)))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        return left.join(right, [cluster, "salt"]).filter("a.id < b.id").drop("salt")
-    return left.join(right, cluster).filter("a.id < b.id")
+#: Left rows of a cluster that are met by its right rows at a time.
+BLOCK_MEMBERS = 64
+
+
+def candidate_pairs(members: DataFrame, cluster: str = "cluster_id", block: int = BLOCK_MEMBERS) -> DataFrame:
+    """All pairs a.id < b.id of a cluster. The left rows of a cluster are dealt into blocks of about `block`, to each of which its
+    right rows are copied, so a dense cluster is many groups. What a task does grows with pairs, not with bytes, so the number of
+    tasks is given and adaptive execution doesn't merge them by their bytes."""
+    spark = members.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sizes = members.groupBy(cluster).agg(F.count("*").alias("size")).filter("size > 1").select(cluster, F.ceil(F.col("size") / block).cast("long").alias("salts"))
+    sized = members.join(sizes, cluster)
+    left = sized.select(F.col(cluster), F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.struct(*SCORED).alias("a"))
+    right = sized.select(F.col(cluster), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.struct(*SCORED).alias("b"))
+    return left.repartition(tasks, cluster, "salt").join(right.repartition(tasks, cluster, "salt"), [cluster, "salt"]).filter("a.id < b.id").drop("salt")
+
+
+def may_reach(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose score can be `least` or more: with phone, website and brand as they are, and name and address at their
+    best. It leaves out no pair that scores so much, and needs neither vectors nor token sets."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    best = lambda x, y, none: F.when(none(x) | none(y), sim.NEUTRAL).otherwise(1.0)
+    parts = {
+        "name": best(a("name_embedding"), b("name_embedding"), lambda c: c.isNull() | (F.size(c) == 0)),
+        "address": best(a("address_normalized"), b("address_normalized"), lambda c: F.coalesce(c, F.lit("")) == ""),
+        **{k: sim.equal_or_neutral(a(c), b(c)) for k, c in (("phone", "phone_e164"), ("website", "website_domain"), ("brand", "brand"))},
+    }
+    return pairs.filter(sim.composite(parts) >= least)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
@@ -77,7 +97,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     parts = pairs.select(
         a("id").alias("a_id"),
         b("id").alias("b_id"),
-        sim.cosine(a("name_embedding"), b("name_embedding")).alias("name"),
+        sim.cosine_batches(a("name_embedding"), b("name_embedding")).alias("name"),
         sim.token_set_ratio(a("address_normalized"), b("address_normalized")).alias("address"),
         sim.equal_or_neutral(a("phone_e164"), b("phone_e164")).alias("phone"),
         sim.equal_or_neutral(a("website_domain"), b("website_domain")).alias("website"),
@@ -87,17 +107,46 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("decision", sim.decision(F.col("score")))
 
 
-def resolve(pairs: DataFrame, resolver: Callable[[dict, dict], tuple[bool, float, str]], cache: DataFrame | None = None) -> DataFrame:
+# What a model is told of each place beside its id, and the column of silver that says it.
+RECORD = (
+    ("name", "name_original"),
+    ("address", "address_normalized"),
+    ("address_components", "address_components"),
+    ("phone", "phone_e164"),
+    ("website", "website"),
+    ("website_domain", "website_domain"),
+    ("brand", "brand"),
+    ("category", "openooh_category"),
+    ("subcategory", "openooh_subcategory"),
+)
+
+
+def resolve(pairs: DataFrame, resolver: Callable[[dict, dict], tuple[bool, float, str]], cache: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """lo_id, hi_id, same, confidence, reason for the pairs that need a model: from the cache, else from the resolver, called
-    in Arrow batches. The result is the next cache."""
+    in Arrow batches. The result is the next cache.
+
+    The resolver gets two dicts with id and, of `records` (rows of silver), those fields of RECORD that they have; without
+    records, or for an id that they lack, id alone.
+    """
     schema = "lo_id long, hi_id long, same boolean, confidence double, reason string"
     asked = pairs.filter("decision = 'needs_llm'").select(F.least("a_id", "b_id").alias("lo_id"), F.greatest("a_id", "b_id").alias("hi_id"), "score").distinct()
     if cache is not None:
         asked = asked.join(cache.select("lo_id", "hi_id"), ["lo_id", "hi_id"], "left_anti")
+    for side in ("lo", "hi"):
+        told = F.lit(None).cast("string").alias(f"{side}_record")
+        if records is None:
+            asked = asked.select("*", told)
+        else:
+            has = [F.col(c).alias(k) for k, c in RECORD if c in records.columns]
+            told = F.to_json(F.struct("id", *has), {"ignoreNullFields": "false"}).alias(f"{side}_record")
+            asked = asked.join(records.select(F.col("id").alias(f"{side}_id"), told), f"{side}_id", "left")
+
+    def place(id_: int, record: str | None) -> dict:
+        return json.loads(record) if record else {"id": id_}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [resolver({"id": r.lo_id}, {"id": r.hi_id}) for r in batch.itertuples()]
+            out = [resolver(place(r.lo_id, r.lo_record), place(r.hi_id, r.hi_record)) for r in batch.itertuples()]
             yield pd.DataFrame({"lo_id": batch["lo_id"], "hi_id": batch["hi_id"], "same": [o[0] for o in out], "confidence": [o[1] for o in out], "reason": [o[2][:500] for o in out]})
 
     new = asked.mapInPandas(run, schema)
@@ -238,11 +287,15 @@ def review_queue(silver: DataFrame, eps_m: float = EPS_M) -> DataFrame:
     return placed.withColumn("cluster_size", size).filter("cluster_size > 1").orderBy("cluster_id", F.desc_nulls_last("quality_score"), "id")
 
 
-def dedupe(silver: DataFrame, resolutions: DataFrame | None = None, eps_m: float = EPS_M, as_of: Column | None = None, salts: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(masters, history, silver) after a pass over the pending rows. Every pending row ends in exactly one master."""
+def dedupe(silver: DataFrame, resolutions: DataFrame | None = None, eps_m: float = EPS_M, as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(masters, history, silver) after a pass over the pending rows. Every pending row ends in exactly one master.
+
+    Only pairs that can merge are scored: sure ones, and where there are resolutions those to be asked too.
+    """
     pending = materialize(silver.filter("merge_status = 'pending'"), "pending")
     placed = materialize(pending.join(spatial_clusters(pending, eps_m), "id"), "placed")
-    scored = materialize(score_pairs(candidate_pairs(placed, salts=salts)), "scored")
+    pairs = may_reach(candidate_pairs(placed), sim.AUTO_MERGE if resolutions is None else sim.NEEDS_LLM)
+    scored = materialize(score_pairs(pairs), "scored")
     masters = materialize(build_masters(assign_components(placed, accepted_edges(scored, resolutions)), as_of), "masters")
     return masters, initial_history(masters), mark_merged(silver, masters)
 

@@ -560,6 +560,33 @@ def raw_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.join(raw.select("raw_poi_id", "source_poi_id"), "raw_poi_id").select("source_poi_id", "name_normalized", "openooh_subcategory", "brand", "phone_e164", "website_domain", "province_code", F.col("quality_score").cast("double").alias("quality"))
 
 
+#: Every customer as a payload of one of two sources, by key: a scraped one's own coordinates are missing on each fifth.
+STREETS, TYPES = ("Hàng Bài", "Bà Triệu", "Tràng Tiền"), (("cafe", "hospitality", "hospitality.cafes"), ("food", "hospitality", None))
+CUSTOMER_SILVER_SQL = """SELECT c_custkey AS id, lower(c_name) AS name_normalized, c_custkey || ' ' || street || ', Phường Tràng Tiền, Quận Hoàn Kiếm, Hà Nội' AS address_normalized, street, 'Hà Nội' AS province,
+  '+84243826' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phone_e164, lower(c_mktsegment) || '.vn' AS website_domain, 'hospitality' AS openooh_category,
+  CASE WHEN c_custkey % 2 = 0 OR c_custkey % 4 = 1 THEN 'hospitality.cafes' END AS openooh_subcategory, CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 2 = 1 THEN '27' END AS province_code
+  FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN 'Hàng Bài' WHEN 1 THEN 'Bà Triệu' ELSE 'Tràng Tiền' END AS street FROM customer)"""
+
+
+@query("silver_of_customers", CUSTOMER_SILVER_SQL)
+def silver_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction and normalization of payloads made from every customer: odd keys from one source, even ones from another."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, odd = F.col("c_custkey"), F.col("c_custkey") % 2 == 1
+    street = F.element_at(F.array(*[F.lit(s) for s in STREETS]), (key % 3 + 1).cast("int"))
+    address = F.concat(key.cast("string"), F.lit(" "), street, F.lit(", P. Tràng Tiền, Q. Hoàn Kiếm, TP. Hà Nội"))
+    phone = F.concat(F.lit("024 3826 "), F.lpad((key % 10000).cast("string"), 4, "0"))
+    site = F.concat(F.lit("https://www."), F.lower("c_mktsegment"), F.lit(".vn/x"))
+    lat, lng = F.lit(21.0285), F.lit(105.8542)
+    kind = F.when(key % 4 == 1, TYPES[0][0]).otherwise(TYPES[1][0])
+    google = F.to_json(F.struct(F.concat(F.lit("g"), key.cast("string")).alias("id"), F.struct(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")).alias("text")).alias("displayName"), address.alias("formattedAddress"), F.struct(lat.alias("latitude"), lng.alias("longitude")).alias("location"), kind.alias("primaryType"), phone.alias("nationalPhoneNumber"), site.alias("websiteUri")))
+    own = lambda v: F.when(key % 5 == 0, "x").otherwise(v.cast("string"))
+    scraped = F.to_json(F.struct(F.col("c_name").alias("title"), F.lit("Quán cà phê").alias("category"), address.alias("address"), own(lat).alias("latitude"), own(lng).alias("longitude"), phone.alias("phone"), site.alias("website"), F.concat(F.lit("p"), key.cast("string")).alias("place_id")))
+    raw = c.select(key.alias("raw_poi_id"), F.when(odd, "google_places").otherwise("gosom_scraper").alias("source_code"), F.when(odd, google).otherwise(scraped).alias("raw_payload"), F.expr("TIMESTAMP '2024-01-19 12:00:00'").alias("fetched_at"), F.lit(21.0).alias("lat"), F.lit(105.8).alias("lng"))
+    silver = normalize.to_silver(adapters.extract(raw), units=refdata.admin_units(spark).filter("level = 1"), as_of=F.expr("TIMESTAMP '2024-01-20 12:00:00'"))
+    return silver.select("id", "name_normalized", "address_normalized", "address_components.street", "address_components.province", "phone_e164", "website_domain", "openooh_category", "openooh_subcategory", "province_code")
+
+
 # --------------------------------------------------------------------------- entity resolution
 
 
@@ -630,7 +657,7 @@ PAIR_SQL = f"""s AS (SELECT * FROM {S} WHERE merge_status = 'pending'),
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'").withColumn("name_embedding", F.lit(None).cast("array<float>")).withColumn("address_normalized", F.lit(None).cast("string"))
     block = silver.filter("district_code IS NOT NULL").withColumn("cluster_id", F.concat_ws("/", "province_code", "district_code"))
-    return dedupe.score_pairs(dedupe.candidate_pairs(block, salts=4))
+    return dedupe.score_pairs(dedupe.candidate_pairs(block))
 
 
 @query("pair_decision", f"WITH {PAIR_SQL} SELECT a_id, b_id, phone, website, brand, score, CASE WHEN score >= 0.85 THEN 'auto_merge' WHEN score >= 0.65 THEN 'needs_llm' ELSE 'distinct' END AS decision FROM d")
@@ -648,7 +675,7 @@ def resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pending pairs of each spatial cluster, by real names and addresses."""
     silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'").withColumn("name_embedding", similarity.embed(F.col("name_original")))
-    return dedupe.score_pairs(dedupe.candidate_pairs(silver.join(dedupe.spatial_clusters(silver), "id"), salts=4))
+    return dedupe.score_pairs(dedupe.candidate_pairs(silver.join(dedupe.spatial_clusters(silver), "id")))
 
 
 @query("pair_decision_all")

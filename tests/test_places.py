@@ -204,6 +204,55 @@ def test_asked_pairs_join_only_when_sure_enough(spark):
     assert dedupe.resolve(scored, lambda a, b: (False, 0.0, ""), said).count() == 2  # all from the cache
 
 
+def test_resolver_gets_records(spark):
+    scored = spark.createDataFrame([(2, 1, 0.7, "needs_llm"), (1, 9, 0.7, "needs_llm")], "a_id long, b_id long, score double, decision string")
+    records = silver(spark, [(1, "osm_overpass", "Quán A", 21.0, 105.0, 0.5, None, "a.vn", None), (2, "osm_overpass", "Quán B", 21.0, 105.0, 0.5, "+8490", None, "B")])
+
+    def told(a, b):
+        return True, 0.9, f"{a['id']} {a.get('name')} {a.get('website_domain')} {a.get('phone')}; {b['id']} {b.get('name')} {b.get('category')}"
+
+    assert {r.hi_id: r.reason for r in dedupe.resolve(scored, told, records=records).collect()} == {2: "1 Quán A a.vn None; 2 Quán B retail", 9: "1 Quán A a.vn None; 9 None None"}
+
+
+def test_pairs_of_a_cluster_in_blocks_and_their_bounds(spark):
+    """All pairs once, however small the blocks; the bound drops no pair that scores enough, and drops some."""
+    chance = random.Random(5)
+    pick = lambda *of: chance.choice(of)
+    rows = [(i, "osm_overpass", pick("Circle K", "Circle K 2", "", "Quán"), 21.0, 105.0, 0.5, pick(None, "", "+841", "+842"), pick(None, "a.vn", "b.vn"), pick(None, "X", "Y")) for i in range(60)]
+    members = silver(spark, rows).withColumn("cluster_id", F.when(F.col("id") < 50, 1).when(F.col("id") < 59, 2))
+    members = members.withColumn("address_normalized", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "1 A, B").otherwise("B, 1 A")).withColumn("name_embedding", F.when(F.col("id") % 7 > 0, F.col("name_embedding")))
+    pairs = dedupe.candidate_pairs(members, block=4)
+    scored = {(r.a_id, r.b_id): r for r in dedupe.score_pairs(pairs).collect()}
+    assert sorted(scored) == [(i, j) for i in range(59) for j in range(i + 1, 59) if (i < 50) == (j < 50)] and pairs.count() == len(scored)
+    assert dedupe.candidate_pairs(members.limit(0)).count() == 0
+    for least in (0.65, 0.85):
+        left = {(r.i, r.j) for r in dedupe.may_reach(pairs, least).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).collect()}
+        assert {k for k, r in scored.items() if r.score >= least} <= left < set(scored)
+    plain = pairs.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), similarity.cosine(F.col("a.name_embedding"), F.col("b.name_embedding")).alias("c")).collect()
+    assert all(scored[r.i, r.j].name == pytest.approx(r.c, abs=1e-12) for r in plain)
+
+
+def test_embedding_of_names(spark):
+    """Against a plain loop over the n-grams of one name."""
+    import math
+
+    def plain(name):
+        vector, padded = [0.0] * similarity.EMBEDDING_DIM, f" {name.strip().lower()} "
+        for n in (2, 3, 4):
+            for i in range(len(padded) - n + 1 if name.strip() else 0):
+                h = 1469598103934665603
+                for ch in padded[i : i + n]:
+                    h = (h ^ ord(ch)) * 1099511628211 % 2**64
+                vector[h % similarity.EMBEDDING_DIM] += 1.0 if h >> 40 & 1 else -1.0
+        norm = math.hypot(*vector) or 1.0
+        return [v / norm for v in vector]
+
+    names = ["Quán Cà Phê", "", "a", "  ", "𝔸 b", "Circle K"]
+    got = spark.createDataFrame(list(enumerate([*names, None])), "i int, name string").select("i", similarity.embed(F.col("name")).alias("v")).collect()
+    for r in got:
+        assert r.v == pytest.approx(plain(([*names, None])[r.i] or ""), abs=1e-6)
+
+
 def test_reject_and_manual_merge(spark):
     s = silver(spark, [(i, "osm_overpass", f"n{i}", 21.0, 105.0, 0.5, None, None, None) for i in (1, 2, 3)])
     out = {r.id: (r.merge_status, r.merge_reason) for r in dedupe.reject(s, [2], "dup").collect()}
