@@ -110,6 +110,11 @@ def api_key_hash(key: Column) -> Column:
     return F.sha2(key, 256)
 
 
+def api_key_valid(key: Column, stored: Column, prefix: str = "pl_") -> Column:
+    """Whether a key has the prefix of keys and the stored hash; false where either is missing."""
+    return F.coalesce(key.startswith(prefix) & (api_key_hash(key) == stored), F.lit(False))
+
+
 def pair_key(a: Column, b: Column) -> Column:
     """Order-independent key of a pair of ids."""
     return F.concat_ws(":", F.least(a, b), F.greatest(a, b))

@@ -57,6 +57,15 @@ def spatial_clusters(points: DataFrame, eps_m: float = EPS_M, metric: str = "mer
     return all_.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
 
 
+def cluster(silver: DataFrame, eps_m: float = EPS_M, only_pending: bool = True, ids: DataFrame | None = None) -> DataFrame:
+    """id, cluster_id of the pending rows, of all rows, or of those of a table of ids, which then decides alone."""
+    if ids is not None:
+        chosen = silver.join(ids.select("id").distinct(), "id", "left_semi")
+    else:
+        chosen = silver.filter("merge_status = 'pending'") if only_pending else silver
+    return spatial_clusters(chosen, eps_m)
+
+
 #: Columns of silver that pair scoring reads.
 SCORED = ("id", "name_embedding", "address_normalized", "phone_e164", "website_domain", "brand")
 

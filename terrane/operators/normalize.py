@@ -201,6 +201,13 @@ def stamp_admin(points: DataFrame, units: DataFrame, key: str = "id", cell: floa
     return points.join(best, points[key] == best["_key"], "left").drop("_key")
 
 
+def backfill_admin(silver: DataFrame, units: DataFrame, key: str = "id") -> DataFrame:
+    """Silver where rows without a province have the three codes of their point; the others stay as they are and aren't joined."""
+    codes = ("province_code", "district_code", "ward_code")
+    stamped = stamp_admin(silver.filter("province_code IS NULL").drop(*codes), units, key)
+    return silver.filter("province_code IS NOT NULL").unionByName(stamped)
+
+
 def to_silver(raw: DataFrame, brand_table: DataFrame | None = None, units: DataFrame | None = None, as_of: dt.datetime | Column | None = None) -> DataFrame:
     """Silver rows of extracted bronze rows.
 

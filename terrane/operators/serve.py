@@ -144,3 +144,8 @@ def payload_preview(payload: Column) -> tuple[Column, Column]:
 def may(permissions: Column, wanted: str) -> Column:
     """Whether an API client may do something: the permission itself or the star."""
     return F.array_contains(permissions, wanted) | F.array_contains(permissions, "*")
+
+
+def access(known: Column, permissions: Column, wanted: str) -> Column:
+    """HTTP status of a request: 401 without a known and enabled client, 403 without the permission, else 200."""
+    return F.when(~F.coalesce(known, F.lit(False)), 401).when(~F.coalesce(may(permissions, wanted), F.lit(False)), 403).otherwise(200)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import fixed_values as fixed
 from terrane.functions import geo, refdata, similarity, text
-from terrane.operators import bronze, components, crawl, dedupe, kpi, normalize, serve
+from terrane.operators import bronze, components, crawl, dedupe, jobs, kpi, metrics, normalize, serve
 from terrane.sources import adapters
 
 from .scratch import materialize
@@ -201,6 +201,61 @@ def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.metric_lines(counts.select(F.lit("jobs_total").alias("name"), labels.alias("labels"), "value"))
 
 
+EVENT_STEPS_SQL = "SELECT event_type, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS before FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
+
+
+@query("counter_rates", f"""SELECT event_type, date_trunc('hour', ts) AS window_start, round(sum(CASE WHEN value < before THEN value WHEN before IS NOT NULL THEN value - before ELSE 0 END), 4) AS increase, round(sum(CASE WHEN value < before THEN value WHEN before IS NOT NULL THEN value - before ELSE 0 END) / 3600, 7) AS rate
+  FROM ({EVENT_STEPS_SQL}) GROUP BY 1, 2""")
+def counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each kind of event as samples of a counter that often starts again."""
+    samples = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rates = metrics.increases(samples, ("event_type",), seconds=3600)
+    return rates.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.round("increase", 4).alias("increase"), F.round("rate", 7).alias("rate"))
+
+
+BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+HISTOGRAM_SQL = f"""WITH b AS (SELECT unnest([{', '.join(map(str, BOUNDS))}, 'inf'::DOUBLE]) AS le), n AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le)::DOUBLE AS n FROM events, b GROUP BY ALL),
+  s AS (SELECT *, lag(n, 1, 0) OVER w AS below, lag(le) OVER w AS low, max(n) OVER (PARTITION BY event_type) AS total FROM n WINDOW w AS (PARTITION BY event_type ORDER BY le))
+  SELECT event_type, {', '.join(f"round(min_by(CASE WHEN isinf(le) THEN low WHEN n = below THEN coalesce(low, 0) ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * ((total * {q} - below) / (n - below)) END, le) FILTER (WHERE total > 0 AND n >= total * {q}), 6) AS {name}" for name, q in QUANTILES.items())} FROM s GROUP BY event_type"""
+
+
+@query("histogram_quantiles", HISTOGRAM_SQL)
+def histogram_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the values of each kind of event, from counts by bound."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    counted = e.groupBy("event_type").agg(*[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)], F.count("value").alias("all"))
+    buckets = counted.select("event_type", F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("count")) for i, b in enumerate(BOUNDS)], F.struct(F.lit(float("inf")).alias("le"), F.col("all").alias("count")))).alias("b")).select("event_type", "b.le", "b.count")
+    return metrics.histogram_quantiles(buckets, ("event_type",), QUANTILES).select("event_type", *[F.round(n, 6).alias(n) for n in QUANTILES])
+
+
+@query("job_count", f"SELECT count(*) AS total FROM {J} WHERE status = 'failed' AND source_id IN (SELECT id FROM {SRC} WHERE code = 'asia')")
+def job_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.count_jobs(frame(spark, sf_dir, JOBS), frame(spark, sf_dir, SOURCES), "asia", "failed")
+
+
+@query("job_get", f"SELECT id, source_id, status FROM {J} WHERE id = 7")
+def job_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.get_job(frame(spark, sf_dir, JOBS), 7).select("id", "source_id", "status")
+
+
+@query("job_start", f"SELECT id, CASE WHEN status = 'pending' AND id % 3 = 0 THEN 'running' ELSE status END AS status, CASE WHEN status = 'pending' AND id % 3 = 0 THEN {NOW} END AS started_at FROM {J}")
+def job_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third pending job is started; the table of all jobs is returned."""
+    all_ = frame(spark, sf_dir, JOBS)
+    return jobs.start_jobs(all_, _now(spark), all_.filter("id % 3 = 0")).select("id", "status", "started_at")
+
+
+@query("job_create", f"""SELECT e.event_id AS id, s.id AS source_id, CASE WHEN e.value >= 5 AND s.id IS NOT NULL THEN 'pending' END AS status, CASE WHEN s.id IS NULL THEN 'unknown source' WHEN e.value < 5 OR e.value IS NULL THEN 'lat, lng and radius_m are required' END AS error
+  FROM (SELECT *, CASE event_id % 6 WHEN 0 THEN 'asia' WHEN 1 THEN 'europe' ELSE 'elsewhere' END AS code FROM events) e LEFT JOIN {SRC} s ON s.code = e.code""")
+def job_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request to sweep an area for every event; those of small value name no area."""
+    near = F.when(F.col("value") >= 5, F.col("value"))
+    code = F.when(F.col("event_id") % 6 == 0, "asia").when(F.col("event_id") % 6 == 1, "europe").otherwise("elsewhere")
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), code.alias("source_code"), F.lit("area_sweep").alias("job_type"), near.alias("lat"), near.alias("lng"), near.alias("radius_m"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("source_poi_id"))
+    return jobs.create_jobs(requests, frame(spark, sf_dir, SOURCES), _now(spark)).select("id", "source_id", "status", "error")
+
+
 @query("ordered_union", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'AUTO' OR c_mktsegment = c_name THEN c_mktsegment || ',x' ELSE c_mktsegment || ',x,' || c_name END AS joined FROM customer")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -221,6 +276,16 @@ def permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), serve.may(held, "write").alias("may_write"))
 
 
+@query("access_status", "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 4 = 0 THEN 401 WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 200 ELSE 403 END AS status FROM customer")
+def access_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a client: each seventh key lacks the prefix, each fourth has another hash stored."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    key = F.concat(F.when(k % 7 == 0, "xx_").otherwise("pl_"), F.col("c_name"))
+    stored = text.api_key_hash(F.when(k % 4 == 0, F.lit("other")).otherwise(key))
+    held = F.when(k % 3 == 0, F.array(F.lit("read"), F.lit("write"))).when(k % 5 == 0, F.array(F.lit("*"))).otherwise(F.array(F.lit("read")))
+    return c.select(k.alias("id"), serve.access(text.api_key_valid(key, stored), held, "write").alias("status"))
+
+
 @query("history_of_one", f"SELECT id, source_id AS version FROM {J} WHERE id % 40 = 7 ORDER BY version, completed_at")
 def history_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = frame(spark, sf_dir, JOBS).select("id", F.col("source_id").alias("version"), F.col("completed_at").alias("changed_at"), (F.col("id") % 40).alias("master_poi_id"))
@@ -384,6 +449,14 @@ def admin_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.stamp_admin(points, refdata.admin_units(spark).unionByName(own)).select("id", "province_code", "district_code", "ward_code")
 
 
+@query("admin_backfill", f"""SELECT m.id, coalesce(m.province_code, arg_min(u.code, struct_pack(a := (u.lng_max - u.lng_min) * (u.lat_max - u.lat_min), c := u.code)) FILTER (WHERE u.level = 1)) AS province_code
+  FROM (SELECT id, lat, lng, CASE WHEN id % 3 = 0 THEN NULL ELSE 'p' || province_code END AS province_code FROM {M}) m LEFT JOIN {U} u ON m.lat BETWEEN u.lat_min AND u.lat_max AND m.lng BETWEEN u.lng_min AND u.lng_max GROUP BY m.id, m.province_code""")
+def admin_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the rows that lack a province; the others keep theirs."""
+    held = frame(spark, sf_dir, MASTERS).select("id", "lat", "lng", F.when(F.col("id") % 3 != 0, F.concat(F.lit("p"), "province_code")).alias("province_code"), F.lit(None).cast("string").alias("district_code"), F.lit(None).cast("string").alias("ward_code"))
+    return normalize.backfill_admin(held, frame(spark, sf_dir, PROVINCES)).select("id", "province_code")
+
+
 # --------------------------------------------------------------------------- bronze
 
 
@@ -602,6 +675,16 @@ def spatial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.spatial_clusters(_pending(spark, sf_dir))
 
 
+PICKED_SQL = POINTS_SQL.replace("merge_status = 'pending'", "id % 3 <> 0")
+
+
+@query("clusters_of_ids", f"WITH RECURSIVE {PICKED_SQL}, {EDGES_SQL}, {REACH_SQL} SELECT id, min(root) AS cluster_id FROM r GROUP BY id")
+def clusters_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of a given table of ids, whatever the status of their rows."""
+    silver = frame(spark, sf_dir, SILVER)
+    return dedupe.cluster(silver, ids=silver.filter("id % 3 <> 0"))
+
+
 @query("review_queue", f"WITH RECURSIVE {POINTS_SQL}, {EDGES_SQL}, {REACH_SQL}, c AS (SELECT id, min(root) AS cluster_id FROM r GROUP BY id) SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM c QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.review_queue(_pending(spark, sf_dir)).select("id", "cluster_id", "cluster_size")
