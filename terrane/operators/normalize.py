@@ -100,11 +100,15 @@ def parse_address(address: Column) -> Column:
     return F.get(F.transform(F.array(parts), render), F.lit(0))
 
 
+#: Brands (with join_brands: patterns) that a plan holds as constants.
+MAX_BRANDS = 5000
+
+
 def brand_rows(table: DataFrame) -> list[tuple[str, list[str], str | None]]:
     """Enabled brands in order, as the plan's constants; the table is a dimension of a checked size."""
-    found = table.filter("enabled").orderBy("ord").select("name", "aliases", "match_pattern").limit(5001).collect()
-    if len(found) > 5000:
-        raise ValueError("more than 5,000 brands: join them instead")
+    found = table.filter("enabled").orderBy("ord").select("name", "aliases", "match_pattern").limit(MAX_BRANDS + 1).collect()
+    if len(found) > MAX_BRANDS:
+        raise ValueError(f"more than {MAX_BRANDS} brands: use join_brands")
     return [(r[0], r[1] or [], r[2]) for r in found]
 
 
@@ -126,6 +130,28 @@ def detect_brand(name: Column, known: list[tuple[str, list[str], str | None]]) -
     return F.coalesce(*by_pattern, alias, F.struct(F.lit(None).cast("string").alias("brand"), F.lit(None).cast("double").alias("confidence")))
 
 
+def join_brands(named: DataFrame, table: DataFrame, name: str = "name", out: str = "_brand") -> DataFrame:
+    """named with the struct of detect_brand, for any number of brands.
+
+    Each alias is met at its rarest word, by a join with the words of the different folded names, and checked whole; of the
+    brands found the first counts. Only patterns are constants of the plan.
+    """
+    alone = F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("alias")
+    folded = table.filter("enabled").select("ord", F.col("name").alias("brand"), alone).withColumn("alias", normalize_text(F.col("alias"))).withColumn("parts", F.split("alias", " "))
+    usable = folded.filter((F.col("alias") != "") & F.forall("parts", lambda w: F.length(w) >= 2)).distinct()
+    words = usable.select("ord", "brand", "alias", "parts", F.explode(F.array_distinct("parts")).alias("word"))
+    common = words.groupBy("word").agg(F.count("*").alias("n"))
+    met = words.join(common, "word").groupBy("ord", "brand", "alias", "parts").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    names = named.select(normalize_text(F.col(name)).alias("_folded")).distinct().withColumn("_words", F.array_distinct(F.split("_folded", " ")))
+    hits = names.withColumn("word", F.explode("_words")).join(met, "word").filter(F.size(F.array_except("parts", "_words")) == 0)
+    first = hits.groupBy("_folded").agg(F.min(F.struct("ord", (F.col("alias") != F.col("_folded")).alias("part"), "brand")).alias("_first"))
+    found = lambda b, c: F.struct(b.alias("brand"), c.cast("double").alias("confidence"))
+    by_pattern = [F.when(F.col(name).rlike("(?iU)" + p), found(F.lit(b), F.lit(0.95))) for b, _, p in brand_rows(table.filter("match_pattern IS NOT NULL AND match_pattern <> ''"))]
+    alias = F.when(F.col("_first").isNotNull(), found(F.col("_first.brand"), F.when(F.col("_first.part"), 0.75).otherwise(0.9)))
+    joined = named.withColumn("_folded", normalize_text(F.col(name))).join(first, "_folded", "left")
+    return joined.withColumn(out, F.coalesce(*by_pattern, alias, found(F.lit(None).cast("string"), F.lit(None)))).drop("_folded", "_first")
+
+
 def _pair(top: str | None, sub: str | None) -> Column:
     return F.struct(F.lit(top).cast("string").alias("category"), F.lit(sub).cast("string").alias("subcategory"))
 
@@ -217,11 +243,13 @@ def to_silver(raw: DataFrame, brand_table: DataFrame | None = None, units: DataF
     """
     spark = raw.sparkSession
     now = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
-    brand = detect_brand(F.col("name"), brand_rows(brand_table if brand_table is not None else brands(spark)))
+    known = (brand_table if brand_table is not None else brands(spark)).filter("enabled")
+    many = known.limit(MAX_BRANDS + 1).count() > MAX_BRANDS
     own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     rows_ = raw.filter(blank_to_null(F.col("name")).isNotNull()).withColumn("_own", own)
     rows_ = rows_.withColumn("lat", F.when(own, F.col("lat")).otherwise(F.col("raw_lat"))).withColumn("lng", F.when(own, F.col("lng")).otherwise(F.col("raw_lng"))).filter("lat IS NOT NULL AND lng IS NOT NULL")
-    rows_ = rows_.withColumn("_address", parse_address(F.col("address"))).withColumn("_phone", phone_e164(F.col("phone"))).withColumn("_brand", brand).withColumn("_category", category(F.col("source_code"), F.col("raw_category"), F.col("name")))
+    rows_ = rows_.withColumn("_address", parse_address(F.col("address"))).withColumn("_phone", phone_e164(F.col("phone"))).withColumn("_category", category(F.col("source_code"), F.col("raw_category"), F.col("name")))
+    rows_ = join_brands(rows_, known) if many else rows_.withColumn("_brand", detect_brand(F.col("name"), brand_rows(known)))
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     has = {"name": filled("name"), "address": filled("address"), "phone": filled("phone"), "website": filled("website"), "coordinates": F.col("_own"), "category": F.col("_category.category").isNotNull()}
     rows_ = rows_.withColumn("_quality", quality(F.col("source_code"), F.col("fetched_at"), now, has, F.col("_address.confidence"), F.col("_phone").isNotNull()))
