@@ -1,4 +1,4 @@
-"""The ten queries over the corpus tables and, where SQL can say the same, their SQL for DuckDB."""
+"""The thirteen queries over the corpus tables and, where SQL can say the same, their SQL for DuckDB."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .fill_in_middle import transform_digest
+from .lexical_search import rank
 from .ngram_join import near_duplicates
 from .packing import pack
 from .personal_data import find_personal_data
@@ -18,6 +20,7 @@ from .secret_scan import ADDED, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, sca
 from .sentencepiece_codec import encode_digest
 from .sharding import shard
 from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
 from .vector_search import search
 
 
@@ -62,8 +65,20 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_ngram_join, op4_sentencepiece, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_vector_search, op11_lexical_search, op12_token_counts, op13_fill_in_middle)}
 
 
 def _op5_kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
@@ -114,5 +129,37 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+OP11_SQL = r"""
+WITH found AS (
+  SELECT i, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, doc_id, text FROM documents)),
+sized AS (SELECT i, doc_id, count(*) AS n FROM found GROUP BY ALL),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sized),
+wanted AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+counted AS (SELECT i, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, corpus GROUP BY term, docs),
+scored AS (
+  SELECT item_id, wanted.text, doc_id, i, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // length)))))::BIGINT AS score
+  FROM wanted JOIN counted USING (term) JOIN weighed USING (term) JOIN sized USING (i), corpus GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT doc_id, n, form, t, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_vector_search": OP10_SQL}
+    return {"op5_secret_scan": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_vector_search": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
