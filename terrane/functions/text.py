@@ -80,7 +80,9 @@ def _canonical_json(payloads: pd.Series) -> pd.Series:
         if text is None:
             return None
         try:
-            return json.dumps(json.loads(text, parse_constant=_refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            out = json.dumps(json.loads(text, parse_constant=_refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            out.encode()  # half a surrogate pair has no UTF-8
+            return out
         except (ValueError, RecursionError):
             return None
 
@@ -91,19 +93,28 @@ def _refuse(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
-#: JSON texts that the built-in form writes as the canonical form does: no number but plain integers of at most 18 digits
-#: outside of strings, no escapes. Keys that repeat are excluded by the parser, which gives null for them.
-_PLAIN_JSON = r'^(?:[^"\\\x00-\x1f0-9]|[\n\r\t]|(?<![0-9.])(?:0|[1-9][0-9]{0,17})(?![0-9.eE])|"[^"\\\x00-\x1f]*")*$'
+#: Looked for one character after another, so a payload's length never deepens the matcher's stack. What the built-in form can't
+#: take: escapes, control characters, and characters beyond the basic plane, which it would sort as two.
+_NOT_PLAIN_TEXT = r"[\\\x00-\x08\x0b\x0c\x0e-\x1f\x{10000}-\x{10ffff}]"
+#: A string without escapes, and what may not stand outside of strings: any number but plain integers of at most 18 digits.
+_PLAIN_STRING, _NOT_PLAIN_REST = r'"[^"]*+"', r"[^\[\]{}:,0-9a-z \n\r\t-]|[0-9]e|[0-9]{19}"
 
 
 def content_hash(payload: Column) -> Column:
     """SHA-256 of canonical JSON: keys sorted at every depth by code point, no blanks, of a repeated key the last value, floats
-    in their shortest form that reads back (1.0 stays 1.0, 1e-07 stays 1e-07). Null where the payload is null, empty or no JSON.
+    in their shortest form that reads back (1.0 stays 1.0, 1e-07 stays 1e-07). Null where the payload is null, empty
+    or no JSON, and where an escape is half a surrogate pair, which has no UTF-8.
 
-    Payloads without floats and escapes, most of them, stay in built-in expressions; Arrow batches take the others.
+    Payloads without floats and escapes, most of them, stay in built-in expressions; Arrow batches take the others, and those that
+    the built-in parser refuses (repeated keys, great depth or size).
     """
-    plain = F.when(F.regexp_like(payload, F.lit(_PLAIN_JSON)), F.to_json(F.try_parse_json(payload)))
-    return F.sha2(F.coalesce(plain, _canonical_json(F.when(plain.isNull(), payload))), 256)
+    rest = F.regexp_replace(payload, _PLAIN_STRING, "0")
+    plain = ~F.regexp_like(payload, F.lit(_NOT_PLAIN_TEXT)) & ~F.regexp_like(rest, F.lit(_NOT_PLAIN_REST))
+    made = F.when(plain, F.to_json(F.try_parse_json(payload)))
+    # The parser stops after the first value; what follows, and anything else not carried over, shows in the length without blanks.
+    whole = F.length(payload) - F.length(rest) + F.length(F.translate(rest, " \n\r\t", ""))
+    built_in = F.when(F.length(made) == whole, made)
+    return F.sha2(F.coalesce(built_in, _canonical_json(F.when(built_in.isNull(), payload))), 256)
 
 
 def api_key_hash(key: Column) -> Column:
