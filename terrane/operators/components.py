@@ -14,26 +14,35 @@ JUMPS = 2
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable), for every node that an edge names.
 
-    Each round hooks every node to its smallest neighbour, follows these pointers a few times and contracts the edges,
-    so the edge table shrinks until it is empty. No step gathers a node's neighbours: hubs are met by partial minima and
-    by joins that adaptive execution can split. Loops and repeated edges do no harm.
+    Nodes are numbered in the order of their hashes first: hooked in the order of ids, a chain of rising ids would shrink by a few
+    nodes a round. Each round then hooks every node to its smallest neighbour, follows these pointers a few times and contracts the
+    edges, so the edge table shrinks by a factor until it is empty, whatever the graph. No step gathers a node's neighbours: hubs are
+    met by partial minima and by joins that adaptive execution can split. Loops and repeated edges do no harm.
     """
-    pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    pairs = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     since = mark()
+    pairs = materialize(pairs, "edges")
+    names = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().sortWithinPartitions(F.xxhash64("node")).withColumn("k", F.monotonically_increasing_id()), "names")
+    named = lambda c: names.select(F.col("node").alias(c), F.col("k").alias(f"k{c}"))
+    pairs = pairs.filter("a < b").join(named("a"), "a").join(named("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     kept = pairs = materialize(pairs, "edges")
-    labels = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
-    pairs = pairs.filter("a < b")
+    tops: list[DataFrame] = []
     while not pairs.isEmpty():
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p")), "parents")
+        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p"))
         above, jumped = parent.select(F.col("node").alias("p"), F.col("p").alias("pp")), parent
         for _ in range(JUMPS):
             jumped = jumped.join(above, "p").select("node", F.col("pp").alias("p"))
-        parent = materialize(jumped, "ancestors")
-        step = parent.select(F.col("node").alias("component"), "p")
-        labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        parent = materialize(jumped, "tops")
+        tops.append(parent)
         at_a, at_b = parent.select(F.col("node").alias("a"), F.col("p").alias("pa")), parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
         kept = pairs = materialize(pairs.join(at_a, "a").join(at_b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        discard_since(edges.sparkSession, since, labels, kept)
-    discard_since(edges.sparkSession, since, labels)
-    return labels
+        discard_since(edges.sparkSession, since, names, kept, *tops)
+    # From the last round back, so what is joined grows from the few nodes left to all of them.
+    top = names.select(F.col("k").alias("node"), F.col("k").alias("p")).limit(0)
+    for step in reversed(tops):
+        after = top.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        top = step.join(after, "p", "left").select("node", F.coalesce("pp", "p").alias("p"))
+    found = materialize(names.join(top.select(F.col("node").alias("k"), "p"), "k", "left").select("node", F.coalesce("p", "k").alias("at")), "found")
+    discard_since(edges.sparkSession, since, found)
+    return found.join(found.groupBy("at").agg(F.min("node").alias("component")), "at").select("node", "component")

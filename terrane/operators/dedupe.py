@@ -15,7 +15,9 @@ from terrane.functions.refdata import SOURCES, UNKNOWN_PRIORITY
 from terrane.functions.text import pair_key
 from terrane.plans.scratch import materialize
 
+from .cells import linked_cells
 from .components import connected_components
+from .pairs import given_pairs, reachable_pairs, score_found, self_score, twins
 
 EPS_M, MIN_WEIGHT = 55.0, 0.01
 CHANGED_FIELDS = ("canonical_name", "canonical_address", "canonical_phone", "canonical_website", "location", "openooh_category", "brand")
@@ -25,24 +27,18 @@ def neighbour_links(points: DataFrame, eps_m: float = EPS_M, metric: str = "merc
     """Links (a, b) that connect the same components as the graph "distance at most eps".
 
     Points fall into cells of side eps / sqrt 2, so all points of one cell are within eps and link to its smallest id: no
-    pair inside a cell is looked at. Of each two cells near enough only the closest pair is kept, found cell by cell.
+    pair inside a cell is looked at. Two cells near enough get one link between their smallest ids; see `cells` for how they are found.
     """
     scale = F.lit(1.0) if metric == "mercator" else F.cos(F.radians("lat"))
     side = eps_m / 2**0.5
     flat = points.filter("lat IS NOT NULL AND lng IS NOT NULL").select("id", "lat", "lng", (mercator_x(F.col("lng")) * scale).alias("x"), mercator_y(F.col("lat")).alias("y"))
     if metric != "mercator":
         flat = flat.withColumn("y", F.radians("lat") * 6371008.8)
-    cells = flat.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    cells = flat.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
     heads = cells.groupBy("cx", "cy").agg(F.min("id").alias("head"))
     inside = cells.join(heads, ["cx", "cy"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    # Each point is dealt to the cells of the half plane above its own; copies of a point count once.
-    places = cells.join(heads, ["cx", "cy"]).groupBy("cx", "cy", "x", "y").agg(F.min("head").alias("head"))
-    steps = [(dx, dy) for dx in range(-2, 3) for dy in range(0, 3) if (dy > 0 or dx > 0) and max(abs(dx) - 1, 0) ** 2 + max(dy - 1, 0) ** 2 <= 2]
-    dealt = places.withColumn("step", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])))
-    dealt = dealt.select("x", "y", F.col("head").alias("a"), (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"))
-    other = places.select("cx", "cy", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("head").alias("b"))
-    near = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 <= eps_m * eps_m
-    across = dealt.join(other, ["cx", "cy"]).filter(near).select("a", "b").distinct()
+    head = lambda n: heads.select(F.col("cx").alias(f"{n}x"), F.col("cy").alias(f"{n}y"), F.col("head").alias(n))
+    across = linked_cells(cells, eps_m).join(head("a"), ["ax", "ay"]).join(head("b"), ["bx", "by"]).select("a", "b")
     return inside.unionByName(across)
 
 
@@ -296,16 +292,37 @@ def review_queue(silver: DataFrame, eps_m: float = EPS_M) -> DataFrame:
     return placed.withColumn("cluster_size", size).filter("cluster_size > 1").orderBy("cluster_id", F.desc_nulls_last("quality_score"), "id")
 
 
-def dedupe(silver: DataFrame, resolutions: DataFrame | None = None, eps_m: float = EPS_M, as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(masters, history, silver) after a pass over the pending rows. Every pending row ends in exactly one master.
+def merging_edges(placed: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+    """a, b: edges with the components of all pairs to merge (sure ones, and asked ones that the resolutions call the same) of a cluster.
 
-    Only pairs that can merge are scored: sure ones, and where there are resolutions those to be asked too.
+    Rows that are alike in all that is scored are one row in the search for pairs; they hang together if they merge by themselves or
+    with another row. Resolved pairs are looked up, not searched for.
     """
+    placed_twins = materialize(twins(placed), "twins")
+    heads = materialize(placed.join(placed_twins.filter("id = twin_of").select("id"), "id", "left_semi"), "heads")
+    found = score_found(reachable_pairs(heads, sim.AUTO_MERGE), heads, sim.AUTO_MERGE)
+    edges = materialize(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "sure")
+    drawn = edges.select(F.explode(F.array("a", "b")).alias("twin_of")).unionByName(heads.filter(self_score() >= sim.AUTO_MERGE).select(F.col("id").alias("twin_of"))).distinct()
+    alike = placed_twins.filter("id <> twin_of").join(drawn, "twin_of", "left_semi").select(F.col("twin_of").alias("a"), F.col("id").alias("b"))
+    edges = edges.unionByName(alike)
+    if resolutions is None:
+        return edges
+    said = resolutions.filter(F.col("same") & (F.col("confidence") >= sim.LLM_ACCEPT)).select(F.col("lo_id").alias("a_id"), F.col("hi_id").alias("b_id"))
+    asked = score_found(given_pairs(said, placed), placed, sim.NEEDS_LLM)
+    return edges.unionByName(asked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+
+
+def pairs_to_ask(placed: DataFrame) -> DataFrame:
+    """The scored pairs of a cluster that need a model. All pairs of a cluster are looked at only where phone, website and brand may
+    all be missing or different, which at this threshold leaves name and address to decide."""
+    return score_found(reachable_pairs(placed, sim.NEEDS_LLM), placed, sim.NEEDS_LLM).filter("decision = 'needs_llm'")
+
+
+def dedupe(silver: DataFrame, resolutions: DataFrame | None = None, eps_m: float = EPS_M, as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(masters, history, silver) after a pass over the pending rows. Every pending row ends in exactly one master."""
     pending = materialize(silver.filter("merge_status = 'pending'"), "pending")
     placed = materialize(pending.join(spatial_clusters(pending, eps_m), "id"), "placed")
-    pairs = may_reach(candidate_pairs(placed), sim.AUTO_MERGE if resolutions is None else sim.NEEDS_LLM)
-    scored = materialize(score_pairs(pairs), "scored")
-    masters = materialize(build_masters(assign_components(placed, accepted_edges(scored, resolutions)), as_of), "masters")
+    masters = materialize(build_masters(assign_components(placed, merging_edges(placed, resolutions)), as_of), "masters")
     return masters, initial_history(masters), mark_merged(silver, masters)
 
 
@@ -315,4 +332,4 @@ def dedupe_stats(placed: DataFrame, masters: DataFrame, resolutions: DataFrame |
     return placed.agg(F.countDistinct("cluster_id").alias("clusters")).join(F.broadcast(masters.agg(F.count("*").alias("masters_created"), F.coalesce(F.sum(F.size("merged_processed_ids")), F.lit(0)).alias("members_merged")))).withColumn("llm_calls", F.lit(calls).cast("long"))
 
 
-__all__ = ["build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "neighbour_links", "reject", "review_queue", "score_pairs", "spatial_clusters"]
+__all__ = ["build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_to_ask", "reachable_pairs", "reject", "review_queue", "score_found", "score_pairs", "spatial_clusters"]

@@ -189,9 +189,9 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.rate_windows(calls, client="user_id", limit=1).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("job_list", f"SELECT j.id, s.code AS source_code, j.status FROM {J} j JOIN {SRC} s ON j.source_id = s.id WHERE s.code = 'region_3' AND j.status = 'failed'")
+@query("job_list", f"SELECT j.id, s.code AS source_code, j.status FROM {J} j JOIN {SRC} s ON j.source_id = s.id WHERE s.code = 'europe' AND j.status = 'failed'")
 def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.list_jobs(frame(spark, sf_dir, JOBS), frame(spark, sf_dir, SOURCES), "region_3", "failed").select("id", "source_code", "status")
+    return crawl.list_jobs(frame(spark, sf_dir, JOBS), frame(spark, sf_dir, SOURCES), "europe", "failed").select("id", "source_code", "status")
 
 
 @query("metric_lines", f"""SELECT 'terrane_jobs_total{{source="' || source_id || '",status="' || status || '"}} ' || count(*) AS line FROM {J} GROUP BY source_id, status""")
@@ -694,20 +694,27 @@ def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'")
 
 
-@query("spatial_clusters_all")
+EVERY_SQL = POINTS_SQL.replace(" WHERE merge_status = 'pending'", "")
+CLOSE_SQL = EDGES_SQL.replace("55.0::DOUBLE * 55", "25.0::DOUBLE * 25").replace("<= 55", "<= 25")
+
+
+@query("spatial_clusters_all", f"WITH RECURSIVE {EVERY_SQL}, {EDGES_SQL}, {REACH_SQL} SELECT id, min(root) AS cluster_id FROM r GROUP BY id")
 def spatial_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.spatial_clusters(_pending(spark, sf_dir))
+    """Clusters of every row, whatever its status."""
+    return dedupe.cluster(frame(spark, sf_dir, SILVER), only_pending=False)
 
 
-@query("review_queue_all")
+@query("review_queue_all", f"WITH RECURSIVE {POINTS_SQL}, {CLOSE_SQL}, {REACH_SQL}, c AS (SELECT id, min(root) AS cluster_id FROM r GROUP BY id) SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, quality_score FROM c JOIN {S} USING (id) QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1")
 def review_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.review_queue(_pending(spark, sf_dir)).select("id", "cluster_id", "cluster_size")
+    """The queue at less than half the usual distance, with what it is ordered by."""
+    return dedupe.review_queue(_pending(spark, sf_dir), eps_m=25.0).select("id", "cluster_id", "cluster_size", "quality_score")
 
 
-@query("grid_distance_links_all")
+@query("grid_distance_links_all", f"WITH {POINTS_SQL}, {EDGES_SQL}, d AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT count(*) AS linked_points FROM d")
 def grid_distance_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The neighbour links of all pending points, which the components follow from."""
-    return dedupe.neighbour_links(_pending(spark, sf_dir))
+    """How many pending points the neighbour links name: all those with another one within eps."""
+    links = dedupe.neighbour_links(_pending(spark, sf_dir))
+    return links.select(F.explode(F.array("a", "b")).alias("id")).agg(F.countDistinct("id").alias("linked_points"))
 
 
 @query("union_find", "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 3) % 1000 AS b FROM customer), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id WHERE s.b > r.root) SELECT id AS node, min(root) AS component FROM r GROUP BY id")
@@ -716,9 +723,13 @@ def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(edges)
 
 
-@query("union_find_all")
+OCTETS = "floor(o_orderkey / 8) * 8 + (o_orderkey * 3) % 8"
+
+
+@query("union_find_all", f"WITH RECURSIVE e AS (SELECT o_orderkey AS a, CAST({OCTETS} AS BIGINT) AS b FROM orders), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.id WHERE s.b > r.root) SELECT id AS node, min(root) AS component FROM r GROUP BY id")
 def union_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS a", "(c_custkey * 3) % 1000 AS b"))
+    """Many small components: an edge for every order."""
+    return components.connected_components(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS a", f"CAST({OCTETS} AS BIGINT) AS b"))
 
 
 @query("cosine_pairs", "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(greatest(0, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
@@ -732,45 +743,60 @@ def _equal(c: str) -> str:
     return f"CASE WHEN coalesce(a.{c}, '') = '' OR coalesce(b.{c}, '') = '' THEN 0.5 WHEN a.{c} = b.{c} THEN 1.0 ELSE 0.0 END"
 
 
-PAIR_SQL = f"""s AS (SELECT * FROM {S} WHERE merge_status = 'pending'),
-  q AS (SELECT a.id AS a_id, b.id AS b_id, 0.5 AS name, 0.5 AS address, {_equal('phone_e164')} AS phone, {_equal('website_domain')} AS website, {_equal('brand')} AS brand FROM s a JOIN s b ON a.province_code = b.province_code AND a.district_code = b.district_code AND a.id < b.id),
+#: The pairs of a spatial cluster that score 0.65 or more. A name's vector has two components here, so SQL can say its cosine.
+PAIR_SQL = f"""{POINTS_SQL}, {EDGES_SQL}, {REACH_SQL}, c AS (SELECT id, min(root) AS cluster_id FROM r GROUP BY id),
+  s AS (SELECT *, 0.3::DOUBLE * (id % 3) AS turn FROM {S} JOIN c USING (id)),
+  q AS (SELECT a.id AS a_id, b.id AS b_id, CASE WHEN a.id % 11 = 0 OR b.id % 11 = 0 THEN 0.5 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, cos(a.turn) * cos(b.turn) + sin(a.turn) * sin(b.turn))) END AS name,
+    {_equal('address_normalized')} AS address, {_equal('phone_e164')} AS phone, {_equal('website_domain')} AS website, {_equal('brand')} AS brand FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.id < b.id),
   d AS (SELECT *, round(name * 0.4::DOUBLE + address * 0.25::DOUBLE + phone * 0.15::DOUBLE + website * 0.1::DOUBLE + brand * 0.1::DOUBLE, 4) AS score FROM q)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'").withColumn("name_embedding", F.lit(None).cast("array<float>")).withColumn("address_normalized", F.lit(None).cast("string"))
-    block = silver.filter("district_code IS NOT NULL").withColumn("cluster_id", F.concat_ws("/", "province_code", "district_code"))
-    return dedupe.score_pairs(dedupe.candidate_pairs(block))
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending places with their cluster and vectors of names."""
+    turn = F.lit(0.3) * (F.col("id") % 3)
+    silver = _pending(spark, sf_dir).withColumn("name_embedding", F.when(F.col("id") % 11 != 0, F.array(F.cos(turn), F.sin(turn))))
+    return materialize(silver.join(dedupe.spatial_clusters(silver), "id"), "members")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _members(spark, sf_dir)
+    return dedupe.score_found(dedupe.reachable_pairs(members, similarity.NEEDS_LLM), members, similarity.NEEDS_LLM)
 
 
-@query("pair_decision", f"WITH {PAIR_SQL} SELECT a_id, b_id, phone, website, brand, score, CASE WHEN score >= 0.85 THEN 'auto_merge' WHEN score >= 0.65 THEN 'needs_llm' ELSE 'distinct' END AS decision FROM d")
+@query("pair_decision", f"WITH RECURSIVE {PAIR_SQL} SELECT a_id, b_id, round(name, 6) AS name, address, phone, website, brand, score, CASE WHEN score >= 0.85 THEN 'auto_merge' ELSE 'needs_llm' END AS decision FROM d WHERE score >= 0.65")
 def pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("a_id", "b_id", "phone", "website", "brand", "score", "decision")
+    """Parts, score and decision of the pairs of a cluster that merge or need a model."""
+    return _scored(spark, sf_dir).withColumn("name", F.round("name", 6))
+
+
+def _parity(a: dict, b: dict) -> tuple[bool, float, str]:
+    return (a["id"] + b["id"]) % 2 == 0, 0.9 if (a["id"] + b["id"]) % 3 else 0.3, "parity"
 
 
-@query("resolved_edges", f"WITH {PAIR_SQL} SELECT a_id AS a, b_id AS b FROM d WHERE score >= 0.85 OR (score >= 0.65 AND (a_id + b_id) % 2 = 0 AND (a_id + b_id) % 3 <> 0)")
+@query("resolved_edges", f"WITH RECURSIVE {PAIR_SQL} SELECT a_id AS a, b_id AS b FROM d WHERE score >= 0.85 OR (score >= 0.65 AND (a_id + b_id) % 2 = 0 AND (a_id + b_id) % 3 <> 0)")
 def resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _pairs(spark, sf_dir)
-    said = dedupe.resolve(scored, lambda a, b: ((a["id"] + b["id"]) % 2 == 0, 0.9 if (a["id"] + b["id"]) % 3 else 0.3, "parity"))
-    return dedupe.accepted_edges(scored, said)
+    scored = materialize(_scored(spark, sf_dir), "scored")
+    return dedupe.accepted_edges(scored, dedupe.resolve(scored, _parity))
 
 
 def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pending pairs of each spatial cluster, by real names and addresses."""
-    silver = frame(spark, sf_dir, SILVER).filter("merge_status = 'pending'").withColumn("name_embedding", similarity.embed(F.col("name_original")))
+    silver = _pending(spark, sf_dir).withColumn("name_embedding", similarity.embed(F.col("name_original")))
     return dedupe.score_pairs(dedupe.candidate_pairs(silver.join(dedupe.spatial_clusters(silver), "id")))
 
 
 @query("pair_decision_all")
 def pair_decision_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair, the distinct ones too, with vectors of the names themselves."""
     return _all_pairs(spark, sf_dir)
 
 
-@query("resolved_edges_all")
+@query("resolved_edges_all", f"WITH RECURSIVE {PAIR_SQL}, x AS (SELECT a_id AS a, b_id AS b FROM d WHERE score >= 0.85 OR (score >= 0.65 AND (a_id + b_id) % 2 = 0 AND (a_id + b_id) % 3 <> 0)), n AS (SELECT a AS id FROM x UNION SELECT b FROM x), y AS (SELECT a, b FROM x UNION SELECT b, a FROM x), z(id, root) AS (SELECT id, id FROM n UNION SELECT y.b, z.root FROM z JOIN y ON y.a = z.id WHERE y.b > z.root) SELECT id AS node, min(root) AS component FROM z GROUP BY id")
 def resolved_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = materialize(_all_pairs(spark, sf_dir), "scored")
-    said = dedupe.resolve(scored, lambda a, b: ((a["id"] + b["id"]) % 2 == 0, 0.9 if (a["id"] + b["id"]) % 3 else 0.3, "parity"))
-    return dedupe.accepted_edges(scored, said)
+    """The components that merge: twins as one, sure pairs by shared values, asked pairs looked up."""
+    members = _members(spark, sf_dir)
+    said = dedupe.resolve(dedupe.pairs_to_ask(members), _parity)
+    return components.connected_components(dedupe.merging_edges(members, materialize(said, "said")))
 
 
 MASTER_SQL = f"""WITH m AS (SELECT *, id % 97 AS component, quality_score AS q, CASE source_code WHEN 'google_places' THEN 10 WHEN 'osm_overpass' THEN 20 WHEN 'gosom_scraper' THEN 30 ELSE 1000 END AS prio, greatest(quality_score, 0.01) AS w FROM {S}),

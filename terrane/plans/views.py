@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 PROVINCE = "lpad(CAST({} % 63 + 1 AS STRING), 2, '0')"
+#: Customers in fives are neighbours: a place.
+SPOT = "CAST(floor(c_custkey / 5) AS BIGINT)"
 LAT = "8 + CAST(({0} * 7919) % 1500 AS DOUBLE) / 100"
 LNG = "102 + CAST(({0} * 104729) % 700 AS DOUBLE) / 100"
 
@@ -32,7 +34,7 @@ PLAN = (
     "orders",
     {
         "id": "o_orderkey",
-        "province_code": PROVINCE.format("o_custkey"),
+        "province_code": "lpad(CAST(o_custkey % 25 + 1 AS STRING), 2, '0')",
         "openooh_code": "concat(lower(split_part(o_orderpriority, '-', 2)), '.s', CAST(o_orderkey % 4 AS STRING))",
         "cell_size_m": "5000",
         "priority": "CAST(o_custkey % 50 AS INT)",
@@ -81,21 +83,22 @@ SILVER = (
         "source_poi_id": "concat('src-', CAST(c_custkey AS STRING))",
         "source_code": "CASE c_custkey % 4 WHEN 0 THEN 'google_places' WHEN 1 THEN 'osm_overpass' WHEN 2 THEN 'gosom_scraper' ELSE 'elsewhere' END",
         "name_original": "CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END",
-        "address_normalized": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat(c_mktsegment, ' ', CAST(c_custkey % 7 AS STRING)) END",
-        "phone_e164": "CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE concat('+8490', lpad(CAST(c_custkey % 50 AS STRING), 7, '0')) END",
+        # Two streets without a letter in common, so their similarity is 0 in any measure.
+        "address_normalized": "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 4 < 3 THEN 'abba' ELSE 'xyxy' END",
+        "phone_e164": f"CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('+8490', lpad(CAST(({SPOT} + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) % 50 AS STRING), 7, '0')) END",
         "website": "CAST(NULL AS STRING)",
-        "website_domain": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE lower(concat(c_mktsegment, '.vn')) END",
+        "website_domain": f"CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('s', CAST(({SPOT} + c_custkey % 8) % 3 AS STRING), '.vn') END",
         "openooh_category": "lower(c_mktsegment)",
         "openooh_subcategory": "CAST(NULL AS STRING)",
-        "brand": "CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_mktsegment END",
+        "brand": f"CASE WHEN c_nationkey % 4 = 0 THEN NULL WHEN c_nationkey % 4 = 1 THEN c_mktsegment ELSE concat('B', CAST({SPOT} % 7 AS STRING)) END",
         "quality_score": "CAST(c_custkey * 13 % 101 AS DOUBLE) / 100",
         "merge_status": "CASE WHEN c_custkey % 9 = 0 THEN 'merged' ELSE 'pending' END",
         "province_code": "lpad(CAST(c_nationkey % 5 + 1 AS STRING), 2, '0')",
         "district_code": "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_nationkey % 3 AS STRING) END",
         "ward_code": "CAST(NULL AS STRING)",
-        # A dense field of points: about 0.0001 degrees apart.
-        "lat": "21 + CAST((c_custkey * 7919) % 1500 AS DOUBLE) / 100000",
-        "lng": "105 + CAST((c_custkey * 104729) % 7000 AS DOUBLE) / 100000",
+        # At any size: places of four or five points, 11 metres from one to the next, and one long chain of points 22 metres apart.
+        "lat": f"CASE WHEN c_custkey % 10 = 3 THEN 20.5 + CAST(floor(c_custkey / 10) AS DOUBLE) / 5000 ELSE 21 + CAST(({SPOT} * 7919) % 1500 AS DOUBLE) / 100 + CAST(c_custkey % 5 AS DOUBLE) / 10000 END",
+        "lng": f"CASE WHEN c_custkey % 10 = 3 THEN 104.5 ELSE 105 + CAST(({SPOT} * 104729) % 7000 AS DOUBLE) / 100 END",
     },
 )
 PROVINCES = (
