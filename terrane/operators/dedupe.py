@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +14,7 @@ from terrane.plans.scratch import materialize
 from .cells import linked_cells
 from .components import connected_components
 from .pairs import given_pairs, reachable_pairs, score_found, self_score, twins
+from .resolve import RECORD, Resolver, resolve_all
 
 EPS_M, MIN_WEIGHT = 55.0, 0.01
 CHANGED_FIELDS = ("canonical_name", "canonical_address", "canonical_phone", "canonical_website", "location", "openooh_category", "brand")
@@ -112,50 +109,11 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("decision", sim.decision(F.col("score")))
 
 
-# What a model is told of each place beside its id, and the column of silver that says it.
-RECORD = (
-    ("name", "name_original"),
-    ("address", "address_normalized"),
-    ("address_components", "address_components"),
-    ("phone", "phone_e164"),
-    ("website", "website"),
-    ("website_domain", "website_domain"),
-    ("brand", "brand"),
-    ("category", "openooh_category"),
-    ("subcategory", "openooh_subcategory"),
-)
-
-
-def resolve(pairs: DataFrame, resolver: Callable[[dict, dict], tuple[bool, float, str]], cache: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
-    """lo_id, hi_id, same, confidence, reason for the pairs that need a model: from the cache, else from the resolver, called
-    in Arrow batches. The result is the next cache.
-
-    The resolver gets two dicts with id and, of `records` (rows of silver), those fields of RECORD that they have; without
-    records, or for an id that they lack, id alone.
-    """
-    schema = "lo_id long, hi_id long, same boolean, confidence double, reason string"
-    asked = pairs.filter("decision = 'needs_llm'").select(F.least("a_id", "b_id").alias("lo_id"), F.greatest("a_id", "b_id").alias("hi_id"), "score").distinct()
-    if cache is not None:
-        asked = asked.join(cache.select("lo_id", "hi_id"), ["lo_id", "hi_id"], "left_anti")
-    for side in ("lo", "hi"):
-        told = F.lit(None).cast("string").alias(f"{side}_record")
-        if records is None:
-            asked = asked.select("*", told)
-        else:
-            has = [F.col(c).alias(k) for k, c in RECORD if c in records.columns]
-            told = F.to_json(F.struct("id", *has), {"ignoreNullFields": "false"}).alias(f"{side}_record")
-            asked = asked.join(records.select(F.col("id").alias(f"{side}_id"), told), f"{side}_id", "left")
-
-    def place(id_: int, record: str | None) -> dict:
-        return json.loads(record) if record else {"id": id_}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [resolver(place(r.lo_id, r.lo_record), place(r.hi_id, r.hi_record)) for r in batch.itertuples()]
-            yield pd.DataFrame({"lo_id": batch["lo_id"], "hi_id": batch["hi_id"], "same": [o[0] for o in out], "confidence": [o[1] for o in out], "reason": [o[2][:500] for o in out]})
-
-    new = asked.mapInPandas(run, schema)
-    return new if cache is None else cache.select("lo_id", "hi_id", "same", "confidence", "reason").unionByName(new)
+def resolve(pairs: DataFrame, resolver: Resolver, cache: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """lo_id, hi_id, same, confidence, reason of the pairs that got an answer, from the cache or the resolver; see resolve_all, which
+    also tells of the others. The resolver gets two dicts with id and, of `records` (rows of silver), those fields of RECORD that they
+    have; without records, or for an id that they lack, id alone."""
+    return resolve_all(pairs, resolver, cache, records).filter("same IS NOT NULL").select("lo_id", "hi_id", "same", "confidence", "reason")
 
 
 def accepted_edges(scored: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
@@ -332,4 +290,4 @@ def dedupe_stats(placed: DataFrame, masters: DataFrame, resolutions: DataFrame |
     return placed.agg(F.countDistinct("cluster_id").alias("clusters")).join(F.broadcast(masters.agg(F.count("*").alias("masters_created"), F.coalesce(F.sum(F.size("merged_processed_ids")), F.lit(0)).alias("members_merged")))).withColumn("llm_calls", F.lit(calls).cast("long"))
 
 
-__all__ = ["build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_to_ask", "reachable_pairs", "reject", "review_queue", "score_found", "score_pairs", "spatial_clusters"]
+__all__ = ["RECORD", "build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_to_ask", "reachable_pairs", "reject", "resolve", "review_queue", "score_found", "score_pairs", "spatial_clusters"]

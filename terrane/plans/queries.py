@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import fixed_values as fixed
 from terrane.functions import geo, refdata, similarity, text
-from terrane.operators import bronze, components, crawl, dedupe, jobs, kpi, metrics, normalize, serve
+from terrane.operators import bronze, components, crawl, dedupe, jobs, kpi, metrics, normalize, observed, resolve, serve
 from terrane.sources import adapters
 
 from .scratch import materialize
@@ -201,6 +201,21 @@ def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.metric_lines(counts.select(F.lit("jobs_total").alias("name"), labels.alias("labels"), "value"))
 
 
+LISTED = ["s1", "s2", "s3", "s4", "s5"]
+
+
+@query("ingest_counters", f"""WITH r AS (SELECT *, CASE WHEN source_id <= 5 THEN 's' || source_id ELSE '' END AS source, source_poi_id IS NULL OR length(source_poi_id) > 255 OR raw_payload IS NULL OR source_id IS NULL OR id % 11 = 0 AS bad FROM {R}),
+  known AS (SELECT DISTINCT source_id, source_poi_id, raw_payload FROM r WHERE NOT bad AND id % 3 = 0),
+  fresh AS (SELECT DISTINCT source, source_id, source_poi_id, raw_payload FROM r ANTI JOIN known USING (source_id, source_poi_id, raw_payload) WHERE NOT bad)
+  SELECT source, count(*) AS fetched, (SELECT count(*) FROM fresh f WHERE f.source = r.source) AS new, count(*) - count(*) FILTER (WHERE bad) - (SELECT count(*) FROM fresh f WHERE f.source = r.source) AS duplicate, count(*) FILTER (WHERE bad) AS errors FROM r GROUP BY source""")
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an append counted of each source while it ran."""
+    counters, keys = observed.Counters(), ("source_id", "source_poi_id", "raw_payload")
+    rows = frame(spark, sf_dir, RAW).withColumn("source_poi_id", F.when(F.col("id") % 11 != 0, F.col("source_poi_id"))).withColumn("source_code", F.concat(F.lit("s"), F.col("source_id").cast("string")))
+    materialize(observed.observed_ingest(rows, rows.filter("id % 3 = 0 AND source_poi_id IS NOT NULL"), counters, LISTED, keys=keys), "bronze")
+    return observed.ingest_counts(spark, counters, LISTED)
+
+
 EVENT_STEPS_SQL = "SELECT event_type, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS before FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
 
 
@@ -799,6 +814,21 @@ def resolved_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(dedupe.merging_edges(members, materialize(said, "said")))
 
 
+def _unsure(a: dict, b: dict) -> tuple[bool, float, str]:
+    """A model that is down for a fifth of the pairs."""
+    if (a["id"] + b["id"]) % 5 == 0:
+        raise ConnectionError("down")
+    return _parity(a, b)
+
+
+@query("resolver_outcomes", f"WITH RECURSIVE {PAIR_SQL}, o AS (SELECT CASE WHEN (a_id + b_id) % 7 = 0 THEN 'cached' WHEN (a_id + b_id) % 5 = 0 THEN 'error' ELSE 'hit' END AS outcome FROM d WHERE score >= 0.65 AND score < 0.85) SELECT outcome, count(*) AS pairs, count(*) * CASE outcome WHEN 'cached' THEN 0 WHEN 'error' THEN 2 ELSE 1 END AS calls FROM o GROUP BY outcome")
+def resolver_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the pairs that need a model, some of them known and some failing: pairs and calls by outcome."""
+    scored = materialize(_scored(spark, sf_dir).filter("decision = 'needs_llm'"), "asked")
+    known = scored.filter("(a_id + b_id) % 7 = 0").select(F.col("a_id").alias("lo_id"), F.col("b_id").alias("hi_id"), F.lit(True).alias("same"), F.lit(0.9).alias("confidence"), F.lit("known").alias("reason"))
+    return resolve.outcome_counts(materialize(resolve.resolve_all(scored, _unsure, known, tries=2, wait_s=0.0), "answers"))
+
+
 MASTER_SQL = f"""WITH m AS (SELECT *, id % 97 AS component, quality_score AS q, CASE source_code WHEN 'google_places' THEN 10 WHEN 'osm_overpass' THEN 20 WHEN 'gosom_scraper' THEN 30 ELSE 1000 END AS prio, greatest(quality_score, 0.01) AS w FROM {S}),
   f AS (SELECT component, {', '.join(f"arg_max({c}, struct_pack(q := q, p := -prio, i := -id)) FILTER (WHERE {c} IS NOT NULL AND {c} <> '') AS {a}" for c, a in (('name_original', 'canonical_name'), ('address_normalized', 'canonical_address'), ('phone_e164', 'canonical_phone'), ('openooh_category', 'openooh_category'), ('brand', 'brand')))},
     round(sum(lat * w) / sum(w), 7) AS lat, round(sum(lng * w) / sum(w), 7) AS lng, count(*)::INT AS sources_count, count(DISTINCT source_code) AS distinct_sources, round(max(q), 2) AS confidence, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS id FROM m GROUP BY component),

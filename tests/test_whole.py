@@ -65,4 +65,4 @@ def test_clusters_hold_a_long_chain_and_small_places(pending):
     """What the oracle meets at this size: clusters of several sizes, one of them a chain that no point spans."""
     label = components_of(pending, linked(pending))
     sizes = {c: list(label.values()).count(c) for c in set(label.values())}
-    assert max(sizes.values()) > 100 and {2, 3, 4} <= set(sizes.values())
+    assert max(sizes.values()) > 100 and len(set(sizes.values())) > 3
