@@ -9,8 +9,9 @@ no broadcast may hold. So its shards are routed, not broadcast: the smallest of
 depends on the window alone, so equal windows share an anchor. A run of windows with one anchor is a piece. Anchors that
 occur once have no repeats; pieces of the other anchors are dealt to shards by anchor, each different piece is once streamed
 through its shard's automaton of all earlier pieces, and then added to it. An anchor with many different pieces is spread
-further: its windows are dealt one by one, by a hash of the window, and stream through the automata of their shards all the
-same. The verdict on a piece holds for all its copies: a copy that isn't the first is repeated as a whole.
+further: its windows are dealt one by one, by a hash of the window. Of equal ones only the first remains, chosen by partial minima
+before anything is grouped, so a phrase of all documents is one row; what remains streams through the automata of its shards
+all the same. The verdict on a piece holds for all its copies: a copy that isn't the first is repeated as a whole.
 
 Places are known by doc_id, start and a hash of the piece, so rows that share a doc_id don't take each other's verdicts. What
 is listed for a document (its repeated anchors, its pieces) is bounded by the words of its text.
@@ -224,16 +225,16 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i, key, start, count, piece, spread, place in zip(*(x[there].tolist() for x in (of, anchor, starts, counts, pieces, hot, at)), strict=True):
                 if not spread:
-                    rows.append((key, ids[a + i], start, count, piece, 0, raw[8 * place : 8 * (place + count + WINDOW - 1)]))
+                    rows.append((key, ids[a + i], start, count, piece, 0, raw[8 * place : 8 * (place + count + WINDOW - 1)], False))
                     continue
                 for k in range(count):
                     window = raw[8 * (place + k) : 8 * (place + k + WINDOW)]
-                    rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), ids[a + i], start, count, piece, k, window))
+                    rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), ids[a + i], start, count, piece, k, window, True))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_CONTENTS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTENTS.types, strict=True)], schema=_CONTENTS)
 
 
-_CONTENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("piece", pa.int64()), ("shift", pa.int32()), ("words", pa.binary())])
+_CONTENTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("piece", pa.int64()), ("shift", pa.int32()), ("words", pa.binary()), ("single", pa.bool_())])
 
 
 def _shard(pieces: pa.Table) -> pa.Table:
@@ -276,6 +277,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(texts)), pa.array(np.diff(begin), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _first_windows(windows: DataFrame) -> DataFrame:
+    """Of equal windows, told by all their words, the first in the order of the corpus."""
+    first = windows.groupBy("key", "words").agg(F.min(F.struct("doc_id", "start", "shift", "windows", "piece")).alias("first"))
+    return first.select("key", "first.doc_id", "first.start", "first.windows", "first.piece", "first.shift", "words")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Remove every word covered by a window that starts earlier too (smaller doc_id, or same document, earlier start).
 
@@ -300,7 +307,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranked = materialize(different.join(kinds, "anchor"), "ranked")
     whole = ranked.filter("kinds = 1").select("doc_id", "start", "windows", "piece", F.lit(-1).cast("long").alias("own"))
     wanted = ranked.filter("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "piece", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
-    contents = materialize(some.select("doc_id", "z").join(wanted, "doc_id").mapInArrow(_contents, "key long, doc_id long, start long, windows int, piece long, shift int, words binary"), "contents")
+    contents = materialize(some.select("doc_id", "z").join(wanted, "doc_id").mapInArrow(_contents, "key long, doc_id long, start long, windows int, piece long, shift int, words binary, single boolean"), "contents")
+    contents = materialize(contents.filter("NOT single").drop("single").unionByName(_first_windows(contents.filter("single"))), "shards")
     shards = max(1, -(-contents.count() // SHARD_PIECES))
     judged_pieces = contents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t), "doc_id long, start long, windows int, piece long, own long")
     owned = whole.unionByName(judged_pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "piece", "own")).alias("owned"))

@@ -164,6 +164,21 @@ def test_substring_dedup_of_hot_anchors(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == Counter(want[x] for x in rows)
 
 
+def test_a_phrase_of_all_documents_is_one_row(spark, monkeypatch):
+    """6,000 documents hold one phrase of a window's length, between different neighbours: no group grows with them."""
+    from terrane.llm import substring_dedup
+
+    kept, real = {}, substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: kept.setdefault(name, real(df, name)))
+    phrase = words(41, 20)
+    rows = [(k, f"a{k} b{k} c{k} {phrase} d{k} e{k} f{k}") for k in range(6000)]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 20 if k else 0 for k in range(6000)}
+    dealt = kept["shards"].groupBy("key").count().agg(F.max("count"), F.sum("count")).first()
+    window = np.frombuffer(b"".join(r.words for r in kept["shards"].select("words").collect()), dtype=np.uint64).reshape(-1, 20)
+    assert dealt[0] == 1 and len(np.unique(window, axis=0)) == len(window) == kept["shards"].count()
+
+
 def test_suffix_automaton():
     random = np.random.default_rng(3)
     passages = [random.integers(0, 3, 40).tolist() for _ in range(6)]
