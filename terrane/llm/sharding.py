@@ -1,10 +1,11 @@
 """Sharding by sampled splitters, in DataFrame operations only.
 
 Records are ordered by (hash of the text, doc_id). Keys drawn with a probability in proportion to their size give
-quantile boundaries, which cut the order into many ranges of about equal bytes; ranges that turn out overfull (a group of
-equal texts has one key) are subdivided by a hash of doc_id and of the row's number, so that one row repeated many times is
-spread too. Sums of the ranges then place each record exactly on the scale of
-all bytes, and the shard is the part of that scale on which the record's middle lies.
+quantile boundaries, which cut the order into ranges of about equal bytes. Ranges are bounded in number, so what the driver
+gathers is; in a large table each is cut evenly into steps of its keys, which are hashes. Steps that turn out overfull (a group
+of equal texts has one key) are subdivided by a hash of doc_id and of the row's number, so that one row repeated many times is
+spread too. Sums of the resulting cells, a table that grows with the rows, then place each record exactly on the scale of all
+bytes, and the shard is the part of that scale on which the record's middle lies.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows aimed at in a range, ranges at least, and sampled keys for each range: the driver gathers SAMPLES keys and two sums
-#: for about every RANGE_ROWS rows, and a task sorts about as many rows as a range has, however large the table is.
-RANGE_ROWS, LEAST_RANGES, SAMPLES = 32768, 64, 6
+#: Rows aimed at in a step, ranges at least and at most, and sampled keys for each range: the driver gathers no more than
+#: SAMPLES keys (on average) and two sums for each range, and a task sorts about as many rows as a step has.
+STEP_ROWS, LEAST_RANGES, MOST_RANGES, SAMPLES = 32768, 64, 4096, 6
 
 
 def _longs(values) -> Column:
@@ -59,7 +60,16 @@ def splitters_of(sample: list[tuple[int, float]], ranges: int) -> list[int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _step_of(key: Column, bounds: list[int], range_: Column, steps: int) -> Column:
+    """Which of the even steps between the bounds of its range a key is in: never less for a greater key."""
+    if steps == 1:
+        return F.lit(0)
+    edges = _longs([-(2**63), *bounds, 2**63 - 1])
+    low, high = F.get(edges, range_).cast("double"), F.get(edges, range_ + 1).cast("double")
+    return F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.floor((key.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * steps))).cast("int")
+
+
+def shard(docs: DataFrame, shards: int = 16, step_rows: int = STEP_ROWS, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Deal all rows into `shards` shards of near-equal bytes.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1; null text: 1), text_crc32, law ('bytes'), shard, slot (gapless
@@ -74,25 +84,29 @@ def shard(docs: DataFrame, shards: int = 16, range_rows: int = RANGE_ROWS) -> Da
         "sized",
     )
     rows, total = base.agg(F.count("*"), F.sum("size")).first()
-    total, ranges = total or 1, max(LEAST_RANGES, -(-rows // range_rows))
+    total = total or 1
+    ranges = min(most_ranges, max(LEAST_RANGES, -(-rows // step_rows)))
+    steps = max(1, -(-rows // (step_rows * ranges)))
     drawn = F.least(F.lit(1.0), F.col("size") * (ranges * SAMPLES / total))
     unit = F.pmod(F.xxhash64("k", "tie", "row", F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = [(r.k, r.w) for r in base.withColumn("p", drawn).filter(unit < F.col("p")).select("k", (F.col("size") / F.col("p")).alias("w")).collect()]
     splitters = splitters_of(sample, ranges)
-    ranged = base.withColumn("range", _range_of(F.col("k"), splitters).cast("int"))
-    count = len(splitters) + 1
-    by_range = dict(ranged.groupBy("range").agg(F.sum("size")).collect())
-    fair = total / ranges
-    parts = [max(1, -(-int(by_range.get(i, 0)) // max(1, int(fair)))) if by_range.get(i, 0) > 2 * fair else 1 for i in range(count)]
-    first = [0, *accumulate(parts)]
-    celled = ranged.withColumn("cell", (F.get(_longs(first[:-1]), F.col("range")) + F.pmod(F.xxhash64("tie", "row"), F.get(_longs(parts), F.col("range")))).cast("int"))
-    sums = {r.cell: (r.n, r.b) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
-    rows_before = [0, *accumulate(sums.get(i, (0, 0))[0] for i in range(first[-1]))][:-1]
-    bytes_before = [0, *accumulate(sums.get(i, (0, 0))[1] for i in range(first[-1]))][:-1]
-    inside = Window.partitionBy("cell").orderBy("k", "tie", "doc_id", "row")
+    ranged = base.withColumn("range", _range_of(F.col("k"), splitters).cast("int")).withColumn("step", _step_of(F.col("k"), splitters, F.col("range"), steps))
+    fair = max(1, total // (ranges * steps))
+    overfull = ranged.groupBy("range", "step").agg(F.sum("size").alias("b")).filter(F.col("b") > 2 * fair).select("range", "step", F.ceil(F.col("b") / fair).cast("int").alias("parts"))
+    celled = ranged.join(materialize(overfull, "overfull"), ["range", "step"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("tie", "row"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    # Rows and bytes before each cell: of its range by a running sum over the range's cells, of the ranges before it by a bounded array.
+    cells = materialize(celled.groupBy("range", "step", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b")), "cells")
+    sums = {r["range"]: (r["n"], r["b"]) for r in cells.groupBy("range").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()}
+    before = [[0, *accumulate(sums.get(i, (0, 0))[k] for i in range(len(splitters)))] for k in (0, 1)]
+    so_far = Window.partitionBy("range").orderBy("step", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = [(F.get(_longs(before[k]), F.col("range")) + F.coalesce(F.sum(c).over(so_far), F.lit(0))).alias(f"{c}_before") for k, c in enumerate(("n", "b"))]
+    cells = materialize(cells.select("range", "step", "part", *offsets), "offsets")
+    inside = Window.partitionBy("range", "step", "part").orderBy("k", "tie", "doc_id", "row")
     placed = materialize(
-        celled.withColumn("rank", F.get(_longs(rows_before), F.col("cell")) + F.row_number().over(inside) - 1)
-        .withColumn("end", F.get(_longs(bytes_before), F.col("cell")) + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        celled.join(cells, ["range", "step", "part"])
+        .withColumn("rank", F.col("n_before") + F.row_number().over(inside) - 1)
+        .withColumn("end", F.col("b_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor((F.col("end") * 2 - F.col("size")) * shards / F.lit(2 * total))).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "rank"),
         "placed",

@@ -100,11 +100,12 @@ def test_remove_repeats_by_rows(docs):
     assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == want
 
 
-def test_every_shard_and_slot(docs, spark):
-    """In the order of shards and slots, a record's middle on the scale of all bytes names its shard."""
+@pytest.mark.parametrize("most_ranges", [4096, 3])
+def test_every_shard_and_slot(docs, spark, most_ranges):
+    """In the order of shards and slots, a record's middle on the scale of all bytes names its shard; with ranges cut in steps too."""
     for table in (docs, docs.unionByName(spark.range(3000).selectExpr("7L AS doc_id", "'the same' AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars"))):
         given = [(r.doc_id, r.text) for r in table.collect()]
-        out = shard(table, 4, range_rows=100).orderBy("shard", "slot").collect()
+        out = shard(table, 4, step_rows=100, most_ranges=most_ranges).orderBy("shard", "slot").collect()
         assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in given)
         total, end, slots = sum(r.size for r in out), 0, Counter()
         for r in out:
