@@ -1,8 +1,9 @@
 """Nearest neighbours by cells and randomly rotated one-bit codes.
 
 Vectors fall into cells around centroids, which are fitted on a bounded sample; every vector is indexed, in the cell of its
-nearest centroid. A query meets the cells whose centroids are nearest to it, as many as the same sample needs for its own
-neighbours. There each vector is known by a code: the unit vector, padded with zeros and rotated by one random orthogonal
+nearest centroid. A cell that holds too many is split again, by centroids fitted on a bounded sample of its own, so cells keep
+their size however large the table is. A query meets the cells whose centroids are nearest to it, as many as the same samples
+need for their own neighbours. There each vector is known by a code: the unit vector, padded with zeros and rotated by one random orthogonal
 matrix, kept as the signs of its components packed in bits, and one scalar, the inner product of the vector and its own code.
 Inner products with a query are estimated from counted bits: the rotated query is rounded to a few bits a component, and each
 of its bit planes meets the code by a bitwise and. Only vectors whose upper error bound reaches the best lower bounds are
@@ -26,6 +27,8 @@ from .common import materialize
 BITS, PLANES, EPSILON = 512, 4, 2.5
 #: Rows aimed at in a cell; vectors and bytes of the sample that cells are fitted on; sampled vectors for each cell; rounds.
 CELL_ROWS, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_PER_CELL, ROUNDS = 4096, 16384, 64 << 20, 16, 8
+#: Times that cells may be split again, and the most parts of one.
+SPLITS, PARTS = 4, 1024
 #: Share of the sample's neighbours that the probed cells must hold, and sampled queries that this is measured with.
 FOUND, TRIALS = 0.97, 512
 #: Rows and queries of a tile.
@@ -180,6 +183,66 @@ def _probing(cells: dict[int, Cells]):
     return run
 
 
+def _fit_part(k: int, cell_rows: int):
+    """Centroids of the parts of one overfull cell, from its sample."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        scaled, norm = _units(sample["v"])
+        count = min(PARTS, -(-sample["held"][0].as_py() // cell_rows), len(sample) // SAMPLE_PER_CELL)
+        parts = fit_cells(scaled / np.sqrt(norm)[:, None], count, k)
+        return pa.table({"dim": sample["dim"].slice(0, 1), "cell": sample["cell"].slice(0, 1), "centroids": pa.array([parts.centroids.astype("<f8").tobytes()], pa.binary()), "probes": pa.array([parts.probes], pa.int32())})
+
+    return run
+
+
+def _nearest_parts(units: np.ndarray, part: pa.Table, count: int) -> np.ndarray:
+    return Cells(np.frombuffer(part["centroids"][0].as_py(), dtype="<f8").reshape(-1, units.shape[1]), 1).nearest(units, count)
+
+
+def _into_parts(rows: pa.Table, part: pa.Table) -> pa.Table:
+    """Vectors of a cell, each in its nearest part."""
+    if not rows.num_rows:
+        return rows.select(["vec_id", "v", "dim", "cell", "code", "scalar"])
+    scaled, norm = _units(rows["v"])
+    near = _nearest_parts(scaled / np.sqrt(norm)[:, None], part, 1)[:, 0]
+    cell = (rows["cell"].to_numpy() + 1) * 2 * PARTS + near  # beyond all ids of the round before
+    return pa.table({c: pa.array(cell) if c == "cell" else rows[c] for c in ("vec_id", "v", "dim", "cell", "code", "scalar")})
+
+
+def _probing_parts(queries: pa.Table, part: pa.Table) -> pa.Table:
+    """Queries that probe a cell, with the parts of it that they probe."""
+    if not queries.num_rows:
+        return queries.select(["vec_id", "v", "dim", "cell"])
+    scaled, norm = _units(queries["v"])
+    near = _nearest_parts(scaled / np.sqrt(norm)[:, None], part, part["probes"][0].as_py())
+    out = queries.take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))
+    cell = (out["cell"].to_numpy() + 1) * 2 * PARTS + near.ravel()
+    return pa.table({c: pa.array(cell) if c == "cell" else out[c] for c in ("vec_id", "v", "dim", "cell")})
+
+
+def _split(index: DataFrame, probing: DataFrame, k: int, cell_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """index and probing with overfull cells cut into parts; None where no cell is overfull."""
+    big = materialize(index.groupBy("dim", "cell").agg(F.count("*").alias("held")).filter(F.col("held") > 2 * cell_rows), "overfull")
+    if big.isEmpty():
+        return None
+    most = F.least(F.lit(SAMPLE_ROWS), F.greatest(F.lit(256), F.floor(F.lit(SAMPLE_BYTES) / (8 * F.col("dim")))), F.greatest(F.lit(256), F.ceil(F.col("held") / cell_rows) * SAMPLE_PER_CELL))
+    share = F.pmod(F.xxhash64("vec_id", "cell", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = index.join(big, ["dim", "cell"]).filter(share < most / F.col("held")).select("dim", "cell", "held", "v")
+    parts = materialize(sample.groupBy("dim", "cell").applyInArrow(_fit_part(k, cell_rows), "dim long, cell long, centroids binary, probes int"), "parts")
+
+    def dealt(df: DataFrame, tile_rows: int):
+        """Rows of overfull cells in tiles, and the parts of its cell for each tile."""
+        tiles = materialize(df.join(parts.select("dim", "cell"), ["dim", "cell"]).groupBy("dim", "cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")), "tiles")
+        rows = df.join(tiles, ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")).drop("tiles")
+        each = parts.join(tiles, ["dim", "cell"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+        return rows.groupBy("dim", "cell", "tile").cogroup(each.groupBy("dim", "cell", "tile"))
+
+    rest = lambda df: df.join(parts.select("dim", "cell"), ["dim", "cell"], "left_anti")
+    rows = dealt(index, TILE_ROWS).applyInArrow(lambda a, b: _into_parts(a, b), index.schema)
+    asks = dealt(probing, TILE_QUERIES).applyInArrow(lambda a, b: _probing_parts(a, b), probing.schema)
+    return materialize(rest(index).select(*index.columns).unionByName(rows), "index"), materialize(rest(probing).select(*probing.columns).unionByName(asks), "probing")
+
+
 # --------------------------------------------------------------------------- tiles
 
 _SCORES = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -220,7 +283,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, epsilon: float =
     vectors are compared once: of a group only the k+1 smallest ids can be among the nearest. An empty table gives an
     empty result; other columns are not looked at.
 
-    Every vector is indexed. Cells are fitted on at most SAMPLE_ROWS vectors; up to `cell_rows` vectors are one cell, where
+    Every vector is indexed. Cells, and the parts of overfull ones, are fitted on at most SAMPLE_ROWS vectors each; up to `cell_rows` vectors are one cell, where
     the search misses only what the error bound misses.
     """
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -234,7 +297,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, epsilon: float =
     index = materialize(rows.mapInArrow(_coded(cells), "vec_id long, v array<double>, dim long, cell long, code binary, scalar double"), "index")
     probing = firsts.mapInArrow(_probing(cells), "vec_id long, v array<double>, dim long, cells array<long>")
     probing = materialize(probing.select("vec_id", "v", "dim", F.explode("cells").alias("cell")), "probing")
-    # How many tiles of rows and of queries a cell has: a table of a bounded number of cells.
+    for _ in range(SPLITS):
+        again = _split(index, probing, k, cell_rows)
+        if again is None:
+            break
+        index, probing = again
+    # How many tiles of rows and of queries a cell has.
     tiles = lambda df, rows, name: df.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
     sizes = materialize(tiles(index, TILE_ROWS, "row_tiles").join(tiles(probing, TILE_QUERIES, "query_tiles"), ["dim", "cell"]), "sizes")
     dealt = lambda df, own, n, other, m: df.join(sizes, ["dim", "cell"]).withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))

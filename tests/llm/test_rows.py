@@ -164,6 +164,39 @@ def test_recall_of_cells(spark, spread):
     assert (np.abs(guess - units @ units[0])[1:] <= 4 * deviation[1:]).mean() > 0.99
 
 
+def test_cells_grow_with_the_table(spark, monkeypatch):
+    """A sample that is good for 16 cells of 40,000 vectors: overfull ones are split until over 1,024 cells hold a few rows each, and
+    what a query meets stays bounded, with the recall kept."""
+    from terrane.llm import vector_search as vs
+
+    monkeypatch.setattr(vs, "SAMPLE_ROWS", 256)
+    monkeypatch.setattr(vs, "SAMPLE_PER_CELL", 16)
+    made, real = {}, vs.materialize
+    monkeypatch.setattr(vs, "materialize", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    random, n, rows = np.random.default_rng(9), 40_000, 16
+    points = np.repeat(random.normal(size=(800, 24)), 50, axis=0) + 0.15 * random.normal(size=(n, 24))
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    asked = table.filter("vec_id % 200 = 0")
+    got = defaultdict(set)
+    for r in vs.search(table, asked, cell_rows=rows).collect():
+        got[r.query_id].add(r.vec_id)
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 200):
+        score = units @ units[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 200
+    assert len(made["index"]) > 2
+    sizes = {r.cell: r["count"] for r in made["index"][-1].groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == n and made["index"][-1].select("vec_id").distinct().count() == n
+    assert len(sizes) > 1024 and max(sizes.values()) < 60 * rows
+    met = defaultdict(int)
+    for r in made["probing"][-1].collect():
+        met[r.vec_id] += sizes.get(r.cell, 0)
+    assert len(met) == 200 and np.mean(list(met.values())) < 0.1 * n
+
+
 def test_quality_equals_a_fit_in_one_process(spark):
     """The same map, normal equations and curve from whole arrays give the same scores."""
     from terrane.llm import quality as q
