@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from .common import _POWERS, mix64
 
 SPACE = "▁"
 #: Words kept from one batch to the next, and bytes of them and their ids; starts in a block of merges; words of a length taken
-#: at a time.
-CACHED_WORDS, CACHED_BYTES, BLOCK, STEP = 150_000, 32 << 20, 64, 8192
+#: at a time; characters from which a word's merges are queued, each merge at the cost of a heap's depth.
+CACHED_WORDS, CACHED_BYTES, BLOCK, STEP, LONG_WORD = 150_000, 32 << 20, 64, 8192, 2048
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -87,6 +89,8 @@ class Codec:
         self.shown = np.frombuffer(b"".join(shown), dtype=np.uint8)
         self.shown_size = np.array([len(s) for s in shown])
         self.shown_at = np.concatenate(([0], np.cumsum(self.shown_size)))
+        places = {score: i for i, score in enumerate(sorted({self.scores[i] for i in plain}, reverse=True))}
+        self.place = {names[i]: places[self.scores[i]] for i in plain}
         self.cached, self.words, self.before, self.held = cached, {}, {}, 0
 
     @staticmethod
@@ -184,6 +188,36 @@ class Codec:
             put(rows[has], left[has], pair(rows[has], left[has]))
         return ends
 
+    def merge_long(self, word: str) -> list[str]:
+        """The pieces of one long word: the same merges, by a queue of (place of the score, start). An entry whose pair has changed
+        since is passed over."""
+        n, place, longest, low = len(word), self.place.get, self.longest, (1 << 40) - 1
+        after, before, open_ = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\x01") * n
+        todo = [p << 40 | i for i in range(n - 1) if (p := place(word[i : i + 2])) is not None]
+        heapify(todo)
+        while todo:
+            key = heappop(todo)
+            i = key & low
+            middle = after[i]
+            if not open_[i] or middle >= n:
+                continue
+            stop = after[middle]
+            if stop - i > longest or place(word[i:stop]) != key >> 40:
+                continue
+            open_[middle], after[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                if after[stop] - i <= longest and (p := place(word[i : after[stop]])) is not None:
+                    heappush(todo, p << 40 | i)
+            left = before[i]
+            if left >= 0 and stop - left <= longest and (p := place(word[left:stop])) is not None:
+                heappush(todo, p << 40 | left)
+        out, i = [], 0
+        while i < n:
+            out.append(word[i : after[i]])
+            i = after[i]
+        return out
+
     def _piece_ids(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
         if known is not None:
@@ -193,7 +227,10 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            if self.merges and len(w) >= LONG_WORD:
+                self.words[w] = array("I", [x for piece in self.merge_long(w) for x in self._piece_ids(piece)]).tobytes()
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, all_ in by_length.items():
             step = max(1, STEP * 8 // length)
             for i in range(0, len(all_), step):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 from terrane.llm import lexical_search
 from terrane.llm.fill_in_middle import count_units, cut_places, restore, transform, transform_digest
 from terrane.llm.lexical_search import Index, rank
+from terrane.llm.sentencepiece_codec import Codec
 from terrane.llm.token_counts import TokenCounter, count_tokens
 
 SCHEMA = "doc_id long, text string, lang string, n long, n_tokens long, h1 long, cut string, form string, output string, terms string, counts long, item long, rank int, score long"
@@ -73,6 +75,19 @@ def test_counts_of_random_texts(path):
     assert TokenCounter(path, chunk=16).counts(pa.array(some)).tolist() == by_library(path, some)
 
 
+def test_long_words_merge_in_seconds():
+    """Words of up to a million characters: ids of the library, in time that grows about as the word."""
+    codec, library = Codec(open(MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    random = np.random.default_rng(4)
+    letters = lambda n, of: "".join(random.choice(list(of), n))
+    for word in (letters(3000, "ab"), "a" * 5000, letters(20_000, "etaoinshrdlu"), letters(5000, "aé漢😀▁"), "=" * 4099, letters(3000, "0123456789abcdef")):
+        assert np.frombuffer(codec.encode([word])[0], dtype="<u4").tolist() == library.encode(word)
+    began = time.monotonic()
+    whole = letters(1_000_000, "etaoinshrdlu")
+    ids = codec.encode([whole])
+    assert time.monotonic() - began < 60 and codec.decode(ids) == [whole.encode()]
+
+
 def test_count_tokens(docs, none):
     want = Counter((i, len((t or "").encode()), n) for (i, t), n in zip(TEXTS, by_library(JSON, [t or "" for _, t in TEXTS]), strict=True))
     got = count_tokens(docs, JSON, 1024).collect()
