@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from terrane.functions import fixed_values as fixed
 from terrane.functions import geo, refdata, similarity, text
-from terrane.operators import bronze, components, crawl, dedupe, jobs, kpi, metrics, normalize, observed, resolve, serve
-from terrane.sources import adapters
+from terrane.operators import bronze, components, crawl, dedupe, hierarchy, jobs, kpi, metrics, normalize, observed, resolve, serve
+from terrane.sources import adapters, layout, tables
 
-from .scratch import materialize
+from .scratch import checkpoint_dir, materialize
 from .views import JOBS, MASTERS, PLAN, PROVINCES, RAW, SILVER, SOURCES, frame, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,6 +830,41 @@ def resolver_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.outcome_counts(materialize(resolve.resolve_all(scored, _unsure, known, tries=2, wait_s=0.0), "answers"))
 
 
+UNITS_SQL = """u AS (SELECT 'r' || r_regionkey AS code, NULL AS parent_code FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || (n_regionkey + CASE WHEN n_nationkey % 11 = 10 THEN 100 ELSE 0 END) FROM nation
+  UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 10 = 1 THEN 's' || (s_suppkey + 1) WHEN s_suppkey % 10 = 2 THEN 's' || (s_suppkey - 1) WHEN s_suppkey % 10 > 5 THEN 's' || (s_suppkey - 1) ELSE 'n' || s_nationkey END FROM supplier)"""
+
+
+@query("unit_hierarchy", f"""WITH RECURSIVE {UNITS_SQL}, down(code, root, depth, problem) AS (SELECT code, code, 0, NULL::VARCHAR FROM u WHERE parent_code IS NULL
+  UNION ALL SELECT code, NULL, NULL, 'orphan' FROM u WHERE parent_code IS NOT NULL AND parent_code NOT IN (SELECT code FROM u)
+  UNION ALL SELECT u.code, root, depth + 1, problem FROM down JOIN u ON u.parent_code = down.code)
+  SELECT code, root, depth, problem FROM down UNION ALL SELECT code, NULL, NULL, 'cycle' FROM u WHERE code NOT IN (SELECT code FROM down)""")
+def unit_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root and depth of every unit of a tree of four and more levels, some of which hang in the air or go in a circle."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    units = read("region").selectExpr("concat('r', r_regionkey) AS code", "CAST(NULL AS STRING) AS parent_code")
+    units = units.unionByName(read("nation").selectExpr("concat('n', n_nationkey) AS code", "concat('r', n_regionkey + CASE WHEN n_nationkey % 11 = 10 THEN 100 ELSE 0 END) AS parent_code"))
+    units = units.unionByName(read("supplier").selectExpr("concat('s', s_suppkey) AS code", "CASE WHEN s_suppkey % 10 = 1 THEN concat('s', s_suppkey + 1) WHEN s_suppkey % 10 = 2 THEN concat('s', s_suppkey - 1) WHEN s_suppkey % 10 > 5 THEN concat('s', s_suppkey - 1) ELSE concat('n', s_nationkey) END AS parent_code"))
+    return hierarchy.resolve_parents(units)
+
+
+@query("box_of_layout", f"SELECT id, lat, lng FROM {M} WHERE lng > 104 AND lng < 105.5 AND lat > 12 AND lat < 15")
+def box_of_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of masters that lie in Z-order: the files and row groups that may hold some of it."""
+    path = f"{checkpoint_dir(spark)}/layout-{uuid.uuid4().hex}"
+    layout.write_layout(frame(spark, sf_dir, MASTERS).select("id", "lat", "lng"), path, 32)
+    return layout.read_box(spark, path, 104.0, 12.0, 105.5, 15.0)
+
+
+@query("archive_by_month", f"SELECT strftime(fetched_at, '%Y-%m') AS month, count(*) AS n, min(id) AS first_id FROM {R} WHERE fetched_at < {NOW} GROUP BY 1")
+def archive_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archive holds of each month after two runs, the second over rows that are partly there."""
+    path, raw = f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}", frame(spark, sf_dir, RAW)
+    tables.archive_months(raw.filter("id % 3 <> 1"), path, _now(spark), days=0)
+    tables.archive_months(raw, path, _now(spark), days=0)
+    return spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 MASTER_SQL = f"""WITH m AS (SELECT *, id % 97 AS component, quality_score AS q, CASE source_code WHEN 'google_places' THEN 10 WHEN 'osm_overpass' THEN 20 WHEN 'gosom_scraper' THEN 30 ELSE 1000 END AS prio, greatest(quality_score, 0.01) AS w FROM {S}),
   f AS (SELECT component, {', '.join(f"arg_max({c}, struct_pack(q := q, p := -prio, i := -id)) FILTER (WHERE {c} IS NOT NULL AND {c} <> '') AS {a}" for c, a in (('name_original', 'canonical_name'), ('address_normalized', 'canonical_address'), ('phone_e164', 'canonical_phone'), ('openooh_category', 'openooh_category'), ('brand', 'brand')))},
     round(sum(lat * w) / sum(w), 7) AS lat, round(sum(lng * w) / sum(w), 7) AS lng, count(*)::INT AS sources_count, count(DISTINCT source_code) AS distinct_sources, round(max(q), 2) AS confidence, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS id FROM m GROUP BY component),

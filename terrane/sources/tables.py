@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.operators.bronze import archive_split
+from terrane.plans.scratch import materialize
+
+#: Writers of one driver claim versions one after another; those of several are told apart by the file system.
+_CLAIMING = threading.Lock()
 _ADDRESS = "STRUCT<house_number: STRING, street: STRING, ward: STRING, district: STRING, province: STRING, country: STRING, confidence: DOUBLE>"
 _FACTORS = "STRUCT<completeness: DOUBLE, freshness: DOUBLE, source_reliability: DOUBLE, address_confidence: DOUBLE, phone_valid: DOUBLE, has_coordinates: DOUBLE>"
 
@@ -45,13 +53,54 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
+def _claim(spark: SparkSession, path: str) -> int:
+    """The number of the next version, for this writer alone: the file that names it can be created once."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with _CLAIMING:
+        number = max(_versions(spark, path), default=0) + 1
+        while True:
+            try:
+                fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{number}"), False).close()
+                return number
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                number += 1
+
+
 def write_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Write the whole table as its next version; readers of older ones aren't disturbed, a failed write is never read."""
-    version = max(_versions(df.sparkSession, path), default=0) + 1
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/v={version}")
+    """Write the whole table as its next version; readers of older ones aren't disturbed, a failed write is never read, and two writers
+    never take one number (several drivers, on a file system that creates a file once, as HDFS does)."""
+    version = _claim(df.sparkSession, path)
+    df.write.mode("error").partitionBy(*partition_by).parquet(f"{path}/v={version}")
     return version
 
 
+def archive_months(raw: DataFrame, path: str, as_of: Column, days: int = 365, at: str = "fetched_at", key: str = "id") -> DataFrame:
+    """Move rows fetched more than `days` days before as_of to an archive in partitions by month; the rows to keep come back.
+
+    Only the months that get rows are written, each as a whole, with what it held before; a row that is there already is not moved
+    again, so a run that failed half-way, or one over the same rows, can be repeated.
+    """
+    spark = raw.sparkSession
+    kept, old = archive_split(raw, as_of, days)
+    moved = materialize(old.withColumn("month", F.date_format(at, "yyyy-MM")), "moved")
+    if not moved.isEmpty():
+        both = moved
+        if _exists(spark, path):
+            before = spark.read.schema(moved.schema).parquet(path).join(F.broadcast(moved.select("month").distinct()), "month", "left_semi")
+            both = before.select(*moved.columns).unionByName(moved.join(before.select(key), key, "left_anti").select(*moved.columns))
+        months = materialize(both, "months")
+        months.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    return kept
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
+
 def read_version(spark: SparkSession, path: str, version: int | None = None, schema: str | None = None) -> DataFrame:
     """The newest complete version of a table, or the one asked for."""
     found = _versions(spark, path)
