@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = ranked.filter("kinds = 1").select("doc_id", "start", "windows", "piece", F.lit(-1).cast("long").alias("own"))
     wanted = ranked.filter("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "piece", (F.col("kinds") > HOT).alias("hot"))).alias("wanted"))
     contents = materialize(some.select("doc_id", "z").join(wanted, "doc_id").mapInArrow(_contents, "key long, doc_id long, start long, windows int, piece long, shift int, words binary, single boolean"), "contents")
-    contents = materialize(contents.filter("NOT single").drop("single").unionByName(_first_windows(contents.filter("single"))), "shards")
+    contents = contents.filter("NOT single").drop("single").unionByName(materialize(_first_windows(contents.filter("single")), "windows"))
     shards = max(1, -(-contents.count() // SHARD_PIECES))
     judged_pieces = contents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t), "doc_id long, start long, windows int, piece long, own long")
     owned = whole.unionByName(judged_pieces).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "piece", "own")).alias("owned"))
