@@ -24,10 +24,55 @@ def _folds() -> tuple[str, str]:
     return "".join(found), "".join(found.values())
 
 
+# Letters of other scripts in Latin ones, lower case. Signs without a sound are dropped.
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґўђћџљњјѓќѕ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia io i yi ie g u dj tsh dz lj nj j gj kj dz".replace("-", "").split(" "), strict=True))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+
+
+def _kana() -> dict[str, str]:
+    """Both syllabaries by rule: consonants by vowels in the order of Unicode, where voiced forms follow plain ones."""
+    vowels, out = "aiueo", []
+    out += [v for v in vowels for _ in (0, 1)]  # small and full
+    out += [c + v for v in vowels for c in "kg"]
+    out += [{"si": "shi"}.get(c + v, c + v) for v in vowels for c in "sz"]
+    out += [x for v in vowels for x in ({"i": ["chi", "di"], "u": ["tsu", "tsu", "du"]}.get(v, ["t" + v, "d" + v]))]
+    out += ["n" + v for v in vowels]
+    out += [c + v for v in vowels for c in "hbp"]
+    out += ["m" + v for v in vowels]
+    out += ["y" + v for v in "auo" for _ in (0, 1)]
+    out += ["r" + v for v in vowels]
+    out += ["wa", "wa", "wi", "we", "wo", "n", "vu"]
+    return {chr(start + i): x for start in (0x3041, 0x30A1) for i, x in enumerate(out)}
+
+
+@cache
+def _scripts() -> dict[str, str]:
+    """Letter to Latin letters: Cyrillic, Greek and kana, accented letters as plain ones, capitals with a capital first."""
+    found = CYRILLIC | GREEK
+    for code in range(0x370, 0x460):
+        base = unicodedata.normalize("NFD", chr(code))
+        if chr(code) not in found and len(base) > 1 and base[0] in found:
+            found[chr(code)] = found[base[0]]
+    for low, latin in list(found.items()):
+        if low.upper() != low and len(low.upper()) == 1:
+            found.setdefault(low.upper(), latin.capitalize())
+    return found | _kana() | {"ー": "-"}
+
+
+def transliterate(text: Column) -> Column:
+    """Letters of Cyrillic, Greek and kana in Latin ones, one by one; all else stays. Texts without such letters are passed on as they
+    are, by one look."""
+    table = F.create_map(*[F.lit(x) for pair in _scripts().items() for x in pair])
+    letters = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
+    spelled = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.regexp_like(text, F.lit("[\u0370-\u045f\u0490\u0491\u3041-\u30ff]")), spelled).otherwise(text)
+
+
 def fold_ascii(text: Column) -> Column:
-    """Latin letters without their marks; combining marks are dropped, so composed and decomposed texts fold alike."""
+    """Latin letters without their marks, other scripts in Latin letters; combining marks are dropped, so composed and decomposed texts
+    fold alike."""
     marked, plain = _folds()
-    return F.regexp_replace(F.translate(text, marked, plain), r"[̀-ͯ]", "")
+    return F.regexp_replace(transliterate(F.translate(text, marked, plain)), r"[̀-ͯ]", "")
 
 
 def normalize_text(text: Column, ascii_fold: bool = True, drop_punct: bool = True) -> Column:

@@ -25,6 +25,14 @@ def test_normalize_text(spark, given, want):
     assert one(spark, text.normalize_text(F.col("t")), t=given) == want
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [("Кафе Пушкинъ", "kafe pushkin"), ("Щёлково, Юность", "shchiolkovo iunost"), ("Київ", "kiyiv"), ("Αθήνα Ψυχή", "athena psukhe"), ("すし トウキョウ", "sushi toukiyou"), ("ラーメン ふじ", "ra-men huzi"), ("Phở 😀 Жук", "pho zhuk"), ("ёЁ Ґ", "ioio g"), ("Ćevapi Њ", "cevapi nj")],
+)
+def test_normalize_text_of_other_scripts(spark, given, want):
+    assert one(spark, text.normalize_text(F.col("t")), t=given) == want
+
+
 @pytest.mark.parametrize(("url", "want"), [("https://WWW.Example.com:8080/a", "example.com"), ("example.vn/x", "example.vn"), ("www.www.a.vn", "www.a.vn"), ("", None), (None, None)])
 def test_extract_domain(spark, url, want):
     assert one(spark, text.extract_domain(F.col("u")), u=url) == want
