@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .sentencepiece_codec import SPACE, Codec
 
 #: Bytes of a chunk; segments kept from one chunk to the next, and their bytes; from how many bytes a segment is cut further.
-CHUNK, KEPT, KEPT_BYTES, LONG = 1 << 20, 200_000, 16 << 20, 1 << 15
+CHUNK, KEPT, KEPT_BYTES, LONG = 4 << 20, 400_000, 32 << 20, 1 << 15
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,6 +42,9 @@ _RUN_ENDS = regex.compile(r"(?<=\p{L})[^\p{L}\s]|(?<=\p{N})[^\p{N}\s]")
 class Json:
     """A tokenizer file of the tokenizers library."""
 
+    #: Whether a segment counts otherwise at a text's start than inside.
+    places_differ = False
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -68,6 +71,8 @@ class Json:
 class Model:
     """A model file of the sentencepiece library."""
 
+    places_differ = True
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
@@ -119,7 +124,9 @@ class TokenCounter:
             while True:
                 end = min(first + size, last)
                 inside = texts[np.searchsorted(texts, first, "right") : np.searchsorted(texts, end)]
-                starts = np.union1d(np.concatenate(([first], first + self.boundaries(data[first:end]))), inside)
+                starts = np.concatenate(([first], first + self.boundaries(data[first:end]), inside))
+                starts.sort(kind="stable")  # runs that are sorted, so a merge
+                starts = starts[np.concatenate(([True], starts[1:] != starts[:-1]))]
                 if end == last:
                     starts = np.append(starts, last)
                     break
@@ -142,39 +149,43 @@ class TokenCounter:
         texts = offsets - offsets[0]
         for starts in self.segments(data, np.unique(texts[:-1])):
             owner = np.searchsorted(texts, starts[:-1], "right") - 1
-            inner = texts[owner] != starts[:-1]
             array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts, dtype=np.int64)), pa.py_buffer(data)])
+            every = np.ones(len(owner), dtype=bool)
+            inner = texts[owner] != starts[:-1] if self.library.places_differ else ~every
             for some in (inner, ~inner):
-                values = array.filter(pa.array(some)).dictionary_encode()
+                if not some.any():
+                    continue
+                values = (array if some.all() else array.filter(pa.array(some))).dictionary_encode()
                 sizes = self.sizes(values.dictionary.to_pylist(), bool(some is inner))
-                np.add.at(out, owner[some], sizes[values.indices.to_numpy()])
+                out += np.bincount(owner[some], sizes[values.indices.to_numpy()], n).astype(np.int64)
         return out
 
     def sizes(self, segments: list[bytes], inner: bool) -> np.ndarray:
         """Tokens of different segments; those not known are encoded in one batch."""
-        known, before = self.known, self.before
         mark = b"\xff" if inner else b""  # no byte of UTF-8; one segment can stand at a text's start and inside
-        keys = [mark + s for s in segments]
-        missing = []
-        for key in keys:
-            if key not in known:
-                size = before.get(key)
-                if size is None:
-                    missing.append(key)
-                else:
-                    known[key] = size
-                    self.bytes += len(key)
-        brief = [k for k in missing if len(k) <= LONG]
-        known.update(zip(brief, self.library.lengths([k[len(mark) :].decode() for k in brief], [inner] * len(brief)), strict=True))
-        self.bytes += sum(map(len, brief))
-        wide = {}
-        for key in (k for k in missing if len(k) > LONG):
-            parts = self.library.cut_long(key[len(mark) :].decode())
-            wide[key] = sum(sum(self.library.lengths(some, [inner and not i] + [False] * (len(some) - 1))) for i in range(0, len(parts), 4096) if (some := parts[i : i + 4096]))
-        out = np.fromiter((known[k] if k in known else wide[k] for k in keys), dtype=np.int64, count=len(keys))
+        keys = [mark + s for s in segments] if inner else segments
+        known, before = self.known, self.before
+        found = list(map(known.get, keys))
+        missing = [i for i, size in enumerate(found) if size is None]
+        fresh = []
+        for i in missing:
+            size = found[i] = before.get(keys[i])
+            if size is None:
+                fresh.append(i)
+        brief = [i for i in fresh if len(keys[i]) <= LONG]
+        for i, size in zip(brief, self.library.lengths([segments[i].decode() for i in brief], [inner] * len(brief)), strict=True):
+            found[i] = size
+        for i in fresh:
+            if len(keys[i]) > LONG:
+                parts = self.library.cut_long(segments[i].decode())
+                found[i] = sum(sum(self.library.lengths(some, [inner and not k] + [False] * (len(some) - 1))) for k in range(0, len(parts), 4096) if (some := parts[k : k + 4096]))
+        for i in missing:
+            if len(keys[i]) <= LONG:
+                known[keys[i]] = found[i]
+                self.bytes += len(keys[i])
         if len(known) > self.kept or self.bytes > KEPT_BYTES:
             self.known, self.before, self.bytes = {}, known, 0
-        return out
+        return np.array(found, dtype=np.int64)
 
 
 @lru_cache(maxsize=4)
