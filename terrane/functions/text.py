@@ -62,7 +62,7 @@ def _scripts() -> dict[str, str]:
 def transliterate(text: Column) -> Column:
     """Letters of Cyrillic, Greek and kana in Latin ones, one by one; all else stays. Texts without such letters are passed on as they
     are, by one look."""
-    table = F.create_map(*[F.lit(x) for pair in _scripts().items() for x in pair])
+    table = F.str_to_map(F.lit(";".join(f"{a}={b}" for a, b in _scripts().items())), F.lit(";"), F.lit("="))  # folded to one constant
     letters = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
     spelled = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.when(F.regexp_like(text, F.lit("[\u0370-\u045f\u0490\u0491\u3041-\u30ff]")), spelled).otherwise(text)
