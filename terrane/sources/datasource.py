@@ -6,7 +6,7 @@
          .option("east", ...).option("north", ...).option("cell_m", 5000).option("category", "retail").load()
 
 The fetcher is called with (lat, lng, radius_m, category) and yields (source_poi_id, payload, lat, lng); the payload may be
-a mapping or JSON text. Fetchers by id and health checks are plain functions beside it (`fetch_by_id`, `health_check`).
+a mapping or JSON text. Details by id, scrape jobs and health checks are in `fetch`.
 """
 
 from __future__ import annotations

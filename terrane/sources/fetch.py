@@ -33,7 +33,11 @@ KEYWORDS = ("restaurant", "cafe", "convenience store", "shop")
 
 
 class FetchError(Exception):
-    """A request that failed for good."""
+    """A request that failed for good, with the status if a server gave one."""
+
+    def __init__(self, said: str, status: int | None = None) -> None:
+        super().__init__(said)
+        self.status = status
 
 
 class Client:
@@ -63,7 +67,7 @@ class Client:
                     return 404, text
                 said = f"{method} {path}: {e.code} {text[:200]}"
                 if e.code not in AGAIN:
-                    raise FetchError(said) from e
+                    raise FetchError(said, e.code) from e
                 after = e.headers.get("Retry-After", "")
                 pause = min(MOST_WAIT_S, float(after)) if re.fullmatch(r"[0-9]+(\.[0-9]+)?", after) else pause
             except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
@@ -99,6 +103,16 @@ DETAILS: dict[str, Callable[[Client, str], dict | None]] = {"google_places": pla
 DETAIL_ROW = "id long, source_code string, source_poi_id string, raw_payload string, status string, error string"
 
 
+def healthy(source_code: str, **options) -> bool:
+    """Whether a source answers and takes the key: a bad request is an answer, a refused key is none, and so is silence."""
+    method, path, body = {"google_places": ("POST", "/places:searchNearby", "{}"), "osm_overpass": ("GET", "/status", None)}.get(source_code, ("GET", "/api/v1/jobs", None))
+    try:
+        status = Client(**{"tries": 1, **options}).send(method, path, body)[0]
+    except FetchError as e:
+        status = e.status
+    return status is not None and (status not in (401, 403) if source_code == "google_places" else status == 200)
+
+
 def fetch_details(asked: DataFrame, servers: dict[str, dict], tasks: int, client: Callable[..., Client] = Client) -> DataFrame:
     """A row for each row of asked (id, source_code, source_poi_id): raw_payload, status ('found', 'missing' or 'error') and error.
 

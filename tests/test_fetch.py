@@ -15,7 +15,7 @@ from terrane.operators import kpi
 from terrane.operators.observed import Counters, ingest_counts, observed_ingest
 from terrane.operators.resolve import next_cache, outcome_counts, resolve_all
 from terrane.plans.scratch import materialize
-from terrane.sources.fetch import Client, FetchError, ScrapeSource, fetch_details, run_detail_jobs
+from terrane.sources.fetch import Client, FetchError, ScrapeSource, fetch_details, healthy, run_detail_jobs
 
 
 class Stub(BaseHTTPRequestHandler):
@@ -56,6 +56,8 @@ class Stub(BaseHTTPRequestHandler):
             if name.startswith("p") and int(name[1:]) % 3 == 0:
                 return self.say(404, "gone")
             return self.say(200, json.dumps({"id": name, "displayName": {"text": f"Quán {name}"}, "location": {"latitude": 21.0, "longitude": 105.5}}))
+        if path == "/status":
+            return self.say(200, "2 slots available now.")
         if path == "/api/v1/jobs":
             with self.lock:
                 for j in Stub.jobs.values():
@@ -73,6 +75,8 @@ class Stub(BaseHTTPRequestHandler):
         body = self.rfile.read(int(self.headers.get("Content-Length", 0))).decode()
         if self.path == "/interpreter":
             return self.say(200, json.dumps({"elements": [{"type": "node", "id": 7, "lat": 21.1, "lon": 105.6, "tags": {"name": "N"}}] if "node(7)" in body else []}))
+        if self.path.endswith("/places:searchNearby"):
+            return self.say(403 if "refused" in self.path else 400, "empty request")
         body = json.loads(body)
         with self.lock:
             number = f"j{len(Stub.jobs) + 1}"
@@ -107,6 +111,13 @@ def test_details(spark, server):
     assert "500" in rows[5].error and "4 tries" in rows[5].error and json.loads(rows[14].raw_payload)["id"] == "b c"
 
 
+def test_health(server):
+    """A bad request is an answer; a refused key, a missing page and a dead port are not."""
+    assert healthy("google_places", base_url=server) and healthy("osm_overpass", base_url=server) and healthy("gosom_scraper", base_url=server)
+    assert not healthy("google_places", base_url=f"{server}/refused") and not healthy("osm_overpass", base_url=f"{server}/gone")
+    assert not any(healthy(c, base_url="http://127.0.0.1:9") for c in ("google_places", "osm_overpass", "gosom_scraper"))
+
+
 def test_waits_grow_and_pace_is_kept():
     waits = []
     with pytest.raises(FetchError, match="3 tries"):
