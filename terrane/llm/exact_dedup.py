@@ -6,7 +6,8 @@ pair (hash of what it names, rank of it among all different contents of that has
 share a name, whatever the hash does, since contents of one hash are compared as they are.
 
 A block whose hash occurs once in the corpus has no equal, so its content need not travel; the contents of all others
-are shuffled, sorted and ranked. Every level is written to the shared folder, so no level is computed twice.
+are shuffled once and compared. Only the contents of a hash that has several are sorted, ranked and joined again. Every
+level is written to the shared folder once, so no level is computed twice.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from .common import lower_ascii, materialize, sorted_side, unused
 BLOCK_BYTES = 16384
 
 
+def _hash(*columns: Column) -> Column:
+    return F.xxhash64(*columns)
+
+
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """doc_id, sha, n (blocks of the text), idx, h, block."""
     data = F.col("t").cast("binary")
@@ -27,13 +32,19 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         .withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("t") / F.lit(block_bytes)).cast("int")))
         .select("doc_id", F.sha2(data, 256).alias("sha"), "n", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
         .select("doc_id", "sha", "n", "idx", F.substring(data, F.col("idx") * block_bytes + 1, F.lit(block_bytes)).alias("block"))
-        .withColumn("h", F.xxhash64("block"))
+        .withColumn("h", _hash(F.col("block")))
     )
 
 
-def _ranked(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct contents with their rank among those of the same hash."""
-    return distinct.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1)
+def _several(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The hashes with more than one content, written: hardly ever any."""
+    return materialize(rows.select("h", *keys).distinct().groupBy("h").count().filter("count > 1").select("h"), name)
+
+
+def _ranked(rows: DataFrame, several: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The different contents of these hashes with their rank among those of the same hash, written."""
+    distinct = rows.join(several, "h", "left_semi").select("h", *keys).distinct()
+    return materialize(distinct.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(*keys)) - 1), name)
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -44,47 +55,42 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 
 def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: doc_id, sha (of the normalised text), n, h, r; (n, h, r) is the identity of the text."""
+    """doc_id, sha (of the normalised text), times, n, h, r; (n, h, r) is the identity of the text. One row per input row, but
+    equal rows of more than one block are one, that came so many times. Read from written tables, with nothing in between."""
     plain = docs.select("doc_id", "text")
     rows = materialize(_blocks(plain, block_bytes).drop("block"), "blocks")
     repeated = materialize(rows.groupBy("h").count().filter("count > 1").select("h"), "repeated-hashes")
     some = materialize(_blocks(plain, block_bytes).join(repeated, "h", "left_semi"), "repeated")
-    names = materialize(_ranked(some.select("h", "block").distinct(), ["block"]), "names")
-    collided = names.filter("r > 0").select("h").distinct()
-    # Only where one hash has several contents do the occurrences need their contents again.
-    ranks = (
-        some.join(collided, "h", "left_semi")
-        .join(names, ["h", "block"])
-        .select("doc_id", "sha", "idx", "r")
-        .distinct()
-    )
-    level = rows
-    if not names.filter("r > 0").isEmpty():
-        level = level.join(ranks, on=[level.doc_id.eqNullSafe(ranks.doc_id), level.sha == ranks.sha, level.idx == ranks.idx], how="left").select(level["*"], F.coalesce(ranks.r, F.lit(0)).alias("r"))
-    else:
-        level = level.withColumn("r", F.lit(0))
-    # A row of the input is counted once, by its first block; repeated rows share their other blocks.
-    counted = rows.filter("idx = 0").groupBy("doc_id", "sha").agg(F.count("*").alias("times"))
-    level = level.dropDuplicates(["doc_id", "sha", "idx"]).withColumn("left", F.col("n"))
-    level = materialize(level.join(counted, on=[level.doc_id.eqNullSafe(counted.doc_id), level.sha == counted.sha]).select(level["*"], counted.times), "level")
-    done = level.filter("left = 1").select("doc_id", "sha", "times", "n", "h", "r")
+    several = _several(some, ["block"], "several")
+    level = rows.withColumn("r", F.lit(0))
+    if not several.isEmpty():
+        names = _ranked(some, several, ["block"], "names")
+        ranks = some.join(names, ["h", "block"]).select("doc_id", "sha", "idx", "r").distinct()
+        level = materialize(rows.join(ranks, on=_same(rows, ranks, ["doc_id", "sha", "idx"]), how="left").select(rows["*"], F.coalesce(ranks.r, F.lit(0)).alias("r")), "level")
+    # A repeated row of the input repeats its blocks; where there are several, they meet in the first grouping and are counted.
+    level = level.withColumns({"left": F.col("n"), "times": F.lit(1).cast("long")})
+    done = level.filter("left = 1").drop("left", "idx")
     depth = 0
     level = level.filter("left > 1")
     while not level.isEmpty():
         depth += 1
-        pairs = level.groupBy("doc_id", "sha", "times", "n", "left", F.floor(F.col("idx") / 2).cast("int").alias("idx")).agg(
-            F.max(F.when(F.col("idx") % 2 == 0, F.struct("h", "r"))).alias("a"), F.max(F.when(F.col("idx") % 2 == 1, F.struct("h", "r"))).alias("b")
+        first = F.col("idx") % 2 == 0
+        pairs = level.groupBy("doc_id", "sha", "n", "left", F.floor(F.col("idx") / 2).cast("int").alias("half")).agg(
+            F.max(F.when(first, F.struct("h", "r"))).alias("a"), F.max(F.when(~first, F.struct("h", "r"))).alias("b"), F.sum(F.when(first, F.col("times"))).alias("times")
         )
         pairs = materialize(
-            pairs.select("doc_id", "sha", "times", "n", F.ceil(F.col("left") / 2).cast("int").alias("left"), "idx", "a.h", F.col("a.r").alias("ar"), F.col("b.h").alias("bh"), F.col("b.r").alias("br"))
-            .withColumnRenamed("h", "ah")
-            .withColumn("h", F.xxhash64("ah", "ar", F.coalesce("bh", F.lit(0)), F.coalesce("br", F.lit(-1)))),
+            pairs.select("doc_id", "sha", "times", "n", F.ceil(F.col("left") / 2).cast("int").alias("left"), F.col("half").alias("idx"), F.col("a.h").alias("ah"), F.col("a.r").alias("ar"), F.col("b.h").alias("bh"), F.col("b.r").alias("br"))
+            .withColumn("h", _hash(F.col("ah"), F.col("ar"), F.coalesce("bh", F.lit(0)), F.coalesce("br", F.lit(-1)))),
             f"pairs{depth}",
         )
         keys = ["ah", "ar", "bh", "br"]
-        names = materialize(_ranked(pairs.select("h", *keys).distinct(), keys), f"names{depth}")
-        level = materialize(pairs.join(names, on=(pairs.h == names.h) & _same(pairs, names, keys)).select(*[pairs[c] for c in ("doc_id", "sha", "times", "n", "left", "idx", "h")], names.r), f"level{depth}")
-        done = done.unionByName(level.filter("left = 1").select("doc_id", "sha", "times", "n", "h", "r"))
+        several = _several(pairs, keys, f"several{depth}")
+        level = pairs.withColumn("r", F.lit(0))
+        if not several.isEmpty():
+            names = _ranked(pairs, several, keys, f"names{depth}")
+            level = materialize(pairs.join(names, on=_same(pairs, names, ["h", *keys]), how="left").select(pairs["*"], F.coalesce(names.r, F.lit(0)).alias("r")), f"level{depth}")
+        level = level.drop(*keys)
+        done = done.unionByName(level.filter("left = 1").drop("left", "idx"))
         level = level.filter("left > 1")
     return done
 
@@ -97,7 +103,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     they came, each counted, all kept if their doc_id stays. An empty table gives an empty result. Other columns of
     the input are not looked at.
     """
-    named = materialize(block_names(docs, block_bytes), "identity")
+    named = block_names(docs, block_bytes)
     groups = materialize(named.groupBy("n", "h", "r").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
     return (
         named.join(groups, ["n", "h", "r"])

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from terrane.llm import exact_dedup as exact_dedup_module
 from terrane.llm import personal_data, quality, secret_scan, vector_search
 from terrane.llm.exact_dedup import exact_dedup
 from terrane.llm.ngram_join import near_duplicates
@@ -72,6 +73,27 @@ def test_exact_dedup(docs, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [16, 16384])
+def test_exact_dedup_where_hashes_collide(docs, block, monkeypatch):
+    """Three hashes for all blocks and pairs: only the contents tell texts apart."""
+    some = docs.filter(F.length(F.coalesce("text", F.lit(""))) < 2000)
+    want = Counter(tuple(r) for r in exact_dedup(some, block).collect())
+    monkeypatch.setattr(exact_dedup_module, "_hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(3)))
+    assert Counter(tuple(r) for r in exact_dedup(some, block).collect()) == want
+
+
+def test_exact_dedup_writes_each_level_once(spark, monkeypatch):
+    """Each file of a scratch table starts processes where the file system is local, so tables are few: three of blocks, one of
+    pairs for each further level, one of hashes with several contents for each level, one of groups."""
+    real, kept = exact_dedup_module.materialize, {}
+    monkeypatch.setattr(exact_dedup_module, "materialize", lambda df, name: kept.setdefault(name, real(df, name)))
+    rows = [(1, "abc"), (2, "ABC"), (2, "ABC"), (3, "d" * 40), (4, "d" * 40), (4, "d" * 40), (5, None)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 16).select("doc_id", "keep_id", "group_size").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 3), (2, 2, 3), (2, 2, 3), (3, 4, 3), (4, 4, 3), (4, 4, 3), (5, 5, 1)]
+    assert sorted(kept) == ["blocks", "groups", "pairs1", "pairs2", "repeated", "repeated-hashes", "several", "several1", "several2"]
+    assert {kept[k].count() for k in ("several", "several1", "several2")} == {0}
+
+
 def test_sharding(docs, none):
     rows = shard(docs, 4).collect()
     assert sorted((r.size, r.text_crc32) for r in rows) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in texts())
