@@ -13,7 +13,7 @@ from terrane.plans.scratch import materialize
 
 from .cells import linked_cells
 from .components import connected_components
-from .pairs import given_pairs, reachable_pairs, score_found, self_score, twins
+from .pairs import given_pairs, pairs_of, reachable_pairs, score_found, scored_classes, self_score, twins
 from .resolve import RECORD, Resolver, resolve_all
 
 EPS_M, MIN_WEIGHT = 55.0, 0.01
@@ -271,9 +271,10 @@ def merging_edges(placed: DataFrame, resolutions: DataFrame | None = None) -> Da
 
 
 def pairs_to_ask(placed: DataFrame) -> DataFrame:
-    """The scored pairs of a cluster that need a model. All pairs of a cluster are looked at only where phone, website and brand may
-    all be missing or different, which at this threshold leaves name and address to decide."""
-    return score_found(reachable_pairs(placed, sim.NEEDS_LLM), placed, sim.NEEDS_LLM).filter("decision = 'needs_llm'")
+    """The scored pairs of a cluster that need a model, each once, a_id < b_id. All pairs of a cluster are looked at only where phone,
+    website and brand may all be missing or different, which at this threshold leaves name and address to decide."""
+    classes, of = scored_classes(placed, sim.NEEDS_LLM)
+    return pairs_of(classes.filter("decision = 'needs_llm'"), of)
 
 
 def dedupe(silver: DataFrame, resolutions: DataFrame | None = None, eps_m: float = EPS_M, as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -290,4 +291,4 @@ def dedupe_stats(placed: DataFrame, masters: DataFrame, resolutions: DataFrame |
     return placed.agg(F.countDistinct("cluster_id").alias("clusters")).join(F.broadcast(masters.agg(F.count("*").alias("masters_created"), F.coalesce(F.sum(F.size("merged_processed_ids")), F.lit(0)).alias("members_merged")))).withColumn("llm_calls", F.lit(calls).cast("long"))
 
 
-__all__ = ["RECORD", "build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_to_ask", "reachable_pairs", "reject", "resolve", "review_queue", "score_found", "score_pairs", "spatial_clusters"]
+__all__ = ["RECORD", "build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_of", "pairs_to_ask", "reachable_pairs", "reject", "resolve", "review_queue", "score_found", "score_pairs", "scored_classes", "spatial_clusters"]

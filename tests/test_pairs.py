@@ -11,7 +11,7 @@ from terrane.functions import similarity as sim
 from terrane.operators import dedupe
 from terrane.operators.cells import linked_cells
 from terrane.operators.components import connected_components
-from terrane.operators.pairs import EQUAL, given_pairs, plans, reachable_pairs, score_found, self_score, twins
+from terrane.operators.pairs import EQUAL, given_pairs, pairs_of, plans, reachable_pairs, score_found, scored_classes, self_score, twins
 
 ROW = "id long, cluster_id long, name_embedding array<float>, address_normalized string, phone_e164 string, website_domain string, brand string, merge_status string"
 VALUES = (None, "", "v1", "v2")
@@ -111,6 +111,28 @@ def test_twins_score_alike(spark):
             assert r.score == pytest.approx(own[a], abs=1e-4)
 
 
+@pytest.mark.parametrize("alike", [3, 1000])
+def test_pairs_of_classes_equal_all_pairs(spark, alike):
+    rows = made(13, 90)
+    members = spark.createDataFrame(rows + [(100_000 * k + i, *rest) for k in (1, 2, 3) for i, *rest in rows[:40]], ROW)
+    want = {k: (r.name, r.address, r.phone, r.website, r.brand, r.score, r.decision) for k, r in all_scored(members).items() if r.score >= sim.NEEDS_LLM}
+    classes, of = scored_classes(members, sim.NEEDS_LLM)
+    got = pairs_of(classes, of, alike).collect()
+    assert {(r.a_id, r.b_id): (r.name, r.address, r.phone, r.website, r.brand, r.score, r.decision) for r in got} == want and len(got) == len(want)
+    assert classes.count() < len(want) / 2
+    assert pairs_of(*scored_classes(members.limit(0), sim.NEEDS_LLM)).count() == 0
+
+
+def test_rows_alike_are_scored_once(spark):
+    """2,000 rows alike and 1,000 others of their cluster: two classes, three pairs to score, and every pair of rows in the result."""
+    row = lambda brand: (0, [1.0, 0.0], "1 street", "p", "w", brand, "pending")
+    members = spark.createDataFrame([(i, *row("x" if i % 3 else "y")) for i in range(3000)], ROW)
+    classes, of = scored_classes(members, sim.NEEDS_LLM)
+    assert sorted((r.a_id, r.b_id, r.decision) for r in classes.collect()) == [(0, 0, "auto_merge"), (0, 1, "auto_merge"), (1, 1, "auto_merge")]
+    found = pairs_of(classes, of).select("a_id", "b_id")
+    assert found.count() == found.distinct().count() == 3000 * 2999 // 2 and found.filter("a_id >= b_id").count() == 0
+
+
 def test_a_hot_cluster_is_linear(spark):
     """100,000 places in one cluster, a third of them alike: what is dealt stays in proportion, and few pairs are met."""
     n = 100_000
