@@ -109,11 +109,24 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("decision", sim.decision(F.col("score")))
 
 
-def resolve(pairs: DataFrame, resolver: Resolver, cache: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+def resolve(pairs: DataFrame, resolver: Resolver, cache: DataFrame | None = None, records: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """lo_id, hi_id, same, confidence, reason of the pairs that got an answer, from the cache or the resolver; see resolve_all, which
     also tells of the others. The resolver gets two dicts with id and, of `records` (rows of silver), those fields of RECORD that they
-    have; without records, or for an id that they lack, id alone."""
-    return resolve_all(pairs, resolver, cache, records).filter("same IS NOT NULL").select("lo_id", "hi_id", "same", "confidence", "reason")
+    have; without records, or for an id that they lack, id alone. unique: each pair comes once."""
+    return resolve_all(pairs, resolver, cache, records, unique=unique).filter("same IS NOT NULL").select("lo_id", "hi_id", "same", "confidence", "reason")
+
+
+def agreed(resolutions: DataFrame) -> DataFrame:
+    """lo_id, hi_id of the resolutions that call a pair the same with enough confidence."""
+    return resolutions.filter(F.col("same") & (F.col("confidence") >= sim.LLM_ACCEPT)).select("lo_id", "hi_id")
+
+
+def resolved_edges(classes: DataFrame, of: DataFrame, resolver: Resolver) -> DataFrame:
+    """a, b: the pairs to merge of scored classes: sure ones, and asked ones where the answer agrees. Each answer stands with its pair,
+    so nothing is looked up."""
+    sure, asked = (pairs_of(classes.filter(F.col("decision") == d).select("a_id", "b_id", "score", "decision"), of) for d in ("auto_merge", "needs_llm"))
+    said = agreed(resolve(asked, resolver, unique=True))
+    return sure.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(said.select(F.col("lo_id").alias("a"), F.col("hi_id").alias("b")))
 
 
 def accepted_edges(scored: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
@@ -121,7 +134,7 @@ def accepted_edges(scored: DataFrame, resolutions: DataFrame | None = None) -> D
     sure = scored.filter("decision = 'auto_merge'").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     if resolutions is None:
         return sure
-    said = resolutions.filter(F.col("same") & (F.col("confidence") >= sim.LLM_ACCEPT)).select(pair_key(F.col("lo_id"), F.col("hi_id")).alias("key"))
+    said = agreed(resolutions).select(pair_key(F.col("lo_id"), F.col("hi_id")).alias("key"))
     asked = scored.filter("decision = 'needs_llm'").withColumn("key", pair_key(F.col("a_id"), F.col("b_id")))
     return sure.unionByName(asked.join(said, "key", "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
@@ -265,7 +278,7 @@ def merging_edges(placed: DataFrame, resolutions: DataFrame | None = None) -> Da
     edges = edges.unionByName(alike)
     if resolutions is None:
         return edges
-    said = resolutions.filter(F.col("same") & (F.col("confidence") >= sim.LLM_ACCEPT)).select(F.col("lo_id").alias("a_id"), F.col("hi_id").alias("b_id"))
+    said = agreed(resolutions).select(F.col("lo_id").alias("a_id"), F.col("hi_id").alias("b_id"))
     asked = score_found(given_pairs(said, placed), placed, sim.NEEDS_LLM)
     return edges.unionByName(asked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 

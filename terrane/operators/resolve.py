@@ -8,7 +8,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,57 +53,62 @@ def _ask(resolver: Resolver, a: dict, b: dict, tries: int, wait_s: float, until:
             pause = wait_s * 2 ** (i - 1)
             if i == tries or time.monotonic() + pause > until:
                 return None, None, f"{type(e).__name__}: {e}"[:500], "error", i
-            time.sleep(pause)
+            if pause > 0:
+                time.sleep(pause)
     raise AssertionError
 
 
 def _calls(resolver: Resolver, concurrent: int, tries: int, wait_s: float, limit_s: float):
-    def place(id_: int, record: str | None) -> dict:
-        return json.loads(record) if record else {"id": id_}
-
-    def batch_of(batch: pd.DataFrame) -> pd.DataFrame:
-        todo: queue.SimpleQueue = queue.SimpleQueue()
-        done: queue.SimpleQueue = queue.SimpleQueue()
-        rows = [(place(r.lo_id, r.lo_record), place(r.hi_id, r.hi_record)) for r in batch.itertuples()]
-        for i in range(len(rows)):
-            todo.put(i)
-        begun: dict[int, float] = {}
-
-        def work() -> None:
-            while True:
-                try:
-                    i = todo.get_nowait()
-                except queue.Empty:
+    def places(ids: pa.Array, records: pa.Array) -> list[dict]:
+        told = None if records.null_count == len(records) else records.to_pylist()
+        return [{"id": i} for i in ids.to_numpy(zero_copy_only=False).tolist()] if told is None else [json.loads(r) if r else {"id": i} for i, r in zip(ids.to_pylist(), told, strict=True)]
+
+    def answered(lo: list[dict], hi: list[dict]) -> list[tuple]:
+        out: list[tuple | None] = [None] * len(lo)
+        todo = iter(range(len(lo)))  # shared: a step of it is never given to two threads
+        ended: queue.SimpleQueue = queue.SimpleQueue()
+        begun: dict[int, tuple[int, float]] = {}  # by thread that is waited for: its pair, and since when
+
+        def work(me: int) -> None:
+            for i in todo:
+                since = time.monotonic()
+                begun[me] = i, since
+                answer = _ask(resolver, lo[i], hi[i], tries, wait_s, since + limit_s)
+                if out[i] is not None:  # too late: another thread has its place
                     return
-                begun[i] = time.monotonic()
-                done.put((i, _ask(resolver, *rows[i], tries, wait_s, begun[i] + limit_s)))
+                out[i] = answer
+            ended.put(me)
 
         def start() -> None:
-            threading.Thread(target=work, daemon=True).start()
-
-        for _ in range(min(concurrent, len(rows))):
+            me = len(started)
+            started.append(me)
+            running.add(me)
+            threading.Thread(target=work, args=(me,), daemon=True).start()
+
+        started: list[int] = []
+        running: set[int] = set()
+        for _ in range(min(concurrent, len(lo))):
             start()
-        out: dict[int, tuple] = {}
-        late: set[int] = set()
-        while len(out) < len(rows):
+        while running:
             try:
-                i, answer = done.get(timeout=0.05)
-                out.setdefault(i, answer)
+                running.discard(ended.get(timeout=0.05))
+                continue
             except queue.Empty:
                 pass
-            for i in [i for i, t in list(begun.items()) if i not in out and time.monotonic() - t > limit_s]:
-                out[i] = None, None, f"no answer in {limit_s:g} s", "timeout", 1
-                if i not in late:  # its thread may never come back: another takes its place
-                    late.add(i)
+            for me in list(running):
+                i, since = begun.get(me, (None, 0.0))
+                if i is not None and out[i] is None and time.monotonic() - since > limit_s:  # its thread may never come back: another takes its place
+                    out[i] = None, None, f"no answer in {limit_s:g} s", "timeout", 1
+                    running.discard(me)
                     start()
-        answers = [out[i] for i in range(len(rows))]
-        made = pd.DataFrame(answers, columns=["same", "confidence", "reason", "outcome", "tries"])
-        return pd.concat([batch[["lo_id", "hi_id"]].reset_index(drop=True), made], axis=1)
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                yield batch_of(batch.iloc[first : first + 256])
+            if batch.num_rows:
+                answers = zip(*answered(*(places(batch.column(f"{n}_id"), batch.column(f"{n}_record")) for n in ("lo", "hi"))), strict=True)
+                made = [pa.array(v, t) for v, t in zip(answers, (pa.bool_(), pa.float64(), pa.string(), pa.string(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("lo_id"), batch.column("hi_id"), *made], names=["lo_id", "hi_id", "same", "confidence", "reason", "outcome", "tries"])
 
     return run
 
@@ -120,8 +125,10 @@ def resolve_all(
     tries: int = TRIES,
     wait_s: float = WAIT_S,
     limit_s: float = LIMIT_S,
+    unique: bool = False,
 ) -> DataFrame:
-    """lo_id, hi_id, same, confidence, reason, outcome, tries for every different pair that needs a model.
+    """lo_id, hi_id, same, confidence, reason, outcome, tries for every different pair that needs a model. unique: pairs are known to
+    come once each, so they needn't be brought together.
 
     outcome: 'cached' (the cache has an answer: its resolved_at, if it has that column, is at most CACHE_DAYS before as_of), 'hit', 'error'
     (each try raised; the last error is the reason), 'timeout', or 'over_budget' (not asked: of more pairs than `budget` those of
@@ -129,7 +136,9 @@ def resolve_all(
     run at once. The result is to be written once and read from there: a plan that runs again asks again.
     """
     now = F.current_timestamp() if as_of is None else as_of
-    asked = pairs.filter("decision = 'needs_llm'").groupBy(F.least("a_id", "b_id").alias("lo_id"), F.greatest("a_id", "b_id").alias("hi_id")).agg(F.max("score").alias("score"))
+    asked = pairs.filter("decision = 'needs_llm'").select(F.least("a_id", "b_id").alias("lo_id"), F.greatest("a_id", "b_id").alias("hi_id"), "score")
+    if not unique:
+        asked = asked.groupBy("lo_id", "hi_id").agg(F.max("score").alias("score"))
     known = None
     if cache is not None:
         fresh = cache.filter(F.col("resolved_at") >= now - F.make_dt_interval(days=F.lit(CACHE_DAYS))) if "resolved_at" in cache.columns else cache
@@ -146,7 +155,7 @@ def resolve_all(
     asked = _asked(asked.drop("score"), records)
     if tasks is not None:
         asked = asked.repartition(tasks)
-    out = asked.mapInPandas(_calls(resolver, concurrent, tries, wait_s, limit_s), ANSWER)
+    out = asked.select(F.col("lo_id").cast("long"), F.col("hi_id").cast("long"), "lo_record", "hi_record").mapInArrow(_calls(resolver, concurrent, tries, wait_s, limit_s), ANSWER)
     for more in (known, left):
         out = out if more is None else out.unionByName(more)
     return out

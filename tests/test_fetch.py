@@ -192,6 +192,27 @@ def test_no_pair_is_lost(spark):
     assert resolve_all(pairs.limit(0), resolver).count() == 0
 
 
+def test_many_quick_answers_cost_little(spark):
+    """Pairs known to come once each: nothing is shuffled, no thread is started for every few pairs, and hanging calls don't end the others."""
+    n = 30_000
+    pairs = spark.range(n, numPartitions=2).select(F.col("id").alias("a_id"), (F.col("id") + n).alias("b_id"), F.lit(0.7).alias("score"), F.lit("needs_llm").alias("decision"))
+    started = spark.sparkContext.accumulator(0)
+
+    def resolver(a, b):
+        if getattr(threading.current_thread(), "seen", None) is None:
+            threading.current_thread().seen = True
+            started.add(1)
+        if a["id"] % 10_000 == 77:
+            time.sleep(20)
+        return a["id"] % 2 == 0, 0.9, "even"
+
+    asked = resolve_all(pairs, resolver, limit_s=1.0, unique=True)
+    assert "Exchange" not in asked._jdf.queryExecution().executedPlan().toString()
+    answers = materialize(asked, "answers")
+    assert answers.filter("same = (lo_id % 2 = 0) AND hi_id = lo_id + 30000 AND outcome = 'hit'").count() == n - 3 and answers.filter("outcome = 'timeout'").select("lo_id").distinct().count() == 3
+    assert started.value <= 8 * 4 + 3
+
+
 # --------------------------------------------------------------------------- counters
 
 
