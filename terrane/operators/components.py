@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from terrane.plans.scratch import discard_since, mark, materialize
 
 #: Pointer jumps in a round: steps that a label travels further along a chain before the edges are contracted.
 JUMPS = 2
+#: Edges that a task thins at a time.
+EDGES = 1 << 20
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,3 +52,49 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found = materialize(names.join(top.select(F.col("node").alias("k"), "p"), "k", "left").select("node", F.coalesce("p", "k").alias("at")), "found")
     discard_since(edges.sparkSession, since, found)
     return found.join(found.groupBy("at").agg(F.min("node").alias("component")), "at").select("node", "component")
+
+
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the smallest of its component, with that smallest one."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    top = np.arange(len(nodes))
+    while True:
+        x, y = top[x], top[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(above := top[top], top):
+            top = above
+    below = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[top[below]], nodes[below]
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """a, b: fewer edges (of longs, none null) with the same nodes and components. Each task puts out a star for each component that its
+    edges have, so where edges are many and nodes few, little is shuffled. Loops go: a node that only loops name is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        most = EDGES
+
+        def put(rows: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for first in range(0, len(rows[0]), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(r[first : first + 65536]) for r in rows], names=["a", "b"])
+
+        together = lambda: tuple(np.concatenate([h[i] for h in held]) for i in (0, 1))
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            if sum(len(a) for a, _ in held) >= most:
+                rows = _star(*together())
+                if 2 * len(rows[0]) > most:  # thin already: more of the same would be looked at again and again
+                    yield from put(rows)
+                    held = []
+                else:
+                    held = [rows]
+        if held:
+            yield from put(_star(*together()))
+
+    return edges.select(*[edges[c].cast("long").alias(c) for c in ("a", "b")]).mapInArrow(run, "a long, b long")

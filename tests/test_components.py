@@ -5,7 +5,7 @@ import random
 import pytest
 
 from terrane.operators import components
-from terrane.operators.components import connected_components
+from terrane.operators.components import connected_components, thinned
 
 
 def plain(edges):
@@ -52,3 +52,14 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = connected_components(spark.range(n).selectExpr("id AS a", "id + 1 AS b"))
     assert got.count() == n + 1 and got.filter("component <> 0").count() == 0
     assert 1 < written.count("tops") <= 14
+
+
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_thinned_edges_have_the_same_components(spark, monkeypatch, most):
+    """All pairs of groups of 60, and a chain: components as before, from few edges."""
+    monkeypatch.setattr(components, "EDGES", most)
+    edges = [(100 * g + i, 100 * g + j) for g in range(5) for i in range(60) for j in range(i + 1, 60)] + [(5000 + i, 5001 + i) for i in range(300)]
+    random.Random(4).shuffle(edges)
+    few = [(r.a, r.b) for r in thinned(spark.createDataFrame(edges, "a long, b long").coalesce(2)).collect()]
+    assert plain(few) == plain(edges) and (most == 40 or len(few) <= 2 * (5 * 59 + 300))
+    assert thinned(spark.createDataFrame([], "a long, b long")).count() == 0
