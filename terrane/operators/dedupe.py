@@ -13,6 +13,7 @@ from terrane.plans.scratch import materialize
 
 from .cells import linked_cells
 from .components import connected_components
+from .dense import dense_pairs, place_scores
 from .pairs import given_pairs, pairs_of, reachable_pairs, score_found, scored_classes, self_score, twins
 from .resolve import RECORD, Resolver, resolve_all
 
@@ -109,6 +110,13 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("decision", sim.decision(F.col("score")))
 
 
+def score_all(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """All pairs a_id < b_id of a cluster, as score_pairs has them of candidate_pairs, without a row that carries two places."""
+    rows = members.select(F.col(cluster).alias("grp"), *SCORED)
+    parts = dense_pairs(rows, place_scores, ", ".join(f"{k} double" for k in (*dict(sim.WEIGHTS), "score")))
+    return parts.withColumn("decision", sim.decision(F.col("score")))
+
+
 def resolve(pairs: DataFrame, resolver: Resolver, cache: DataFrame | None = None, records: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """lo_id, hi_id, same, confidence, reason of the pairs that got an answer, from the cache or the resolver; see resolve_all, which
     also tells of the others. The resolver gets two dicts with id and, of `records` (rows of silver), those fields of RECORD that they
@@ -304,4 +312,4 @@ def dedupe_stats(placed: DataFrame, masters: DataFrame, resolutions: DataFrame |
     return placed.agg(F.countDistinct("cluster_id").alias("clusters")).join(F.broadcast(masters.agg(F.count("*").alias("masters_created"), F.coalesce(F.sum(F.size("merged_processed_ids")), F.lit(0)).alias("members_merged")))).withColumn("llm_calls", F.lit(calls).cast("long"))
 
 
-__all__ = ["RECORD", "build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_of", "pairs_to_ask", "reachable_pairs", "reject", "resolve", "review_queue", "score_found", "score_pairs", "scored_classes", "spatial_clusters"]
+__all__ = ["RECORD", "build_masters", "candidate_pairs", "dedupe", "geodesic_m", "manual_merge", "merging_edges", "neighbour_links", "pairs_of", "pairs_to_ask", "reachable_pairs", "reject", "resolve", "review_queue", "score_all", "score_found", "score_pairs", "scored_classes", "spatial_clusters"]
