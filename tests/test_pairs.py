@@ -133,6 +133,18 @@ def test_rows_alike_are_scored_once(spark):
     assert found.count() == found.distinct().count() == 3000 * 2999 // 2 and found.filter("a_id >= b_id").count() == 0
 
 
+def test_no_vectors_are_sent_to_the_driver(spark, tmp_path):
+    """Vectors that repeat are small on disk, and Spark guesses their size from that: joins that fetch them don't broadcast."""
+    path = str(tmp_path / "members")
+    spark.range(20_000).select("id", (F.col("id") / 40).cast("long").alias("cluster_id"), F.transform(F.sequence(F.lit(0), F.lit(383)), lambda k: (k / 1000).cast("float")).alias("name_embedding"), F.lit("1 street").alias("address_normalized"), F.lit("p").alias("phone_e164"), F.lit("w").alias("website_domain"), F.lit("b").alias("brand")).write.parquet(path)
+    members = spark.read.parquet(path)
+    pairs = spark.range(1, 100).select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), *[F.lit(1.0).alias(k) for k, _ in EQUAL]).repartition(4)
+    found = score_found(pairs, members, sim.NEEDS_LLM)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") == 4 and "BroadcastExchange" not in plan
+
+
 def test_a_hot_cluster_is_linear(spark):
     """100,000 places in one cluster, a third of them alike: what is dealt stays in proportion, and few pairs are met."""
     n = 100_000
